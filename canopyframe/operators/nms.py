@@ -37,9 +37,11 @@ def nms(points: DataFrame, pid: str, weight: str, radius: float | str, keys: Seq
         near = ((F.col("__x") - F.col("x")) * (F.col("__x") - F.col("x"))
                 + (F.col("__y") - F.col("y")) * (F.col("__y") - F.col("y"))) <= F.col("__r2")
         heavier = (F.col("__w") > F.col("w")) | ((F.col("__w") == F.col("w")) & (-F.col("__id") > F.col("nid")))
-        beaten = (live.join(around, [*ks, "gx", "gy"]).where(near & heavier)
-                  .select(*ks, "nid").distinct())
-        won = cut(cand.join(beaten, [*ks, "nid"], "left_anti"))
+        met = live.join(around, [*ks, "gx", "gy"]).where(near)
+        # a candidate also meets itself, so every candidate has a row here
+        won = cut(met.groupBy(*ks, "nid").agg(F.max(heavier).alias("beaten"), F.first("x").alias("x"),
+                                              F.first("y").alias("y"), F.first("hx").alias("hx"), F.first("hy").alias("hy"))
+                  .where(~F.col("beaten")).drop("beaten"))
         new = won.select(*ks, (-F.col("nid")).alias(pid))
         kept = new if kept is None else kept.unionByName(new)
         reach = spread(won.withColumnsRenamed({k: f"_{k}" for k in ks}), F.col("hx"), F.col("hy"), 2) \

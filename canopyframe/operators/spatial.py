@@ -80,15 +80,16 @@ def nearest(points: DataFrame, targets: DataFrame, pid: str, tid: str, side: flo
     A point whose key has no target at all is left out (as in an inner join).
     """
     have = targets.select(*keys).distinct()
-    rest = cut(points.select(*dict.fromkeys([*keys, pid, *at])).join(have, list(keys), "left_semi"))
-    found = None
-    while True:
+    first = cut(points.select(*dict.fromkeys([*keys, pid, *at])).join(have, list(keys), "left_semi"))
+    left = first.count()
+    rest, found = first, None
+    while left:
         hit = cut(nearest_within(rest, targets, side, [pid], tid, keys, at, to))
         found = hit if found is None else found.unionByName(hit)
-        rest = cut(rest.join(hit.select(*keys, pid), [*keys, pid], "left_anti"))
-        if rest.isEmpty():
-            return found
+        left -= hit.count()
+        rest = rest.join(hit.select(*keys, pid), [*keys, pid], "left_anti")
         side *= 2.0
+    return found if found is not None else nearest_within(first, targets, side, [pid], tid, keys, at, to)
 
 
 def self_neighbours(points: DataFrame, pid: str, k: int, side: float, keys: Sequence[str] = ("stand",),
@@ -106,19 +107,22 @@ def self_neighbours(points: DataFrame, pid: str, k: int, side: float, keys: Sequ
     sizes = base.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("__others"))
     todo = base.join(sizes, list(keys))
     done = None
+    todo = todo.where(F.col("__others") > 0)
+    left = todo.count()
     best = W.partitionBy(*keys, pid).orderBy("d2", "nb")
+    got = F.count(F.lit(1)).over(W.partitionBy(*keys, pid))
     while True:
         pairs = grid_join(other, todo.withColumnRenamed(at[0], "cx").withColumnRenamed(at[1], "cy"),
                           side, keys, ("nx", "ny"), ("cx", "cy")).where(F.col("nb") != F.col(pid))
         top = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        full = top.groupBy(*keys, pid, "__others").agg(F.count(F.lit(1)).alias("__g"))
-        full = full.where((F.col("__g") >= k) | (F.col("__g") >= F.col("__others")))
-        hit = cut(top.join(full.select(*keys, pid), [*keys, pid], "left_semi")
-                  .select(*keys, pid, "nb", "rank", "d2"))
+        full = top.withColumn("__g", got).where((F.col("__g") >= k) | (F.col("__g") >= F.col("__others")))
+        hit = cut(full.select(*keys, pid, "nb", "rank", "d2"))
         done = hit if done is None else done.unionByName(hit)
-        todo = cut(todo.where(F.col("__others") > 0).join(hit.select(*keys, pid).distinct(), [*keys, pid], "left_anti"))
-        if todo.isEmpty():
+        mine = hit.where("rank = 1").select(*keys, pid)
+        left -= mine.count()
+        if left <= 0:
             return done
+        todo = todo.join(mine, [*keys, pid], "left_anti")
         side *= 2.0
 
 

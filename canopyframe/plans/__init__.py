@@ -7,4 +7,5 @@ from canopyframe.plans import (  # noqa: E402,F401
     scans,
     filters,
     scalar,
+    joins,
 )

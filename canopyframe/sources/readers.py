@@ -72,7 +72,7 @@ def census_counts(census: DataFrame, keys: Sequence[str] = ("plot",)) -> DataFra
             .agg(F.count(F.lit(1)).alias("n_live"), F.avg("d_cm").alias("d_mean"), F.avg("h_m").alias("h_mean")))
 
 
-def check_counts(census: DataFrame, reported: DataFrame, keys: Sequence[str], most: int = 1) -> DataFrame:
+def check_counts(census: DataFrame, reported: DataFrame, keys: Sequence[str] = ("plot",), most: int = 1) -> DataFrame:
     """Raises unless totals agree and no plot is off by more than ``most``."""
     both = census_counts(census, keys).join(reported, list(keys), "full")
     d = F.coalesce("n_live", F.lit(0)) - F.coalesce("n_arv", F.lit(0))
