@@ -8,4 +8,5 @@ from canopyframe.plans import (  # noqa: E402,F401
     filters,
     scalar,
     joins,
+    rasters,
 )
