@@ -258,7 +258,7 @@ def _(fx):
 
 
 @query("d53_plot_structure", "plot:i rumple:d cover:d gap_fraction:d penetration:d zmean:d n:i", f"""
-WITH q AS ({IN_PLOT}), k AS (SELECT * FROM q WHERE z BETWEEN 2 AND 45), c AS ({cells_sql(0.5, src='(SELECT * EXCLUDE (stand), plot AS stand FROM k)').replace('SELECT stand,', 'SELECT stand AS plot, stand,', 1)}),
+WITH q AS ({IN_PLOT}), k AS (SELECT * FROM q WHERE z BETWEEN 2 AND 45), c AS (SELECT * RENAME (stand AS plot) FROM ({cells_sql(0.5, src='(SELECT * EXCLUDE (stand), plot AS stand FROM k)')})),
 {rumple_sql('plot', 0.5)}, cov AS (SELECT plot, avg(CASE WHEN z > 2 THEN 1.0 ELSE 0.0 END) AS cover FROM q GROUP BY plot),
 pen AS (SELECT plot, avg(CASE WHEN z <= lo + 0.5 * (hi - lo) THEN 1.0 ELSE 0.0 END) AS penetration, avg(z) AS zmean, count(*) AS n FROM (SELECT *, min(z) OVER (PARTITION BY plot) AS lo, max(z) OVER (PARTITION BY plot) AS hi FROM k) GROUP BY plot)
 SELECT plot, rumple, cover, 1 - cover AS gap_fraction, penetration, zmean, n FROM rum JOIN cov USING (plot) JOIN pen USING (plot) WHERE n >= 10""")
