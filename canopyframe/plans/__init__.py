@@ -9,4 +9,6 @@ from canopyframe.plans import (  # noqa: E402,F401
     scalar,
     joins,
     rasters,
+    panels,
+    crowns,
 )
