@@ -64,18 +64,31 @@ def _curve_value(points: Column, x: Column) -> Column:
     return F.when(lo.isNull(), hi.q).when(hi.isNull(), lo.q).otherwise(mid)
 
 
-def stem_volume(sections: DataFrame, heights: DataFrame, curve: DataFrame, keys: Sequence[str], step: float = 0.25) -> DataFrame:
+def dense_curve(curve: DataFrame, bins: int) -> DataFrame:
+    """One row ``knots``: the curve at every band centre, gaps interpolated, for constant-time lookup."""
+    pts = curve.agg(F.sort_array(F.collect_list(F.struct("hrel", "q"))).alias("p"))
+    return pts.select(F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda j: _curve_value(F.col("p"), (j + 0.5) / bins)).alias("knots"))
+
+
+def _lookup(knots: Column, x: Column, bins: int) -> Column:
+    j = F.floor(x * bins - 0.5).cast("int")
+    lo, hi = F.get(knots, j), F.get(knots, j + 1)
+    last = F.get(knots, F.lit(bins - 1)) * (1 - x) / (0.5 / bins)
+    return F.when(j < 0, F.get(knots, F.lit(0))).when(j >= bins - 1, F.greatest(last, F.lit(0.0))).otherwise(lo + (hi - lo) * (x * bins - 0.5 - j))
+
+
+def stem_volume(sections: DataFrame, heights: DataFrame, curve: DataFrame, keys: Sequence[str], step: float = 0.25, bins: int = 25) -> DataFrame:
     """Measured sections (Smalian) + stump cylinder + form above the last section up to ``total_h``."""
     m = section_volumes(sections, keys)
     ends = sections.groupBy(*keys).agg(F.min_by("d_cm", "h_m").alias("d0"), F.min("h_m").alias("h0"), F.max_by("d_cm", "h_m").alias("dn"), F.max("h_m").alias("hn"))
-    pts = curve.agg(F.sort_array(F.collect_list(F.struct("hrel", "q")))).scalar()
-    t = ends.join(heights, list(keys)).withColumn("__c", pts)
+    t = ends.join(heights, list(keys)).withColumn("__c", dense_curve(curve, bins).scalar())
+    t = t.withColumn("__q0", _lookup(F.col("__c"), F.col("hn") / F.col("total_h"), bins))
     n = F.greatest(F.lit(0), F.ceil((F.col("total_h") - F.col("hn")) / step) - 1)
     t = t.withColumn("i", F.explode(F.sequence(F.lit(0), n.cast("int"))))
     h = F.col("hn") + F.col("i") * step
-    q0 = _curve_value(F.col("__c"), F.col("hn") / F.col("total_h"))
+    q0 = F.col("__q0")
     def area(hh: Column) -> Column:
-        r = F.col("dn") / 200 * _curve_value(F.col("__c"), hh / F.col("total_h")) / q0
+        r = F.col("dn") / 200 * _lookup(F.col("__c"), hh / F.col("total_h"), bins) / q0
         return F.pi() * r * r
     piece = F.when((F.col("total_h") > F.col("hn") + step) & (F.col("i") < n) & (q0 > 0), (area(h) + area(h + step)) / 2 * step).otherwise(0.0)
     top = t.groupBy(*keys).agg(F.sum(piece).alias("above_m3"), F.max(F.pi() * (F.col("d0") / 200) * (F.col("d0") / 200) * F.col("h0")).alias("stump_m3"))

@@ -11,4 +11,5 @@ from canopyframe.plans import (  # noqa: E402,F401
     rasters,
     panels,
     crowns,
+    stems,
 )

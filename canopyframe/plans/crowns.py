@@ -99,12 +99,12 @@ def _(fx):
     return C.disposition(sized(fx).withColumnRenamed("h_m", "h"), "tree_id", ["stand"], 10000.0)
 
 
-@query("d64_instance_position", "inst:i cx:d cy:d bx:d by:d", """
+@query("d64_instance_position", "inst:i cx:d cy:d bx:d byy:d", """
 WITH s AS (SELECT *, avg(x) OVER (PARTITION BY inst) AS cx, avg(y) OVER (PARTITION BY inst) AS cy, min(CASE WHEN semantic <> 0 THEN z END) OVER (PARTITION BY inst) AS z0 FROM fx_tree_pts)
-SELECT inst, any_value(cx) AS cx, any_value(cy) AS cy, avg(x) FILTER (semantic <> 0 AND z <= z0 + 3) AS bx, avg(y) FILTER (semantic <> 0 AND z <= z0 + 3) AS by FROM s GROUP BY inst""")
+SELECT inst, any_value(cx) AS cx, any_value(cy) AS cy, avg(x) FILTER (semantic <> 0 AND z <= z0 + 3) AS bx, avg(y) FILTER (semantic <> 0 AND z <= z0 + 3) AS byy FROM s GROUP BY inst""")
 def _(fx):
     a = C.instance_position(fx.fx_tree_pts, ["inst"], False).withColumnsRenamed({"x": "cx", "y": "cy"})
-    return a.join(C.instance_position(fx.fx_tree_pts, ["inst"], True).withColumnsRenamed({"x": "bx", "y": "by"}), "inst")
+    return a.join(C.instance_position(fx.fx_tree_pts, ["inst"], True).withColumnsRenamed({"x": "bx", "y": "byy"}), "inst")
 
 
 # ---- sections -------------------------------------------------------------------------------------
