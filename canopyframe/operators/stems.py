@@ -17,6 +17,7 @@ from canopyframe.functions.hashing import mix
 from canopyframe.functions.scalars import circumcircle, hyp
 from canopyframe.operators.ranks import _slices, exact_quantiles, sorted_index
 from canopyframe.operators.transforms import centroid_distance, radial_filter
+from canopyframe.session import cut
 
 
 def height_bins(points: DataFrame, keys: Sequence[str], width: float = 0.5) -> DataFrame:
@@ -141,7 +142,7 @@ def circle_ransac(points: DataFrame, keys: Sequence[str], order: str, draws: int
     best = votes.groupBy(*ks).agg(F.max(F.struct("votes", (-F.col("draw")).alias("o"), "cx", "cy", "r")).alias("m"))
     j = p.join(best.select(*ks, "m.*"), ks, "left")
     ok = F.coalesce(F.col("votes") >= F.col("i_n") * share, F.lit(False))
-    kept = j.where(~ok | hit)
+    kept = j.where(~ok | hit).select(*ks, "x", "y")
     fit = circle_kasa(kept, ks)
     return refine_circle(kept, fit, ks).join(fit.select(*ks, F.col("n").alias("inliers")), ks)
 
@@ -296,6 +297,7 @@ def mode_radius(points: DataFrame, keys: Sequence[str], rounds: int = 4, tol: fl
         s = s.where(F.col("inliers") >= least)
         centre = s.select(*ks, (F.col("cu") + F.coalesce((F.col("ae") * F.col("bb") - F.col("be") * F.col("ab")) / det, F.lit(0.0))).alias("cu"),
                           (F.col("cv") + F.coalesce((F.col("be") * F.col("aa") - F.col("ae") * F.col("ab")) / det, F.lit(0.0))).alias("cv"), "r", "inliers")
+        centre = cut(centre)
         if _ < rounds - 1:
             centre = centre.select(*ks, "cu", "cv")
     return centre
@@ -324,7 +326,7 @@ def slice_agreement(points: DataFrame, keys: Sequence[str], slices: int = 6, lea
     box = points.groupBy(*ks).agg(F.min("h").alias("__lo"), F.max("h").alias("__hi"))
     p = points.join(box, ks).withColumn("slice", F.floor((F.col("h") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * slices)).where(F.col("slice") < slices)
     n = p.groupBy(*ks, "slice").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    r = radial_mode(p.join(n.select(*ks, "slice"), [*ks, "slice"], "left_semi"), [*ks, "slice"], **kw)
+    r = cut(radial_mode(p.join(n.select(*ks, "slice"), [*ks, "slice"], "left_semi"), [*ks, "slice"], **kw))
     med = exact_quantiles(r, ks, "r", {"r_med": 0.5})
     dev = r.join(med, ks).withColumn("__d", F.abs(F.col("r") - F.col("r_med")))
     out = exact_quantiles(dev, ks, "__d", {"mad": 0.5}).join(med, ks).join(r.groupBy(*ks).agg(F.count(F.lit(1)).alias("n_slices")), ks)
@@ -397,7 +399,6 @@ def taper_walk(points: DataFrame, anchors: DataFrame, heights: Sequence[float],
     All stems advance together, one section height per round; a stem stops after ``misses`` in a row.
     ``points``: ``u, v, h`` about the stem; ``anchors``: the stem's ``r``.
     """
-    from canopyframe.session import cut
     state = anchors.select(key, F.col("r").alias("pr"), F.lit(1.3).alias("ph"), F.lit(0.0).alias("cu"), F.lit(0.0).alias("cv"), F.lit(0).alias("miss"))
     out = anchors.select(key, F.lit(1.3).alias("h_m"), "r")
     for h in heights:

@@ -12,4 +12,5 @@ from canopyframe.plans import (  # noqa: E402,F401
     panels,
     crowns,
     stems,
+    sessions,
 )
