@@ -128,7 +128,7 @@ def circle_ransac(points: DataFrame, keys: Sequence[str], order: str, draws: int
     Falls back to all points when the best circle holds less than ``share`` of them.
     """
     ks = list(keys)
-    p = sorted_index(points.select(*ks, order, "x", "y"), ks, order, "i")
+    p = cut(sorted_index(points.select(*ks, order, "x", "y"), ks, order, "i"))
     n = p.groupBy(*ks).agg(F.max("i_n").alias("n")).where("n >= 3").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     for j in (1, 2, 3):
         n = n.withColumn(f"i{j}", mix("draw", "n", j, seed) % F.col("n"))
@@ -140,9 +140,9 @@ def circle_ransac(points: DataFrame, keys: Sequence[str], order: str, draws: int
     hit = F.abs(hyp(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")) - F.col("r")) < tol
     votes = c.join(p.select(*ks, "x", "y"), ks).where(hit).groupBy(*ks, "draw", "cx", "cy", "r").agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy(*ks).agg(F.max(F.struct("votes", (-F.col("draw")).alias("o"), "cx", "cy", "r")).alias("m"))
-    j = p.join(best.select(*ks, "m.*"), ks, "left")
+    j = p.join(cut(best.select(*ks, "m.*")), ks, "left")
     ok = F.coalesce(F.col("votes") >= F.col("i_n") * share, F.lit(False))
-    kept = j.where(~ok | hit).select(*ks, "x", "y")
+    kept = cut(j.where(~ok | hit).select(*ks, "x", "y"))
     fit = circle_kasa(kept, ks)
     return refine_circle(kept, fit, ks).join(fit.select(*ks, F.col("n").alias("inliers")), ks)
 
@@ -223,14 +223,16 @@ def measure_slices(points: DataFrame, keys: Sequence[str], order: str, least: in
     ks = list(keys)
     many = points.groupBy(*ks).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least).select(*ks)
     cov = angular_coverage(points.join(many, ks, "left_semi"), ks).where(F.col("coverage") >= coverage)
-    p = points.join(cov, ks)
+    cov = cut(cov)
+    p = cut(points.join(cov, ks))
     gap = centroid_distance(p, ks, "__rd").groupBy(*ks).agg((F.max("__rd") - F.min("__rd")).alias("__gap"))
     circ = p.join(gap.where(F.col("__gap") <= round_gap).select(*ks), ks, "left_semi")
     ell = radial_filter(p.join(gap.where(F.col("__gap") > round_gap).select(*ks), ks, "left_semi"), ks)
+    ell = cut(ell)
     ell = ell.join(ell.groupBy(*ks).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least).select(*ks), ks, "left_semi")
     a = circle_ransac(circ, ks, order, draws).select(*ks, "cx", "cy", "r", F.lit("circle").alias("fit"))
     b = ellipse(ell, ks).select(*ks, "cx", "cy", ((F.col("a") + F.col("b")) / 2).alias("r"), F.lit("ellipse").alias("fit"))
-    fits = a.unionByName(b).where(2 * F.col("r") <= d_max)
+    fits = cut(a.unionByName(b).where(2 * F.col("r") <= d_max))
     used = circ.select(*ks, "x", "y").unionByName(ell.select(*ks, "x", "y"))
     res = circle_residual(used, fits.drop("fit"), ks)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in res.schema.fields)
