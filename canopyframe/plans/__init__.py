@@ -13,4 +13,5 @@ from canopyframe.plans import (  # noqa: E402,F401
     crowns,
     stems,
     sessions,
+    learned,
 )
