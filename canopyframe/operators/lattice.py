@@ -117,7 +117,10 @@ def register(nodes: DataFrame, crowns: DataFrame, plots: DataFrame, poses: Seque
     n = n.select("plot", "stand", "nid", "theta", "dx", "dy", "qx", "qy")
     near = grid_join(n, crowns.select("stand", F.col("x").alias("kx"), F.col("y").alias("ky")), cap, ["stand"], ("qx", "qy"), ("kx", "ky"))
     got = near.groupBy("plot", "nid", "theta", "dx", "dy").agg(F.sqrt(F.min("d2")).alias("d")).groupBy("plot", "theta", "dx", "dy").agg(F.sum(cap - F.col("d")).alias("gain"))
+    got = cut(got)
     size = nodes.groupBy("plot").agg((F.count(F.lit(1)) * cap).alias("__all"))
-    cost = got.join(size, "plot").withColumn("cost", F.col("__all") - F.col("gain"))
+    none = size.join(got.select("plot").distinct(), "plot", "left_anti").select("plot", F.lit(float(poses[0]["theta"])).alias("theta"), F.lit(float(poses[0]["dx"])).alias("dx"),
+                                                                                  F.lit(float(poses[0]["dy"])).alias("dy"), F.lit(0.0).alias("gain"))
+    cost = got.unionByName(none).join(size, "plot").withColumn("cost", F.col("__all") - F.col("gain"))
     return cost.groupBy("plot", "__all").agg(F.min(F.struct("cost", "theta", "dx", "dy")).alias("m"), F.sum("gain").alias("g")).select(
         "plot", "m.cost", "m.theta", "m.dx", "m.dy", (F.col("__all") - F.col("g") / len(poses)).alias("mean_cost"))

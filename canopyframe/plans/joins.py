@@ -178,10 +178,10 @@ def _(fx):
 
 
 @query("c16_exclusion_join", "stand:i n:i", """
-SELECT stand, count(*) AS n FROM fx_trees t WHERE NOT EXISTS (SELECT 1 FROM fx_plots p WHERE p.stand = t.stand AND p.plot % 3 = 0
- AND (t.x-cx)*(t.x-cx) + (t.y-cy)*(t.y-cy) <= 576) GROUP BY stand""")
+SELECT stand, count(*) AS n FROM fx_trees t WHERE NOT EXISTS (SELECT 1 FROM fx_plots p WHERE p.stand = t.stand
+ AND (t.x-cx)*(t.x-cx) + (t.y-cy)*(t.y-cy) <= 64) GROUP BY stand""")
 def _(fx):
-    keep = A.outside_all(fx.fx_trees.withColumnRenamed("tree_id", "pid"), fx.fx_plots.where("plot % 3 = 0").select(*PLOTS), 24.0)
+    keep = A.outside_all(fx.fx_trees.withColumnRenamed("tree_id", "pid"), fx.fx_plots.select(*PLOTS), 8.0)
     return keep.groupBy("stand").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -69,7 +69,7 @@ def _(fx):
 
 @query("d81_spacing_diagnostics", "stand:i n:i below:d merge_window:d below_1m5:d null_below:d")
 def _(fx):
-    det = nn_distance(fx.fx_detections.where("view_id = 0").select("stand", "det_id", "x", "y"), "det_id", 4.0)
+    det = nn_distance(fx.fx_detections.select("stand", "view_id", "det_id", "x", "y"), "det_id", 4.0, ["stand", "view_id"])
     sy = 1.88 * 0.98
     d = det.groupBy("stand").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("nn") < sy).cast("double")).alias("below"), F.avg(((F.col("nn") >= 1.5) & (F.col("nn") < sy)).cast("double")).alias("merge_window"),
                                  F.avg((F.col("nn") < 1.5).cast("double")).alias("below_1m5"))
