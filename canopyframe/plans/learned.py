@@ -239,10 +239,11 @@ def _(fx):
 
 @query("i42_learning_curve", "size:i seed:i rmse:d n:i")
 def _(fx):
-    d = T.with_params(block_table(fx), [{"size": s, "seed": k} for s in (50, 200, 800) for k in (1, 2)]).where("fold <> 0")
+    base = cut(block_table(fx))
+    d = T.with_params(base, [{"size": s, "seed": k} for s in (50, 200, 800) for k in (1, 2)]).where("fold <> 0")
     train = T.take_hashed(d.select("size", "seed", "tree_id", "h_m", "dbh_cm"), ["size", "seed"], F.col("size"), 9, ["tree_id", "seed"], ["tree_id"])
     fit = P.linear_fit(train, ["h_m"], "dbh_cm", ["size", "seed"]).select("size", "seed", "b_0", "b_1")
-    test = T.with_params(block_table(fx).where("fold = 0"), [{"size": s, "seed": k} for s in (50, 200, 800) for k in (1, 2)]).join(fit, ["size", "seed"])
+    test = T.with_params(base.where("fold = 0"), [{"size": s, "seed": k} for s in (50, 200, 800) for k in (1, 2)]).join(fit, ["size", "seed"])
     e = F.col("b_0") + F.col("b_1") * F.col("h_m") - F.col("dbh_cm")
     return test.groupBy("size", "seed").agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.count(F.lit(1)).alias("n"))
 
@@ -250,8 +251,8 @@ def _(fx):
 @query("i43_feature_ladder", "rung:s r2:d shuffled_r2:d")
 def _(fx):
     """Rungs of growing feature sets, each beside its label-shuffled control and a planted positive one."""
-    d = block_table(fx).withColumn("planted", F.col("dbh_cm") + uniform("tree_id", 3))
-    shuffled = P.permuted(d, "tree_id", "dbh_cm", 2, 4)
+    d = cut(block_table(fx).withColumn("planted", F.col("dbh_cm") + uniform("tree_id", 3)))
+    shuffled = cut(P.permuted(d, "tree_id", "dbh_cm", 2, 4))
     out = None
     for name, xs in (("position", ["x", "y"]), ("height", ["x", "y", "h_m"]), ("planted", ["planted"])):
         r = P.scores(P.linear_oof(d, "tree_id", xs, "dbh_cm", "fold"), [])
