@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from canopyframe.llm import jaccard, ogg, url_filter
+from canopyframe.llm import decontaminate, jaccard, licenses, mixing, ogg, url_filter
 from canopyframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,63 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     media = ogg.with_media(docs, "text").select("doc_id", "n_bytes", "media")
     return ogg.read_media(media, ["doc_id", "n_bytes"], payload=False).drop("ok")
+
+
+#: target weights of the mix; sources not named share the last
+MIX = {"src0": 4, "src1": 3, "src2": 3, "src3": 2, "src4": 2, "*": 10}
+MIX_BLOCK = 8
+
+
+def mix_sql(documents: str = "documents", select: str = "doc_id") -> str:
+    order = sorted(MIX, key=lambda s: (-MIX[s], s))
+    rows = ", ".join(f"({i + 1}, '{s}', {MIX[s]})" for i, s in enumerate(order))
+    named = ", ".join(f"'{s}'" for s in MIX if s != "*")
+    return f"""
+with recursive w(o, source, q) as (values {rows}),
+slots(slot, done, pick, qs, p) as (
+  select cast(-1 as bigint), list_transform(list(q order by o), lambda x: cast(0 as bigint)), cast(0 as bigint), list(cast(q as bigint) order by o), cast(sum(q) as bigint) from w
+  union all
+  select slot + 1, list_transform(range(1, len(qs) + 1), lambda i: done[i] + case when i = b then 1 else 0 end), b, qs, p
+  from (select slot, done, qs, p, list_sort(list_transform(range(1, len(qs) + 1), lambda i: {{'d': case when (done[i] * p) // qs[i] <= slot + 1
+      then ((done[i] + 1) * p + qs[i] - 1) // qs[i] else 1000000000 end, 'i': i}}))[1].i as b from slots where slot + 1 < p)),
+plan as (select source, cast(q as bigint) as q, p, row_number() over (partition by source order by slot) - 1 as turn, slot
+  from slots join w on pick = o),
+ranked as (select *, case when source in ({named}) then source else '*' end as mix_source from {documents}),
+numbered as (select *, row_number() over (partition by mix_source order by md5(coalesce(cast(doc_id as varchar), '')), md5(coalesce(text, ''))) - 1 as mix_rank from ranked),
+ends as (select min((b // q) * p + slot) as e from (
+  select plan.*, coalesce(c, 0) as b from plan left join (select mix_source, (count(*) + {MIX_BLOCK} - 1) // {MIX_BLOCK} as c from ranked group by 1) t on t.mix_source = plan.source)
+  where b % q = turn)
+select {select}, mix_source, mix_rank, mix_rank // {MIX_BLOCK} as mix_block, (mix_rank // {MIX_BLOCK} // q) * p + slot as mix_slot,
+  (mix_rank // {MIX_BLOCK} * p) // q as mix_release, ((mix_rank // {MIX_BLOCK} + 1) * p + q - 1) // q as mix_deadline,
+  (mix_rank // {MIX_BLOCK} // q) * p + slot < e as mix_in
+from numbered join plan on plan.source = mix_source and turn = (mix_rank // {MIX_BLOCK}) % q cross join ends"""
+
+
+@query("op4_source_mix", mix_sql())
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its place in the mix."""
+    return mixing.mix_sources(table(spark, folder, "documents"), MIX, MIX_BLOCK, keep=["doc_id"])
+
+
+DECONTAMINATION_SQL = """
+with d as (select distinct doc_id, text from documents where doc_id is not null),
+dw as (select doc_id, text, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from d),
+ds as (select doc_id, text, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:least(i + 4, len(w))], ' ')))) as run from dw where len(w) > 0),
+i as (select distinct item_id, text as item from benchmark),
+iw as (select item_id, item, list_filter(regexp_split_to_array(translate(coalesce(item, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from i),
+il as (select item_id, item, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:least(i + 4, len(w))], ' '))) as runs from iw where len(w) > 0),
+r as (select item_id, item, len(runs) as size, unnest(runs) as run from il),
+p as (select doc_id, text, item_id, item, size, count(*) as shared from ds join r using (run) group by all)
+select doc_id, item_id, max(size) as item_runs, max(shared) as shared, max(shared / size) as containment from p where shared * 100 >= size * 80 group by 1, 2"""
+
+
+@query("op7_benchmark_decontamination", DECONTAMINATION_SQL)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair of a document and a benchmark item of which it holds 80 of 100 runs."""
+    return decontaminate.pairs(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op9_license_scan")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its license phrases, labels and verified spans' score."""
+    return licenses.scan(table(spark, folder, "documents")).drop("spans")
