@@ -4,7 +4,7 @@ Every rolling ``K``-word gram of every whole text is joined by its hash (and its
 the template positions that hold it. A hit at word ``p`` of a text and word ``t`` of a template votes for the diagonal
 ``p - t``: an occurrence without changes gathers all its votes on one diagonal, inserted or lost words move the rest to a
 neighbouring one. Diagonals of a template at most ``SLIP`` apart merge; a merged span is verified by the share of the
-template's distinct grams that it holds.
+template's distinct grams that it holds (at least ``COVER``), and gives way to a fuller span from the same word on.
 
 A phrase stands at a place exactly if one diagonal holds all its grams, because consecutive grams overlap.
 
@@ -102,7 +102,9 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases=No
                   F.max(F.when(F.col("votes") == F.col("grams"), F.col("diagonal"))).alias("high")))
     real, base = F.col("template") >= 0, F.col("base") & (F.col("template") >= 0)
     share = F.col("held") / F.col("grams")
-    good = real & F.when(F.col("base"), F.col("whole") > 0).otherwise(share >= COVER)
+    # templates that begin alike are told apart by their shares: of spans from one word on, only the fullest count
+    spans = spans.withColumn("fullest", F.max(F.when(~F.col("base"), share)).over(Window.partitionBy(*key, F.col("template") >= 0, "first")))
+    good = real & F.when(F.col("base"), F.col("whole") > 0).otherwise((share >= COVER) & (share == F.col("fullest")))
     listed = lambda c: F.concat_ws(",", F.array_sort(F.collect_set(c)))
     out = spans.groupBy(*key).agg(
         F.max(F.when(~real, F.col("copies"))).alias("copies"),
