@@ -5,8 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from canopyframe.llm import decontaminate, jaccard, licenses, mixing, ogg, url_filter
-from canopyframe.llm.common import table
+from canopyframe.llm import decontaminate, jaccard, licenses, mixing, ogg, toxicity, url_filter
+from canopyframe.llm.common import crc_rest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,3 +124,13 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its license phrases, labels and verified spans' score."""
     return licenses.scan(table(spark, folder, "documents")).drop("spans")
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's toxicity; rows whose id's crc32 leaves 1 of 3 are held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    rest = crc_rest(F.col("doc_id"), 3)
+    model = toxicity.fit(docs, table(spark, folder, "labels"), rest != 1)
+    held = F.coalesce(rest == 1, F.lit(False)).alias("held_out")
+    return toxicity.score(docs, model).select("doc_id", held, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
