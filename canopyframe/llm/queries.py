@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from canopyframe.llm import decontaminate, jaccard, licenses, mixing, ogg, toxicity, url_filter
+from canopyframe.llm import decontaminate, jaccard, licenses, mixing, ogg, quality, toxicity, url_filter
 from canopyframe.llm.common import crc_rest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,13 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, folder, "labels"), rest != 1)
     held = F.coalesce(rest == 1, F.lit(False)).alias("held_out")
     return toxicity.score(docs, model).select("doc_id", held, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op3_quality_neighbours")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's quality; rows whose id's crc32 leaves 0 of 5 are held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    rest = crc_rest(F.col("doc_id"), 5)
+    model = quality.fit(docs, table(spark, folder, "labels"), rest != 0)
+    held = F.coalesce(rest == 0, F.lit(False)).alias("held_out")
+    return quality.score(docs, model).select("doc_id", held, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
