@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from canopyframe.llm import decontaminate, jaccard, licenses, mixing, ogg, quality, toxicity, url_filter
+from canopyframe.llm import decontaminate, jaccard, licenses, mixing, ogg, quality, template, toxicity, url_filter
 from canopyframe.llm.common import crc_rest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,10 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     model = quality.fit(docs, table(spark, folder, "labels"), rest != 0)
     held = F.coalesce(rest == 0, F.lit(False)).alias("held_out")
     return quality.score(docs, model).select("doc_id", held, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op8_main_text")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's main text."""
+    pages = template.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
