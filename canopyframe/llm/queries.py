@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from canopyframe.llm import decontaminate, jaccard, licenses, mixing, ogg, quality, template, toxicity, url_filter
+from canopyframe.llm import attention_lm, decontaminate, jaccard, licenses, mixing, ogg, quality, template, toxicity, url_filter
 from canopyframe.llm.common import crc_rest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     """Every page's main text."""
     pages = template.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("op10_attention_lm")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's log10 probability; rows whose id's crc32 leaves 0 of 10 are held out."""
+    held = crc_rest(F.col("doc_id"), 10) == 0
+    scored = attention_lm.score_documents(table(spark, folder, "documents").select("doc_id", "text"), held)
+    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
