@@ -4,18 +4,21 @@ A document's set holds the distinct ``k``-word runs of its whole text as 64-bit
 ``100 * |A & B| >= percent * |A | B|``. The result is one row per document with its component.
 
 1. Equal sets collapse to one (``sid``, a hash of the sorted set), so copies cost one row each.
-2. Candidates come from the prefix rule: two linked sets share one of the first ``n - ceil(percent * n / 100) + 1`` elements of
-   each in any global order. The order used here puts a fixed eighth of the hash space first, rarest element first (counted
-   over all sets), then all other hashes by value. So only that eighth is ever shuffled (a set too small for it adds the few
-   further elements its prefix needs), rare elements fill the prefixes, and an element in one set only leads nowhere.
-3. Sets that share a prefix element form a group. A task stores a group's sets, ordered globally, in a trie: runs of
-   elements shared by several sets are stored and compared once. A set traverses it carrying its overlap so far; a subtree
-   is left when overlap plus what can still follow on either side stays under the need of its smallest set, when sizes
-   do not fit, or when all of it already belongs to the traversing set's component.
-4. Groups are linked in three rounds, so that a cluster of thousands costs its size and not its square: each set first in its
-   largest group, in chunks of ``CHUNK`` sets; then a few representatives of each component of a group; last, exactly, every
-   pair of different components that still shares a group (split by size band, and into pairs of chunks when
-   large). No link between different components can be missed, and links inside a component change nothing.
+2. Candidates: linked sets of sizes up to ``u`` differ in at most ``H = 2u(100 - percent) / (100 + percent)`` elements. The global order (by hash) is cut into
+   more than ``H`` segments, so a segment is equal in both, elements and all. Sets that share a segment's signature form a
+   group. A segment holds several elements, so a passage shared by many documents groups them only where it fills a whole segment. Segments depend
+   on a size class; a set that can be the smaller one of a pair in the next class has signatures there too. Empty segments are only used
+   by sets with so many that no other equal segment is sure.
+3. A task stores a group's sets, ordered globally, in a trie: elements shared by several sets from their beginning are stored and compared once.
+   A set traverses it carrying its overlap so far; a subtree is left when overlap plus what can still follow on either side stays under the need
+   of its smallest set, when sizes do not fit, or when all of it already belongs to the traversing set's component.
+4. Sets that hang together by groups form a block. A block of at most ``BLOCK_SETS`` sets is one tile, so each of its texts
+   moves once. Groups of a larger block are linked in three rounds, so that a cluster of thousands costs its size and not its square: each
+   set first in its largest group, in chunks of ``CHUNK`` sets; then a few representatives of each component of a group; last, exactly,
+   every pair of different components that still shares a group (split by size band, and into pairs of chunks when large). No link
+   between different components can be missed on either way, and links inside a component change nothing.
+
+Signatures seen once are dropped by a count; before the join that finds the others' sets, a Bloom filter of fixed size keeps most single ones from the shuffle.
 
 Defined cases: null and empty texts have ``n_shingles`` 0, no links and their own id; a text with fewer than ``k`` words is one run;
 rows without an id take part, but lend no id (a component of such rows has none); repeated rows are copies. Two sets with
@@ -24,24 +27,60 @@ the same 64-bit ``sid`` or elements with the same hash would count as equal.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from canopyframe.llm.common import SPACES, Words, as_long, shingles, slices
+from canopyframe.llm.common import SPACES, Words, as_long, mix, shingles, slices
+from canopyframe.llm.url_filter import build_filter, may_hold
 from canopyframe.operators.components import components
 from canopyframe.session import cut
 
-SHIFT = np.uint64(61)  # an eighth of the hash space comes first
+GROWTH = 1.6  # of one size class over the next smaller
 CHUNK = 256
+BLOCK_SETS = 1024
 REPRESENTATIVES = 3
 BLOCK = 64
+FILTER_BLOCKS = 1 << 19  # 4 MB
 
 
-def need(n: int, percent: int) -> int:
-    return -(-percent * n // 100)
+def size_class(n: int) -> tuple[int, int]:
+    """The class of a size, and the first size of the next class."""
+    c, bound = 0, 2
+    while n >= bound:
+        c, bound = c + 1, max(bound + 1, math.ceil(bound * GROWTH))
+    return c, bound
+
+
+def segments(bound: int, percent: int) -> tuple[int, int]:
+    """How many segments may differ in a class of sizes under ``bound``, and how many there are."""
+    differ = 2 * (bound - 1) * (100 - percent) // (100 + percent)
+    return differ, differ + 1 + -(-differ * (100 - percent) // 80)
+
+
+def signatures(s: np.ndarray, percent: int) -> np.ndarray:
+    """Signatures of a sorted set in its class and, where it can be the smaller of a pair, in the next."""
+    c, bound = size_class(len(s))
+    out = [_signed(s, c, bound, percent)]
+    if 100 * len(s) >= percent * bound:
+        out.append(_signed(s, c + 1, size_class(bound)[1], percent))
+    return np.concatenate(out)
+
+
+def _signed(s: np.ndarray, c: int, bound: int, percent: int) -> np.ndarray:
+    differ, m = segments(bound, percent)
+    part = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    total = np.add.reduceat(mix(s), first)
+    which = part[first]
+    if m - differ - (m - len(first)) < 1:
+        every = np.zeros(m, dtype=np.uint64)
+        every[which.astype(np.int64)] = total
+        total, which = every, np.arange(m, dtype=np.uint64)
+    return mix(total + mix(which + np.uint64(c << 40)))
 
 
 def row_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -70,49 +109,43 @@ def _key(doc_id: str, text: str):
     return F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(F.col(text)))
 
 
-def summarise(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
-    """``doc_id, key, n, sid, sampled, room, heads``: heads are all elements that can stand in the prefix."""
+def summarise(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
+    """``doc_id, key, n, sid`` of every row."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
-            n, sid, sampled, room, heads = [], [], [], [], []
-            for s in row_sets(b.column(2), k):
-                size = len(s)
-                n.append(size)
-                if not size:
-                    sid.append(None), sampled.append(0), room.append(0), heads.append(np.zeros(0, np.int64))
-                    continue
-                first = int(np.searchsorted(s, np.uint64(1) << SHIFT))
-                prefix = size - need(size, percent) + 1
-                sid.append(sid_of(s))
-                sampled.append(first)
-                room.append(min(prefix, first))
-                heads.append(as_long(s[: max(first, prefix)]))
-            flat = np.concatenate(heads) if heads else np.zeros(0, np.int64)
-            offs = np.concatenate([[0], np.cumsum([len(x) for x in heads])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(sampled, pa.int32()), pa.array(room, pa.int32()),
-                 pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))],
-                names=["doc_id", "key", "n", "sid", "sampled", "room", "heads"])
+            found = [(len(s), sid_of(s) if len(s) else None) for s in row_sets(b.column(2), k)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())],
+                                             names=["doc_id", "key", "n", "sid"])
 
     return (docs.select(F.col(doc_id).cast("long").alias("doc_id"), _key(doc_id, text).alias("key"), F.col(text).cast("string").alias("text"))
-            .mapInArrow(run, "doc_id long, key long, n long, sid long, sampled int, room int, heads array<long>"))
+            .mapInArrow(run, "doc_id long, key long, n long, sid long"))
 
 
-def prefix_keys(sets: DataFrame) -> DataFrame:
-    """``token, df, sid, n``: prefix elements of distinct sets that occur in more than one."""
-    reps = cut(sets.where("n > 0").groupBy("sid").agg(F.max("n").alias("n"), F.max("sampled").alias("sampled"), F.max("room").alias("room"), F.max("heads").alias("heads")))
-    tokens = reps.select("sid", F.explode("heads").alias("token"))
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    # hashes were sorted without sign, so the first eighth are the non-negative values under 2**61
-    first = F.col("token").between(0, (1 << 61) - 1)
-    found = (tokens.join(counts, "token")
-             .groupBy("sid").agg(F.sort_array(F.collect_list(F.when(first, F.struct("df", "token")))).alias("a"),
-                                 F.collect_list(F.when(~first, F.struct("df", "token"))).alias("b")))
-    left = F.greatest(F.lit(0), F.col("room") - (F.col("sampled") - F.size("a")))
-    return (found.join(reps.select("sid", "n", "sampled", "room"), "sid")
-            .select("sid", "n", F.explode(F.concat(F.when(left > 0, F.slice("a", F.lit(1), left)).otherwise(F.slice("a", 1, 0)), "b")).alias("x"))
-            .select("x.token", "x.df", "sid", "n"))
+def signed_sets(docs: DataFrame, sets: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
+    """``sid, n, marks``: the signatures of each distinct set."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            sid, n, marks = [], [], []
+            for want, s in zip(b.column(0).to_pylist(), row_sets(b.column(1), k)):
+                if len(s) and sid_of(s) == want:  # an id may be shared by other texts
+                    sid.append(want), n.append(len(s)), marks.append(as_long(signatures(s, percent)))
+            offs = np.concatenate([[0], np.cumsum([len(x) for x in marks])]).astype(np.int32)
+            flat = np.concatenate(marks) if marks else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))], names=["sid", "n", "marks"])
+
+    first = sets.where("n > 0").groupBy("sid").agg(F.min("key").alias("key"))
+    rows = docs.select(_key(doc_id, text).alias("key"), F.col(text).cast("string").alias("text")).join(first, "key")
+    return rows.select("sid", "text").mapInArrow(run, "sid long, n long, marks array<long>")
+
+
+def shared_keys(signed: DataFrame) -> DataFrame:
+    """``token, df, sid, n``: signatures that several distinct sets have."""
+    marks = signed.select("sid", "n", F.explode("marks").alias("token"))
+    counts = cut(marks.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    possible = may_hold(signed.sparkSession, build_filter(counts.select(F.xxhash64("token").alias("h")), FILTER_BLOCKS))
+    return marks.where(possible(F.xxhash64("token"))).join(counts, "token").select("token", "df", "sid", "n").distinct()
 
 
 class Node:
@@ -225,51 +258,50 @@ class Trie:
             stack += [(n, overlap, at) for n in node.children.values()]
 
 
-def link_tiles(rows: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: links found by a trie in each tile of ``tile, sid, comp, elements``; tiles hold some hundred sets."""
+def link_tiles(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """``a, b``: links found by a trie in each tile of ``tile, sid, comp, packed``; tiles hold some hundred sets."""
 
-    def flush(sid: list, comp: list, sets: list, out: list) -> None:
-        seen: dict[int, int] = {}
-        for i, s in enumerate(sid):
-            seen.setdefault(s, i)
-        keep = list(seen.values())
-        if len({comp[i] for i in keep}) < 2:
+    def flush(members: dict[int, tuple[int, bytes]], out: list) -> None:
+        if len({comp for comp, _ in members.values()}) < 2:
             return
-        for i, j in Trie([np.frombuffer(sets[i], dtype=np.uint64) for i in keep], [comp[i] for i in keep], percent).join():
-            out.append((sid[keep[i]], sid[keep[j]]))
+        sid = list(members)
+        sets = row_sets(pa.array([zlib.decompress(packed).decode() for _, packed in members.values()], pa.large_string()), k)
+        right = [(s, x) for s, x in zip(sid, sets) if len(x) and sid_of(x) == s]  # an id may be shared by other texts
+        links = Trie([x for _, x in right], [members[s][0] for s, _ in right], percent).join()
+        out += [(right[i][0], right[j][0]) for i, j in links]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, sid, comp, sets, out = None, [], [], [], []
+        tile, members, out = None, {}, []
         for b in batches:
             for t, s, c, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
                 if t != tile:
-                    flush(sid, comp, sets, out)
-                    tile, sid, comp, sets = t, [], [], []
-                sid.append(s), comp.append(c), sets.append(e.as_py())
+                    flush(members, out)
+                    tile, members = t, {}
+                members[s] = (c, e.as_py())
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+                yield _links(out)
                 out = []
-        flush(sid, comp, sets, out)
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+        flush(members, out)
+        yield _links(out)
 
-    return (rows.select("tile", "sid", "comp", "elements").repartition("tile").sortWithinPartitions("tile")
+    return (rows.select("tile", "sid", "comp", "packed").repartition("tile").sortWithinPartitions("tile")
             .mapInArrow(run, "a long, b long"))
 
 
-def elements(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
-    """``sid, elements`` (sorted hashes as bytes) of ``wanted`` (key, sid), from the texts."""
+def _links(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+
+
+def packed_texts(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``sid, tile, packed`` of ``wanted`` (key, sid, tile): the texts, compressed, because they move in less space than hashes do."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
-            sid, sets = [], []
-            for s, want in zip(row_sets(b.column(1), k), b.column(0).to_pylist()):
-                if len(s) and sid_of(s) == want:
-                    sid.append(want)
-                    sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(sets, pa.binary())], names=["sid", "elements"])
+            packed = [zlib.compress(x.as_py() or b"", 1) for x in b.column(2).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], names=["sid", "tile", "packed"])
 
     rows = docs.select(_key(doc_id, text).alias("key"), F.col(text).cast("string").alias("text")).join(wanted, "key")
-    return rows.select("sid", "text").mapInArrow(run, "sid long, elements binary").dropDuplicates(["sid"])
+    return rows.select("sid", "tile", "text").mapInArrow(run, "sid long, tile long, packed binary")
 
 
 def _several(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -288,18 +320,29 @@ def _with_comp(keys: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 def set_components(sets: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
     """``node, comp`` of the distinct sets that are linked with another."""
-    keys = cut(prefix_keys(sets))
-    some = keys.select("sid").distinct()
-    wanted = sets.where("n > 0").groupBy("sid").agg(F.min("key").alias("key")).join(some, "sid")
-    full = cut(elements(docs, wanted, doc_id, text, k))
+    keys = cut(shared_keys(cut(signed_sets(docs, sets, doc_id, text, k, percent))))
+
+    # sets that hang together by any signatures: a small block is one tile, and settled by it
+    low = keys.groupBy("token").agg(F.min("sid").alias("a"))
+    blocks = components(keys.join(low, "token").where("sid <> a").select("a", F.col("sid").alias("b")))
+    blocks = blocks.select(F.col("node").alias("sid"), F.col("comp").alias("block"))
+    large = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("members")).withColumn("large", F.col("members") > BLOCK_SETS)
+    blocks = cut(blocks.join(large, "block").select("sid", "block", "large"))
 
-    # each set in its largest group
+    # in a large one, each set goes to its largest group
+    keys = cut(keys.join(blocks.where("large").select("sid"), "sid"))
     own = keys.groupBy("sid").agg(F.max(F.struct("df", "token")).alias("x")).select("sid", "x.token")
-    sizes = own.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sizes = own.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
     chunk = F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / CHUNK))
-    tiles = own.join(sizes, "token").select(F.xxhash64("token", chunk).alias("tile"), "sid", F.col("sid").alias("comp"))
-    links = cut(link_tiles(tiles.join(full, "sid"), percent))
+    homes = (own.join(sizes, "token").select("sid", F.xxhash64("token", chunk).alias("tile"))
+             .unionByName(blocks.where("not large").select("sid", F.xxhash64("block").alias("tile"))))
+    wanted = sets.where("n > 0").groupBy("sid").agg(F.min("key").alias("key")).join(homes, "sid")
+    full = cut(packed_texts(docs, wanted, doc_id, text))
+    links = cut(link_tiles(full.withColumn("comp", F.col("sid")), k, percent))
     comps = cut(components(links))
+    if keys.isEmpty():
+        return comps
+    full = full.drop("tile").join(keys.select("sid").distinct(), "sid", "left_semi")
 
     # some representatives of each component in each group
     rows = cut(_with_comp(keys, comps))
@@ -309,7 +352,7 @@ def set_components(sets: DataFrame, docs: DataFrame, doc_id: str, text: str, k:
             .select("token", "comp", F.explode(F.array_distinct(F.array(*[f"r{i}.sid" for i in range(REPRESENTATIVES)]))).alias("sid")))
     sizes = near.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
     tiles = near.join(sizes, "token").select(F.xxhash64("token", F.pmod(F.xxhash64("comp"), F.ceil(F.col("size") / CHUNK))).alias("tile"), "sid", "comp")
-    more = cut(link_tiles(tiles.join(full, "sid"), percent))
+    more = cut(link_tiles(tiles.join(full, "sid"), k, percent))
     links = cut(links.unionByName(more))
     comps = cut(components(links))
 
@@ -323,13 +366,13 @@ def set_components(sets: DataFrame, docs: DataFrame, doc_id: str, text: str, k:
     parts = (rows.join(left, ["token", "band"])
              .withColumn("i", F.pmod(F.xxhash64("sid"), m)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), m - 1))))
     tiles = parts.select(F.xxhash64("token", "band", F.least("i", "j"), F.greatest("i", "j")).alias("tile"), "sid", "comp")
-    last = cut(link_tiles(tiles.join(full, "sid"), percent))
+    last = cut(link_tiles(tiles.join(full, "sid"), k, percent))
     return cut(components(links.unionByName(last)))
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id`` (the smallest id reachable by links)."""
-    sets = cut(summarise(docs, doc_id, text, k, percent))
+    sets = cut(summarise(docs, doc_id, text, k))
     comps = set_components(sets, docs, doc_id, text, k, percent)
     own = sets.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("low"))
     named = own.join(comps, own.sid == comps.node, "left").select("sid", "low", F.coalesce("comp", "sid").alias("comp"))

@@ -38,14 +38,14 @@ def canonical(url: Column) -> tuple[Column, Column]:
     return ascii_lower(part(1)), part(2)
 
 
-def build_filter(listing: DataFrame, blocks: int = BLOCKS) -> np.ndarray:
-    """The filter's words: bits of one block are combined on the executors, at most ``blocks`` words come back."""
-    h = F.xxhash64(F.concat_ws(SEP, "host", "path"))
+def build_filter(listed: DataFrame, blocks: int = BLOCKS) -> np.ndarray:
+    """The filter's words over the hashes ``h``: bits of one block are combined on the executors, at most ``blocks`` words come back."""
+    h = F.col("h")
     bits = F.lit(0).cast("long")
     for i in range(PROBES):
         bit = F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")
         bits = bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit))
-    words = (listing.select(F.shiftrightunsigned(h, 64 - blocks.bit_length() + 1).alias("block"), bits.alias("bits"))
+    words = (listed.select(F.shiftrightunsigned(h, 64 - blocks.bit_length() + 1).alias("block"), bits.alias("bits"))
              .groupBy("block").agg(F.bit_or("bits").alias("bits")))
     out = np.zeros(blocks, dtype=np.int64)
     for r in words.collect():
@@ -93,7 +93,7 @@ def judge(pages: DataFrame, listing: DataFrame, url: str = "url", default: str =
             .select("u", "host", F.explode(F.filter(lengths, lambda n: n <= F.length("p"))).alias("n"), "p")
             .select("u", "host", F.substring("p", F.lit(1), F.col("n")).alias("path"))
             .withColumn("k", F.xxhash64(F.concat_ws(SEP, "host", "path"))))
-    possible = keys.where(may_hold(spark, build_filter(rules, blocks))("k")).drop("k")
+    possible = keys.where(may_hold(spark, build_filter(rules.select(F.xxhash64(F.concat_ws(SEP, "host", "path")).alias("h")), blocks))("k")).drop("k")
     if facts.n <= BROADCAST_ROWS:
         hits = possible.join(F.broadcast(rules), ["host", "path"])
     else:
