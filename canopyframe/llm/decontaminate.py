@@ -72,7 +72,8 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     # ids may be missing: a hash of id and text stands for the row on both sides
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "row")
     texts = rows.withColumn("key", key).join(found.select(key.alias("key")).distinct(), "key", "left_semi").dropDuplicates(["doc_id", "row"])
-    exact = texts.select("doc_id", "row", F.explode(run_texts(words_of(F.col("text")), k)).alias("run"))
+    # words first, as a column of their own: inside the function of each run they would be split again for every run
+    exact = texts.select("doc_id", "row", words_of(F.col("text")).alias("w")).select("doc_id", "row", F.explode(run_texts(F.col("w"), k)).alias("run"))
     return (exact.join(runs, "run").groupBy("doc_id", "row", "item_id", "item", "size").agg(F.count(F.lit(1)).alias("shared"))
             .where(F.col("shared") * 100 >= F.col("size") * percent)
             .select("doc_id", "row", "item_id", F.col("size").cast("long").alias("item_runs"), "shared", (F.col("shared") / F.col("size")).alias("containment")))
