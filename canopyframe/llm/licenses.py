@@ -25,6 +25,7 @@ from canopyframe.llm.common import ascii_lower
 K = 3
 SLIP = 2
 COVER = 0.6
+MAX_GRAMS = 100_000
 MARK = "\x00"
 # ASCII between words.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -59,6 +60,8 @@ def words_of(text: Column) -> Column:
 
 def templates(spark: SparkSession, phrases=None, texts=None) -> DataFrame:
     """``template, label, base, grams, t, gram``: every gram position of every template, with the marker as template -1."""
+    if sum(len(w.split()) for w, _ in [*(phrases or PHRASES), *(texts or TEXTS)]) > MAX_GRAMS:
+        raise ValueError(f"templates of more than {MAX_GRAMS} words in all are not broadcast")
     rows = [(-1, None, False, 1, 0, MARK)]
     for i, (words, label, base) in enumerate([(*p, True) for p in phrases or PHRASES] + [(*p, False) for p in texts or TEXTS]):
         w = words.split()
@@ -76,7 +79,8 @@ def hits(docs: DataFrame, table: DataFrame, doc_id: str, text: str) -> DataFrame
     rows = (docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("row"), words_of(F.col(text)).alias("w"))
             .select("doc_id", "row", F.size("w").cast("long").alias("n_words"), F.posexplode(F.concat(grams, F.array(F.lit(MARK)))).alias("p", "gram"))
             .withColumn("h", F.xxhash64("gram")))
-    return (rows.join(table, ["h", "gram"])
+    # the table's size follows from the code alone (see templates), so all texts stay where they are
+    return (rows.join(F.broadcast(table), ["h", "gram"])
             .groupBy("doc_id", "row", "n_words", "template", "label", "base", "grams", "t", F.when(F.col("template") >= 0, F.col("p") - F.col("t")).alias("diagonal"))
             .agg(F.count(F.lit(1)).alias("copies")))
 
