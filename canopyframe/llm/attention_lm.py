@@ -144,7 +144,8 @@ def make_classes(counts: np.ndarray) -> Classes:
     smooth = counts + ADD
     total = np.bincount(of, weights=smooth, minlength=CLASSES)
     symbol = np.full(n, -1, dtype=np.int16)
-    symbol[order[: SYMBOLS - SHARED]] = np.arange(SYMBOLS - SHARED)
+    own = order[: SYMBOLS - SHARED]
+    symbol[own] = np.arange(len(own))
     other = np.flatnonzero(symbol < 0)
     symbol[other] = SYMBOLS - SHARED + other % SHARED
     return Classes(of, np.log10(smooth / total[of]).astype(np.float32), symbol)
@@ -296,6 +297,8 @@ class Model:
     #: sorted frequent word hashes (as unsigned) and their counts
     frequent: np.ndarray
     counts: np.ndarray
+    #: learnable documents, which is the end token's count
+    ends: int
     total: int
     distinct: int
     losses: list[float]
@@ -309,7 +312,7 @@ def fit(spark: SparkSession, docs: DataFrame, learn: Column, ranks, fit_docs: in
     known = docs.where(learn)
     counts = cut(count(known, ranks))
     words = counts.where("not subword").select("key", "c")
-    facts = words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    facts = words.agg(F.sum("c").alias("n"), F.max(F.when(F.col("key") == END_HASH, F.col("c"))).alias("ends"), F.count(F.lit(1)).alias("v")).first()
     # the count from which on words are frequent enough, from a histogram of logarithms
     steps = words.groupBy(F.floor(F.log2(F.col("c").cast("double")) * 8).alias("s")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("s")).collect()
     room, least = FREQUENT, None
@@ -340,7 +343,7 @@ def fit(spark: SparkSession, docs: DataFrame, learn: Column, ranks, fit_docs: in
     if parts:
         x, y, use = (np.concatenate(p) for p in zip(*parts))
         losses = attention.train(x.astype(np.int64), y.astype(np.int64), use.astype(np.float32))
-    return Model(classes, attention, keys[order], c[order], int(facts.n or 0), int(facts.v or 0), losses), words
+    return Model(classes, attention, keys[order], c[order], int(facts.ends or 0), int(facts.n or 0), int(facts.v or 0), losses), words
 
 
 def score(docs: DataFrame, model: Model, words: DataFrame, ranks) -> DataFrame:
@@ -349,10 +352,6 @@ def score(docs: DataFrame, model: Model, words: DataFrame, ranks) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, subs = shared.value, _worker(ranks.value)
-        end_count = 0
-        e = np.searchsorted(m.frequent, np.uint64(np.int64(END_HASH).view(np.uint64)))
-        if e < len(m.frequent) and m.frequent[e] == np.int64(END_HASH).view(np.uint64):
-            end_count = int(m.counts[e])
         for b in batches:
             for i, j, data, offs in slices(b.column(1)):
                 w = Words(data, offs, SPACES)
@@ -364,8 +363,8 @@ def score(docs: DataFrame, model: Model, words: DataFrame, ranks) -> DataFrame:
                     part = np.where(often, m.log10(m.counts[pos]), 0.0)
                 else:
                     often, part = np.zeros(len(h), bool), np.zeros(len(h))
-                base = np.bincount(w.row, weights=part[at], minlength=n) + m.log10(np.array([end_count]))[0]
-                known = np.bincount(w.row, weights=often[at], minlength=n).astype(np.int64) + (end_count > 0)
+                base = np.bincount(w.row, weights=part[at], minlength=n) + m.log10(np.array([m.ends]))[0]
+                known = np.bincount(w.row, weights=often[at], minlength=n).astype(np.int64) + (m.ends > 0)
                 other = np.flatnonzero(~often[at])
                 pair, times = np.unique(w.row[other] * len(h) + at[other], return_counts=True) if len(other) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
                 owner = pair // max(len(h), 1)
