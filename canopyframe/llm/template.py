@@ -244,9 +244,9 @@ def templates(tokens: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, url: str = "url", html: str = "html", name: str = "text") -> DataFrame:
     """``pages`` without ``html`` and with its main text as ``name``."""
     hosted = pages.withColumn("__host", canonical(F.col(url))[0])
-    learnt = cut(templates(occurrences(hosted, html, "__host"))).withColumnRenamed("host", "__host")
+    learnt = cut(templates(occurrences(hosted, html, "__host"))).select(F.col("host").alias("__host"), F.col("template").alias("__template"))
     keep = [c for c in pages.columns if c not in (html, name)]
-    rows = hosted.join(learnt, "__host", "left").select(*keep, F.col(html).cast("string").alias("__html"), F.col("template").alias("__template"))
+    rows = hosted.join(learnt, "__host", "left").select(*keep, F.col(html).cast("string").alias("__html"), "__template")
     schema = T.StructType([*rows.select(*keep).schema.fields, T.StructField(name, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
