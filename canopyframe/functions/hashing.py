@@ -12,7 +12,7 @@ MODULUS = 2147483647
 
 def mix_sql(*parts: str | int) -> str:
     """SQL text of a non-linear hash of the given integer expressions, in [0, 2^31 - 2]."""
-    weights = (1000003, 7919, 104729, 15485863)
+    weights = (1000003, 7919, 104729, 15485863, *(2 * (48271 * i % 7_000_001) + 1 for i in range(4, len(parts))))
     body = " + ".join(f"(CAST({p} AS BIGINT) % {MODULUS}) * {w}" for p, w in zip(parts, weights))
     h = f"(({body} + 12345) % {MODULUS})"
     for _ in range(2):
@@ -34,8 +34,8 @@ def uniform(*parts: str | int) -> Column:
 
 def normal_sql(*parts: str | int) -> str:
     """Standard normal deviate by Box and Muller from two independent hashes."""
-    a = mix_sql(*parts[:3], 101)
-    b = mix_sql(*parts[:3], 202)
+    a = mix_sql(*parts, 101)
+    b = mix_sql(*parts, 202)
     u = f"((CAST({a} AS DOUBLE) + 1) / {MODULUS + 1})"
     v = f"(CAST({b} AS DOUBLE) / {MODULUS})"
     return f"(sqrt(-2 * ln({u})) * cos(2 * pi() * {v}))"

@@ -56,6 +56,8 @@ def enclosing_circle(xy: np.ndarray) -> tuple[float, float, float]:
                 if (np.hypot(cand[:, 0] - c[0], cand[:, 1] - c[1]) <= c[2] * (1 + 1e-10) + 1e-12).all() and (best is None or c[2] < best[0][2]):
                     best = (c, cand[list(pick)])
         circle, support = best
+    else:
+        raise ArithmeticError(f"no enclosing circle of {len(xy)} points found")
     return circle[0] + origin[0], circle[1] + origin[1], circle[2]
 
 

@@ -52,14 +52,17 @@ def moments(df: DataFrame, keys: Sequence[str], xs: Sequence[str], ys: Sequence[
 
 
 def solve(df: DataFrame, k: int, t: str, out: str, m: str = "m") -> DataFrame:
-    """Adds ``out_0..out_{k-1}`` solving the symmetric system ``m_i_j . out = t_i`` by elimination."""
+    """Adds ``out_0..out_{k-1}`` solving the symmetric system ``m_i_j . out = t_i`` by elimination.
+
+    A zero pivot (too few rows, a constant or repeated column) gives null results for that row only.
+    """
     a = {(i, j): f"{m}_{min(i, j)}_{max(i, j)}" for i in range(k) for j in range(k)}
     b = {i: t.format(i) for i in range(k)}
     made: list[str] = []
     for p in range(k):
         step = {}
         for i in range(p + 1, k):
-            f = F.col(a[i, p]) / F.col(a[p, p])
+            f = F.try_divide(F.col(a[i, p]), F.col(a[p, p]))
             for j in range(p + 1, k):
                 step[f"__e{out}{p}_{i}_{j}"] = F.col(a[i, j]) - f * F.col(a[p, j])
             step[f"__e{out}{p}_{i}"] = F.col(b[i]) - f * F.col(b[p])
@@ -74,7 +77,7 @@ def solve(df: DataFrame, k: int, t: str, out: str, m: str = "m") -> DataFrame:
         s = F.col(b[i])
         for j in range(i + 1, k):
             s = s - F.col(a[i, j]) * F.col(f"{out}_{j}")
-        df = df.withColumn(f"{out}_{i}", s / F.col(a[i, i]))
+        df = df.withColumn(f"{out}_{i}", F.try_divide(s, F.col(a[i, i])))
     return df.drop(*made)
 
 
@@ -96,7 +99,7 @@ def linear_fit(df: DataFrame, xs: Sequence[str], y: str, by: Sequence[str] = ())
     sse = F.col(f"q_{y}") - sum((F.col(f"b_{i}") * F.col(f"t_{i}_{y}") for i in range(1, k)), F.col("b_0") * F.col(f"t_0_{y}"))
     b0 = F.col("b_0") + F.col(f"__mu_{y}") - sum((F.col(f"b_{i + 1}") * F.col(f"__mu_{x}") for i, x in enumerate(xs)), F.lit(0.0))
     return m.select(*by, b0.alias("b_0"), *[f"b_{i}" for i in range(1, k)], F.col("m_0_0").alias("n"),
-                    F.sqrt(sse / (F.col("m_0_0") - 1)).alias("resid_sd"), (1 - sse / F.col(f"q_{y}")).alias("r2"))
+                    F.sqrt(F.try_divide(sse, F.col("m_0_0") - 1)).alias("resid_sd"), (1 - F.try_divide(sse, F.col(f"q_{y}"))).alias("r2"))
 
 
 def linear_oof(df: DataFrame, row: str, xs: Sequence[str], y: str, group: str | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -112,7 +115,7 @@ def linear_oof(df: DataFrame, row: str, xs: Sequence[str], y: str, group: str |
     fold = own.join(total, ks).withColumns({c: F.col(f"__T{c}") - F.col(c) for c in cols}).drop(*[f"__T{c}" for c in cols])
     fold = solve(fold, k, f"t_{{}}_{y}", "b")
     sse = F.col(f"q_{y}") - sum((F.col(f"b_{i}") * F.col(f"t_{i}_{y}") for i in range(1, k)), F.col("b_0") * F.col(f"t_0_{y}"))
-    fold = fold.select(*ks, group or row, *[f"b_{i}" for i in range(k)], F.sqrt(F.greatest(sse, F.lit(0.0)) / (F.col("m_0_0") - 1)).alias("sd"))
+    fold = fold.select(*ks, group or row, *[f"b_{i}" for i in range(k)], F.sqrt(F.try_divide(F.greatest(sse, F.lit(0.0)), F.col("m_0_0") - 1)).alias("sd"))
     pred = sum((F.col(f"b_{i + 1}") * F.col(x) for i, x in enumerate(xs)), F.col("b_0"))
     return d.join(fold, [*ks, group or row]).select(*by, row, *([group] if group else []), F.col(y).alias("y"), pred.alias("pred"), "sd")
 
@@ -271,10 +274,11 @@ def assisted_mean(sample: DataFrame, population: DataFrame, keys: Sequence[str],
 
 def efficiency(df: DataFrame, keys: Sequence[str], y: str = "y", p: str = "pred") -> DataFrame:
     r = F.col(y) - F.col(p)
+    ratio = F.try_divide(F.col("__vy"), F.col("__ve"))
     return df.groupBy(*keys).agg(F.var_samp(y).alias("__vy"), F.var_samp(r).alias("__ve"), F.count(F.lit(1)).alias("n"), F.avg(r).alias("residual_bias")).select(
-        *keys, "n", (F.col("__vy") / F.col("__ve")).alias("re"), (F.col("n") * (F.col("__vy") / F.col("__ve") - 1)).alias("equivalent_plots"),
+        *keys, "n", ratio.alias("re"), (F.col("n") * (ratio - 1)).alias("equivalent_plots"),
         F.sqrt(F.col("__vy") / F.col("n")).alias("se_field"), F.sqrt(F.col("__ve") / F.col("n")).alias("se_model"),
-        (100 * (1 - F.sqrt(F.col("__ve") / F.col("__vy")))).alias("se_reduction"), "residual_bias")
+        (100 * (1 - F.sqrt(F.try_divide(F.col("__ve"), F.col("__vy"))))).alias("se_reduction"), "residual_bias")
 
 
 def density_factors(df: DataFrame, raw: str, y: str, proxy: str) -> DataFrame:

@@ -138,9 +138,9 @@ def leverage(df):
     return d.withColumn("dr2", (1 - (F.col("s.sse") - e2) / sst) - full).drop("s")
 
 
-@query("f02_influence_ranking", "plot:i dr2:d", f"SELECT * FROM ({LEV.format(PANEL)}) ORDER BY abs(dr2) DESC, plot LIMIT 12")
+@query("f02_influence_ranking", "plot:i dr2:d", f"SELECT * FROM ({LEV.format(PANEL)}) ORDER BY abs(dr2) DESC, plot")
 def _(fx):
-    return leverage(panel(fx)).orderBy(F.abs("dr2").desc(), "plot").limit(12)
+    return leverage(panel(fx)).orderBy(F.abs("dr2").desc(), "plot")
 
 
 @query("f04_nearest_to_census", "plot:i gap:d", f"SELECT plot, abs(n_obs / n_field - 0.61) AS gap FROM fx_panel ORDER BY 2, 1 LIMIT 12")
@@ -150,11 +150,7 @@ def _(fx):
 
 @query("g01_pooled_views", "n:i n_views:i", "SELECT count(*) AS n, count(DISTINCT view_id) AS n_views FROM fx_detections")
 def _(fx):
-    parts = [fx.fx_detections.where(F.col("view_id") == v) for v in range(9)]
-    pooled = parts[0]
-    for p in parts[1:]:
-        pooled = pooled.unionByName(p)
-    return pooled.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("view_id").alias("n_views"))
+    return fx.fx_detections.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("view_id").alias("n_views"))
 
 
 @query("g02_concatenated_stands", "stand:i n:i", "SELECT stand, count(*) AS n FROM fx_detections GROUP BY stand")

@@ -37,9 +37,14 @@ def _(fx):
     return K.stand_radius(tiles(fx), "det_id", fraction=0.3, side=8.0)
 
 
+def table_source(fx, name: str) -> str:
+    """A table's path for a stream: as a pattern it may be a single file or a folder of files."""
+    return f"{fx.folder}/{name}.parque[t]"
+
+
 @query("k02_streaming_merge", "det_id:i stand:i tile_seq:i radius:d")
 def _(fx):
-    raw = fx.spark.readStream.schema(fx.events.schema).option("pathGlobFilter", "events.parquet").parquet(fx.folder)
+    raw = fx.spark.readStream.schema(fx.events.schema).parquet(table_source(fx, "events"))
     t = fx.spark.sql(VIEWS["fx_tile_events"], events=raw).withColumnRenamed("event_id", "det_id")
     return K.run_available(K.merge_stream(t, fraction=0.3), "kept")
 
@@ -54,7 +59,7 @@ def _(fx):
 
 @query("k04_incremental_distillation", DISTIL_COLS, DISTIL)
 def _(fx):
-    raw = fx.spark.readStream.schema(fx.lineitem.schema).option("pathGlobFilter", "lineitem.parquet").parquet(fx.folder)
+    raw = fx.spark.readStream.schema(fx.lineitem.schema).parquet(table_source(fx, "lineitem"))
     def view(name, **src):
         return fx.spark.sql(VIEWS[name], **src)
     s = view("fx_labelled", fx_stem1=view("fx_stem1", fx_stem0=view("fx_stem0", lineitem=raw)))

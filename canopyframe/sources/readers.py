@@ -42,10 +42,11 @@ def surveyed_positions(df: DataFrame) -> DataFrame:
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     """CSV with separator ``,``, ``;`` or tab (the commonest in its header), names trimmed.
 
-    Falls back to latin-1 when the header is not valid UTF-8.
+    Falls back to latin-1 when any line is not valid UTF-8.
     """
-    head = spark.read.text(path).limit(1).first()[0]
-    charset = "ISO-8859-1" if "\ufffd" in head else "UTF-8"
+    lines = spark.read.text(path)
+    head = lines.first()[0]
+    charset = "UTF-8" if lines.where(~F.is_valid_utf8("value")).isEmpty() else "ISO-8859-1"
     sep = max([",", ";", "\t"], key=head.count)
     df = spark.read.csv(path, sep=sep, header=True, inferSchema=True, encoding=charset)
     return df.toDF(*[c.strip() for c in df.columns])
@@ -126,6 +127,21 @@ def distil(points: DataFrame) -> DataFrame:
                  F.avg("y").alias("cent_y"), F.max("z").alias("z_max"), F.count(F.lit(1)).alias("n_pts")))
 
 
+def distil_parts(points: DataFrame) -> DataFrame:
+    """What ``distil`` needs of a part of the points, in a form that adds up."""
+    return (points.where("inst >= 0").groupBy("tile", "inst")
+            .agg(F.min("x").alias("base_x"), F.min("y").alias("base_y"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"),
+                 F.max("z").alias("z_max"), F.count(F.lit(1)).alias("n_pts")))
+
+
+def distil_merge(parts: DataFrame) -> DataFrame:
+    """``distil`` of all points from any split of them into parts."""
+    n = F.sum("n_pts")
+    return parts.groupBy("tile", "inst").agg(
+        F.min("base_x").alias("base_x"), F.min("base_y").alias("base_y"), (F.sum("sum_x") / n).alias("cent_x"), (F.sum("sum_y") / n).alias("cent_y"),
+        F.max("z_max").alias("z_max"), n.alias("n_pts"))
+
+
 def drop_replays(df: DataFrame, keys: Sequence[str] = ("tile", "inst")) -> DataFrame:
     return df.dropDuplicates(list(keys))
 

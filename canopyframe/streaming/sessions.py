@@ -141,13 +141,18 @@ def run_available(stream: DataFrame, label: str) -> DataFrame:
 
 
 def distil_stream(points: DataFrame, label: str) -> DataFrame:
-    """Distil labelled tiles batch by batch; a replayed tile replaces its own partition only."""
-    from canopyframe.sources.readers import distil
+    """Distil labelled tiles batch by batch.
+
+    Each batch keeps its own parts, so a tile may arrive in any number of files and batches; a batch that runs again replaces what it wrote.
+    """
+    from canopyframe.sources.readers import distil_merge, distil_parts
     spark = points.sparkSession
     path, log = scratch(spark, label), scratch(spark, label + "-log")
+    shape = distil_parts(points.limit(0) if not points.isStreaming else spark.createDataFrame([], points.schema))
+    shape.write.parquet(f"{path}/batch=-1")
 
-    def save(batch: DataFrame, _: int) -> None:
-        distil(batch).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tile").parquet(path)
+    def save(batch: DataFrame, number: int) -> None:
+        distil_parts(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
     q = points.writeStream.foreachBatch(save).option("checkpointLocation", log).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.option("basePath", path).parquet(path)
+    return distil_merge(spark.read.option("basePath", path).parquet(path))
