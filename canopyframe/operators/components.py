@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from canopyframe.session import cut
+from canopyframe.session import cut, free
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -22,8 +22,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         big = big.where("u <> v")
         low2 = big.groupBy("u").agg(F.min("v").alias("m"))
         small = big.join(low2, "u")
-        e = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v"))
+        old, e = e, cut(small.select(F.col("v").alias("u"), F.col("m").alias("v"))
                 .unionByName(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        free(old)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == tuple(now):
             break
