@@ -68,11 +68,13 @@ def _(fx):
 
 # ---- merge radius sweeps ------------------------------------------------------------------------
 
-RADII = (1.0, 1.5, 2.0)
+# The swept merge radii in metres, and those of the sensitivity table.
+RADII = (1.1, 1.3, 1.5, 1.7, 1.9, 2.1, 2.3)
+SENSITIVITY = (1.0, 1.2, 1.5, 1.6, 1.8, 2.0, 2.5)
 
 
-def merged_by_radius(fx):
-    d = T.with_params(fx.fx_detections, [{"radius": r} for r in RADII])
+def merged_by_radius(fx, radii=RADII):
+    d = T.with_params(fx.fx_detections, [{"radius": r} for r in radii])
     kept = nms(d, "det_id", "n_pts", "radius", ["stand", "radius"])
     return cut(d.join(kept, ["stand", "radius", "det_id"], "left_semi"))
 
@@ -110,7 +112,7 @@ def _(fx):
 
 @query("i45_radius_sensitivity", "radius:d n:i pairs:i")
 def _(fx):
-    kept = merged_by_radius(fx)
+    kept = merged_by_radius(fx, SENSITIVITY)
     p = S.close_pairs(kept, "det_id", 1.6, ["stand", "radius"]).groupBy("radius").agg(F.count(F.lit(1)).alias("pairs"))
     return kept.groupBy("radius").agg(F.count(F.lit(1)).alias("n")).join(p, "radius", "left").na.fill(0, ["pairs"])
 
