@@ -233,10 +233,10 @@ DRAW = mix_sql("tree_id", "seed", "arm", 77)
 WITH c AS (SELECT * FROM fx_trees JOIN (VALUES (0,1),(0,2),(0,3),(1,1),(1,2),(1,3)) a(arm, seed) ON arm = 1 OR stand = 1 + seed),
 r AS (SELECT *, row_number() OVER (PARTITION BY arm, seed, stand ORDER BY {DRAW}, tree_id) AS r FROM c)
 SELECT arm, seed, stand, count(*) AS n, min(tree_id) AS first FROM r
-WHERE r <= CASE WHEN arm = 0 THEN 120 ELSE 20 END AND (arm = 0 OR stand <= 6) GROUP BY 1, 2, 3""")
+WHERE r <= CASE WHEN arm = 0 THEN 120 ELSE 20 END GROUP BY 1, 2, 3""")
 def _(fx):
-    """Arm 0 draws 120 trees from one stand, arm 1 draws 20 from each of six, per seed."""
-    c = T.with_params(fx.fx_trees, ARMS).where("(arm = 1 and stand <= 6) or (arm = 0 and stand = 1 + seed)")
+    """Arm 0 draws 120 trees from one stand, arm 1 draws 20 from each stand, per seed."""
+    c = T.with_params(fx.fx_trees, ARMS).where("arm = 1 or stand = 1 + seed")
     quota = F.when(F.col("arm") == 0, 120).otherwise(20)
     kept = T.take_hashed(c, ["arm", "seed", "stand"], quota, 77, ["tree_id", "seed", "arm"], ["tree_id"])
     return kept.groupBy("arm", "seed", "stand").agg(F.count(F.lit(1)).alias("n"), F.min("tree_id").alias("first"))

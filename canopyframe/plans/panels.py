@@ -363,9 +363,9 @@ def _(fx):
     return a.unpivot([], ["age", "hdom"], "covariate", "r")
 
 
-@query("i24_score_on_measured", SCORE_COLS, f"SELECT {SCORES} FROM {PANEL} WHERE plot IN (SELECT DISTINCT plot FROM fx_census WHERE d_cm IS NOT NULL) AND plot % 4 <> 0")
+@query("i24_score_on_measured", SCORE_COLS, f"SELECT {SCORES} FROM {PANEL} WHERE plot IN (SELECT DISTINCT plot FROM fx_census WHERE d_cm IS NOT NULL)")
 def _(fx):
-    measured = fx.fx_census.where("d_cm is not null and plot % 4 <> 0").select("plot").distinct()
+    measured = fx.fx_census.where("d_cm is not null").select("plot").distinct()
     return P.scores(panel(fx).join(measured, "plot"), [])
 
 

@@ -312,10 +312,10 @@ def _(fx):
 
 
 @query("d82_condition_summary", "condition:i axis:s dmin:d dmax:d dmean:d", """
-WITH c AS (SELECT stand, scan_angle % 4 AS condition, count(*) / 10000.0 AS d FROM fx_points WHERE scan_angle >= 0 GROUP BY 1, 2)
+WITH c AS (SELECT stand, (scan_angle % 4 + 4) % 4 AS condition, count(*) / 10000.0 AS d FROM fx_points GROUP BY 1, 2)
 SELECT condition, CASE WHEN condition = 0 THEN 'full' WHEN condition < 3 THEN 'density' ELSE 'angle' END AS axis, min(d) AS dmin, max(d) AS dmax, avg(d) AS dmean FROM c GROUP BY 1, 2""")
 def _(fx):
-    c = fx.fx_points.where("scan_angle >= 0").groupBy("stand", (F.col("scan_angle") % 4).alias("condition")).agg((F.count(F.lit(1)) / 10000.0).alias("d"))
+    c = fx.fx_points.groupBy("stand", F.pmod("scan_angle", F.lit(4)).alias("condition")).agg((F.count(F.lit(1)) / 10000.0).alias("d"))
     axis = F.when(F.col("condition") == 0, "full").when(F.col("condition") < 3, "density").otherwise("angle")
     return c.groupBy("condition", axis.alias("axis")).agg(F.min("d").alias("dmin"), F.max("d").alias("dmax"), F.avg("d").alias("dmean"))
 
