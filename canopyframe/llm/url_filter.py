@@ -47,9 +47,9 @@ def build_filter(listed: DataFrame, blocks: int = BLOCKS) -> np.ndarray:
         bits = bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit))
     words = (listed.select(F.shiftrightunsigned(h, 64 - blocks.bit_length() + 1).alias("block"), bits.alias("bits"))
              .groupBy("block").agg(F.bit_or("bits").alias("bits")))
+    found = words.toArrow()  # two numbers a word; as row objects they would fill the driver
     out = np.zeros(blocks, dtype=np.int64)
-    for r in words.collect():
-        out[r.block] = r.bits
+    out[found["block"].to_numpy()] = found["bits"].to_numpy()
     return out.view(np.uint64)
 
 
