@@ -181,8 +181,8 @@ class Attention:
         z = h + u @ w["w2"]
         return z @ w["out"] + w["bias"], (x, e, q, k, v, a, c, h, u, z)
 
-    def log10(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """log10 probability of the class ``y`` at each position."""
+    def log10(self, x: np.ndarray, y: np.ndarray, use: np.ndarray) -> np.ndarray:
+        """log10 probability of the class ``y`` at each used position, one after another; the others are only context."""
         w = self.w
         e = w["emb"][x] + w["pos"][: x.shape[1]]
         a = (e @ (w["q"] / np.sqrt(np.float32(WIDTH)))) @ (e @ w["k"]).transpose(0, 2, 1)
@@ -192,14 +192,14 @@ class Attention:
         a *= self.mask
         # values with a constant: one product gives the weighted sum and the weights' total
         c = a @ np.concatenate([e @ w["v"], np.ones((*x.shape, 1), np.float32)], axis=2)
-        h = e + (c[..., :-1] / c[..., -1:]) @ w["o"]
-        h = h.reshape(-1, WIDTH)
+        c, y = c[use], y[use]
+        h = e[use] + (c[:, :-1] / c[:, -1:]) @ w["o"]
         logits = (h + np.maximum(h @ w["w1"] + w["b1"], 0) @ w["w2"]) @ w["out"] + w["bias"]
         if logits.max() > 40 or logits.min() < -40:
             np.clip(logits, -40, 40, out=logits)
-        right = logits[np.arange(len(logits)), y.ravel()].copy()
+        right = logits[np.arange(len(logits)), y]
         np.exp(logits, out=logits)
-        return ((right - np.log(logits @ np.ones(CLASSES, np.float32))) * np.float32(1 / np.log(10))).reshape(y.shape)
+        return (right - np.log(logits @ np.ones(CLASSES, np.float32))) * np.float32(1 / np.log(10))
 
     def gradients(self, x: np.ndarray, y: np.ndarray, use: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over the used positions and its gradients."""
@@ -285,8 +285,8 @@ def score_texts(model: Attention, classes: Classes, ids: np.ndarray, bound: np.n
     out = np.zeros(len(bound) - 1)
     for i in range(0, len(at), BATCH):
         a, s = at[i: i + BATCH], scored[i: i + BATCH]
-        found = model.log10(inputs[a], kind[a]) + within[a]
-        out += np.bincount(row[i: i + BATCH], weights=np.where(s, found, 0).sum(axis=1), minlength=len(out))
+        found = model.log10(inputs[a], kind[a], s) + within[a[s]]
+        out += np.bincount(np.repeat(row[i: i + BATCH], s.sum(axis=1)), weights=found, minlength=len(out))
     return out
 
 

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from canopyframe.llm.common import PUNCTUATION, Words, as_long, mix, separators, shingles, slices
+from canopyframe.llm.common import PUNCTUATION, Words, as_long, mix, shingles, slices
 from canopyframe.session import cut
 
 FIT_ROWS = 20_000
