@@ -177,7 +177,7 @@ def test_attention_gradients_and_causality():
     x2[:, 20:] = 1
     after, _ = model.forward(x2)
     assert np.allclose(before[:, :20], after[:, :20])
-    p = 10 ** np.stack([model.log10(x, np.full_like(y, c)) for c in range(lm.CLASSES)])
+    p = 10 ** np.stack([model.log10(x, np.full_like(y, c), np.ones(y.shape, bool)) for c in range(lm.CLASSES)])
     assert np.allclose(p.sum(0), 1, atol=1e-5)
 
 
