@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from canopyframe.llm.common import SPACES, Words, as_long, mix, shingles, slices
 from canopyframe.llm.url_filter import build_filter, may_hold
 from canopyframe.operators.components import components
-from canopyframe.session import cut
+from canopyframe.session import cut, free
 
 GROWTH = 1.6  # of one size class over the next smaller
 CHUNK = 256
@@ -259,7 +259,10 @@ class Trie:
 
 
 def link_tiles(rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """``a, b``: links found by a trie in each tile of ``tile, sid, comp, packed``; tiles hold some hundred sets."""
+    """``node, comp``: components of ``tile, sid, comp, packed`` that a tile's trie joins, each with the smallest one joined (itself included).
+
+    Tiles hold some hundred sets.
+    """
 
     def flush(members: dict[int, tuple[int, bytes]], out: list) -> None:
         if len({comp for comp, _ in members.values()}) < 2:
@@ -267,8 +270,13 @@ def link_tiles(rows: DataFrame, k: int, percent: int) -> DataFrame:
         sid = list(members)
         sets = row_sets(pa.array([zlib.decompress(packed).decode() for _, packed in members.values()], pa.large_string()), k)
         right = [(s, x) for s, x in zip(sid, sets) if len(x) and sid_of(x) == s]  # an id may be shared by other texts
-        links = Trie([x for _, x in right], [members[s][0] for s, _ in right], percent).join()
-        out += [(right[i][0], right[j][0]) for i, j in links]
+        comps = [members[s][0] for s, _ in right]
+        trie = Trie([x for _, x in right], comps, percent)
+        trie.join()
+        joined: dict[int, set[int]] = {}
+        for i, c in enumerate(comps):
+            joined.setdefault(trie.forest.find(i), set()).add(c)
+        out += [(c, min(j)) for j in joined.values() if len(j) > 1 for c in j]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, members, out = None, {}, []
@@ -285,11 +293,11 @@ def link_tiles(rows: DataFrame, k: int, percent: int) -> DataFrame:
         yield _links(out)
 
     return (rows.select("tile", "sid", "comp", "packed").repartition("tile").sortWithinPartitions("tile")
-            .mapInArrow(run, "a long, b long"))
+            .mapInArrow(run, "node long, comp long"))
 
 
 def _links(out: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["node", "comp"])
 
 
 def packed_texts(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -312,15 +320,23 @@ def _several(rows: DataFrame, by: list[str]) -> DataFrame:
     return groups.groupBy("size", "m1", "m2").agg(F.min(F.struct(*by)).alias("g")).select("g.*", "size")
 
 
-def _with_comp(keys: DataFrame, comps: DataFrame | None) -> DataFrame:
-    if comps is None:
-        return keys.withColumn("comp", F.col("sid"))
+def merged(comps: DataFrame, found: DataFrame) -> DataFrame:
+    """``comps`` (node, comp) after joining the components that ``found`` pairs (node, comp) connect."""
+    now = cut(components(found, "node", "comp")).select(F.col("node").alias("was"), F.col("comp").alias("now"))
+    old = comps.join(now, comps.comp == now.was, "left").select("node", F.coalesce("now", "comp").alias("comp"))
+    new = now.join(comps, now.was == comps.node, "left_anti").select(F.col("was").alias("node"), F.col("now").alias("comp"))
+    return old.unionByName(new)
+
+
+def _with_comp(keys: DataFrame, comps: DataFrame) -> DataFrame:
     return keys.join(comps, keys.sid == comps.node, "left").withColumn("comp", F.coalesce("comp", "sid")).drop("node")
 
 
 def set_components(sets: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
     """``node, comp`` of the distinct sets that are linked with another."""
-    keys = cut(shared_keys(cut(signed_sets(docs, sets, doc_id, text, k, percent))))
+    signed = cut(signed_sets(docs, sets, doc_id, text, k, percent))
+    keys = cut(shared_keys(signed))
+    free(signed)
 
     # sets that hang together by any signatures: a small block is one tile, and settled by it
     low = keys.groupBy("token").agg(F.min("sid").alias("a"))
@@ -338,8 +354,8 @@ def set_components(sets: DataFrame, docs: DataFrame, doc_id: str, text: str, k:
              .unionByName(blocks.where("not large").select("sid", F.xxhash64("block").alias("tile"))))
     wanted = sets.where("n > 0").groupBy("sid").agg(F.min("key").alias("key")).join(homes, "sid")
     full = cut(packed_texts(docs, wanted, doc_id, text))
-    links = cut(link_tiles(full.withColumn("comp", F.col("sid")), k, percent))
-    comps = cut(components(links))
+    # every set is in one tile here, so what the tiles join are components already
+    comps = cut(link_tiles(full.withColumn("comp", F.col("sid")), k, percent))
     if keys.isEmpty():
         return comps
     full = full.drop("tile").join(keys.select("sid").distinct(), "sid", "left_semi")
@@ -352,9 +368,7 @@ def set_components(sets: DataFrame, docs: DataFrame, doc_id: str, text: str, k:
             .select("token", "comp", F.explode(F.array_distinct(F.array(*[f"r{i}.sid" for i in range(REPRESENTATIVES)]))).alias("sid")))
     sizes = near.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
     tiles = near.join(sizes, "token").select(F.xxhash64("token", F.pmod(F.xxhash64("comp"), F.ceil(F.col("size") / CHUNK))).alias("tile"), "sid", "comp")
-    more = cut(link_tiles(tiles.join(full, "sid"), k, percent))
-    links = cut(links.unionByName(more))
-    comps = cut(components(links))
+    comps = cut(merged(comps, link_tiles(tiles.join(full, "sid"), k, percent)))
 
     # what is left, exactly: different components that share a group and a pair of size bands
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent) * 1.0001 if percent < 100 else 1e-9)).cast("long")
@@ -366,8 +380,7 @@ def set_components(sets: DataFrame, docs: DataFrame, doc_id: str, text: str, k:
     parts = (rows.join(left, ["token", "band"])
              .withColumn("i", F.pmod(F.xxhash64("sid"), m)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), m - 1))))
     tiles = parts.select(F.xxhash64("token", "band", F.least("i", "j"), F.greatest("i", "j")).alias("tile"), "sid", "comp")
-    last = cut(link_tiles(tiles.join(full, "sid"), k, percent))
-    return cut(components(links.unionByName(last)))
+    return cut(merged(comps, link_tiles(tiles.join(full, "sid"), k, percent)))
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
