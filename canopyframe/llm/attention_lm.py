@@ -6,13 +6,15 @@ Words are what white space separates, lower-cased (A-Z); a text ends with one en
 The attention model predicts subwords (a public byte-pair vocabulary, named by path) in two steps: their class from the context, then the subword within its class from
 counts over all learnable documents. The most frequent subwords and the end have classes of their own, the others share classes of about equal mass, so the output
 layer stays small. One layer: embeddings with positions, causal attention, a hidden layer, a softmax over classes;
-trained here with Adam on the windows of at most ``FIT_DOCS`` documents (smallest hashed ids). A text of any length is cut into
+trained with Adam on the windows of all learnable documents. The driver only makes a first guess, from at most ``FIT_DOCS`` documents (smallest
+hashed ids). In each of ``ROUNDS`` rounds tasks start from the same weights and learn from their own windows; the mean of their weights, by windows, begins
+the next round. A document belongs to one round by its hashed id, so each window is learnt from once and training grows with the input. A text of any length is cut into
 windows of ``WINDOW`` positions, each starting ``STRIDE`` later, so positions after the first window are predicted from at least ``WINDOW - STRIDE`` before
 them; every position is scored once, in the first window that holds it. Windows of many texts are scored together under one mask.
 
-Scale: two passes over the texts. Counts are made by task, then by word hash. Looking up counts, words among the ``FREQUENT`` most frequent
+Scale: two passes over the texts, and one over each round's share. Counts are made by task, then by word hash. Looking up counts, words among the ``FREQUENT`` most frequent
 ones come from a broadcast table of that size; the others go through a join by hash, as one row per text and distinct word.
-Broadcast and driver hold the frequent words (2 MB), counts by subword and ``FIT_DOCS`` texts; the table of all words stays distributed.
+Broadcast and driver hold the frequent words (2 MB), counts by subword, ``FIT_DOCS`` texts and one set of weights; the table of all words stays distributed.
 
 Defined cases: null and empty texts have one token, the end; rows without an id are scored, but not learnt from and not held out; repeated rows stay
 repeated, and are learnt from as often; without learnable documents all counts are 0 and the untrained model scores; words are told apart by 64-bit hashes.
@@ -44,6 +46,9 @@ WIDTH, HIDDEN = 16, 32
 WINDOW, STRIDE = 32, 24
 BATCH = 256
 STEPS, STEP_WINDOWS, RATE = 600, 128, 4e-3
+ROUNDS, ROUND_RATE = 3, 2e-3
+#: rows in which a task's weights are sent to be added up
+PARTS = 64
 CACHE = 200_000
 ADD = 0.1
 
@@ -165,8 +170,8 @@ class Attention:
         self.w = {n: (g.standard_normal(s) * (0.3 if n in ("emb", "pos") else 1 / np.sqrt(s[0])) if len(s) > 1 else np.zeros(s)).astype(np.float32) for n, s in shapes.items()}
         self.mask = np.tril(np.ones((WINDOW, WINDOW), dtype=np.float32))
 
-    def forward(self, x: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """Logits ``(windows, WINDOW, CLASSES)`` of what follows each position."""
+    def attend(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Queries, keys, values, attention, its sums and the embeddings."""
         w = self.w
         e = w["emb"][x] + w["pos"][: x.shape[1]]
         q, k, v = e @ (w["q"] / np.sqrt(np.float32(WIDTH))), e @ w["k"], e @ w["v"]
@@ -175,7 +180,12 @@ class Attention:
         np.exp(a, out=a)
         a *= self.mask
         a /= a.sum(axis=2, keepdims=True)
-        c = a @ v
+        return q, k, v, a, a @ v, e
+
+    def forward(self, x: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """Logits ``(windows, WINDOW, CLASSES)`` of what follows each position."""
+        w = self.w
+        q, k, v, a, c, e = self.attend(x)
         h = e + c @ w["o"]
         u = np.maximum(h @ w["w1"] + w["b1"], 0)
         z = h + u @ w["w2"]
@@ -204,31 +214,39 @@ class Attention:
     def gradients(self, x: np.ndarray, y: np.ndarray, use: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over the used positions and its gradients."""
         w = self.w
-        logits, (x, e, q, k, v, a, c, h, u, z) = self.forward(x)
-        logits -= logits.max(axis=2, keepdims=True)
-        p = np.exp(logits)
-        p /= p.sum(axis=2, keepdims=True)
-        n = max(int(use.sum()), 1)
-        b, t = np.indices(y.shape)
-        loss = float(-(np.log(p[b, t, y] + 1e-30) * use).sum() / n)
-        p[b, t, y] -= 1
-        p *= (use / np.float32(n))[:, :, None]
+        q, k, v, a, c, e = self.attend(x)
+        some = use > 0
+        share, y, c = use[some], y[some], c[some]
+        n = max(int(share.sum()), 1)
+        h = e[some] + c @ w["o"]
+        u = np.maximum(h @ w["w1"] + w["b1"], 0)
+        z = h + u @ w["w2"]
+        p = z @ w["out"] + w["bias"]
+        p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
+        p /= p.sum(axis=1, keepdims=True)
+        at = np.arange(len(y))
+        loss = float(-(np.log(p[at, y] + 1e-30) * share).sum() / n)
+        p[at, y] -= 1
+        p *= (share / np.float32(n))[:, None]
         flat = lambda m: m.reshape(-1, m.shape[-1])
-        g = {"out": flat(z).T @ flat(p), "bias": flat(p).sum(0)}
+        g = {"out": z.T @ p, "bias": p.sum(0)}
         dz = p @ w["out"].T
-        g["w2"] = flat(u).T @ flat(dz)
+        g["w2"] = u.T @ dz
         du = (dz @ w["w2"].T) * (u > 0)
-        g["w1"], g["b1"] = flat(h).T @ flat(du), flat(du).sum(0)
+        g["w1"], g["b1"] = h.T @ du, du.sum(0)
         dh = dz + du @ w["w1"].T
-        g["o"] = flat(c).T @ flat(dh)
-        dc = dh @ w["o"].T
+        g["o"] = c.T @ dh
+        dc = np.zeros_like(e)
+        dc[some] = dh @ w["o"].T
         dv = a.transpose(0, 2, 1) @ dc
         da = dc @ v.transpose(0, 2, 1)
         ds = a * (da - (da * a).sum(axis=2, keepdims=True))
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
         root = np.sqrt(np.float32(WIDTH))
         g["q"], g["k"], g["v"] = flat(e).T @ flat(dq) / root, flat(e).T @ flat(dk), flat(e).T @ flat(dv)
-        de = dh + dq @ w["q"].T / root + dk @ w["k"].T + dv @ w["v"].T
+        de = dq @ w["q"].T / root + dk @ w["k"].T + dv @ w["v"].T
+        de[some] += dh
         g["pos"] = np.zeros_like(w["pos"])
         g["pos"][: x.shape[1]] = de.sum(0)
         g["emb"] = np.zeros_like(w["emb"])
@@ -237,21 +255,31 @@ class Attention:
 
     def train(self, x: np.ndarray, y: np.ndarray, use: np.ndarray, steps: int = STEPS, seed: int = 3) -> list[float]:
         """Adam on random batches of windows; returns the losses."""
-        rng, losses = np.random.default_rng(seed), []
-        m = {n: np.zeros_like(v) for n, v in self.w.items()}
-        s = {n: np.zeros_like(v) for n, v in self.w.items()}
+        rng, losses, adam = np.random.default_rng(seed), [], Adam(self)
         for t in range(1, steps + 1):
             pick = rng.integers(0, len(x), min(STEP_WINDOWS, len(x)))
-            loss, g = self.gradients(x[pick], y[pick], use[pick])
-            losses.append(loss)
-            rate = RATE * min(1.0, t / 30) * (1 - 0.9 * t / steps)
-            for n, d in g.items():
-                m[n] += 0.1 * (d - m[n])
-                s[n] += 0.02 * (d * d - s[n])
-                self.w[n] -= (rate * (m[n] / (1 - 0.9 ** t)) / (np.sqrt(s[n] / (1 - 0.98 ** t)) + 1e-8)).astype(np.float32)
+            losses.append(adam.step(x[pick], y[pick], use[pick], RATE * min(1.0, t / 30) * (1 - 0.9 * t / steps)))
         return losses
 
 
+class Adam:
+    """Steps of the optimiser on a model's weights."""
+
+    def __init__(self, model: Attention):
+        self.model, self.t = model, 0
+        self.m = {n: np.zeros_like(v) for n, v in model.w.items()}
+        self.s = {n: np.zeros_like(v) for n, v in model.w.items()}
+
+    def step(self, x: np.ndarray, y: np.ndarray, use: np.ndarray, rate: float) -> float:
+        loss, g = self.model.gradients(x, y, use)
+        self.t += 1
+        for n, d in g.items():
+            self.m[n] += 0.1 * (d - self.m[n])
+            self.s[n] += 0.02 * (d * d - self.s[n])
+            self.model.w[n] -= (rate * (self.m[n] / (1 - 0.9 ** self.t)) / (np.sqrt(self.s[n] / (1 - 0.98 ** self.t)) + 1e-8)).astype(np.float32)
+        return loss
+
+
 def windows(ids: np.ndarray, bound: np.ndarray, classes: Classes, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Windows over texts whose subwords are ``ids[bound[r]:bound[r + 1]]``.
 
@@ -302,13 +330,75 @@ class Model:
     total: int
     distinct: int
     losses: list[float]
+    #: windows learnt from in the rounds: all of the learnable documents'
+    learnt: int
 
     def log10(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + ADD) / (self.total + ADD * (self.distinct + 1)))
 
 
+def text_windows(texts: pa.Array, classes: Classes, subs: Subwords) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Inputs, target classes and scored positions of the texts' windows, a slice of the texts at a time."""
+    for _, _, data, offs in slices(texts):
+        w = Words(data, offs, SPACES)
+        _, at, flat, starts = subs.of(w)
+        ids, before = expand(at, flat, starts)
+        inputs, target, places, scored, _ = windows(ids, before[w.bound], classes, subs.end)
+        yield inputs[places], classes.of[target][places], scored
+
+
+def learn_round(texts: DataFrame, attention: Attention, classes: Classes, ranks, rate: float) -> tuple[Attention, int]:
+    """The mean, by windows, of the weights that tasks reach from ``attention`` on their own windows of ``texts`` (text), and the number of windows."""
+    spark = texts.sparkSession
+    begin = spark.sparkContext.broadcast((attention, classes))
+    names = list(attention.w)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        subs = _worker(ranks.value)
+        first, kinds = begin.value
+        model = Attention()
+        model.w = {n: v.copy() for n, v in first.w.items()}
+        adam, rng, seen, rest = Adam(model), np.random.default_rng(5), 0, None
+        for part in itertools.chain((p for b in batches for p in text_windows(b.column(0), kinds, subs)), [None]):
+            if part is not None:
+                order = rng.permutation(len(part[0]))
+                part = tuple(p[order] for p in part)
+                rest = part if rest is None else tuple(np.concatenate(p) for p in zip(rest, part))
+            if rest is None:
+                continue
+            n = len(rest[0])
+            whole = n if part is None else n - n % STEP_WINDOWS
+            for i in range(0, whole, STEP_WINDOWS):
+                x, y, use = (p[i: min(i + STEP_WINDOWS, whole)] for p in rest)
+                adam.step(x.astype(np.int64), y.astype(np.int64), use.astype(np.float32), rate * min(1.0, (adam.t + 1) / 30))
+            seen, rest = seen + whole, tuple(p[whole:] for p in rest)
+        if seen:
+            sums = np.array_split(np.concatenate([model.w[n].ravel() for n in names]).astype(np.float64) * seen, PARTS)
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([seen] * PARTS, pa.int64()), pa.array([x.tobytes() for x in sums], pa.binary())], names=["part", "n", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, list] = {}
+        for b in batches:
+            for part, n, sums in zip(*(c.to_pylist() for c in b.columns)):
+                x = np.frombuffer(sums)
+                t = total.setdefault(part, [0, np.zeros_like(x)])
+                t[0], t[1] = t[0] + n, t[1] + x
+        yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([t[0] for t in total.values()], pa.int64()), pa.array([t[1].tobytes() for t in total.values()], pa.binary())], names=["part", "n", "sums"])
+
+    shape = "part int, n long, sums binary"
+    rows = sorted(texts.select("text").mapInArrow(learn, shape).repartition("part").mapInArrow(add, shape).collect(), key=lambda r: r.part)
+    begin.unpersist()
+    if not rows:
+        return attention, 0
+    flat, out, at = np.concatenate([np.frombuffer(r.sums) for r in rows]) / rows[0].n, Attention(), 0
+    for n in names:
+        size = attention.w[n].size
+        out.w[n], at = flat[at: at + size].reshape(attention.w[n].shape).astype(np.float32), at + size
+    return out, rows[0].n
+
+
 def fit(spark: SparkSession, docs: DataFrame, learn: Column, ranks, fit_docs: int = FIT_DOCS) -> tuple[Model, DataFrame]:
-    """The model and the table of word counts (``key, c``)."""
+    """The model and the table of word counts (``key, c``); ``fit_docs`` documents give the weights from which the rounds begin."""
     known = docs.where(learn)
     counts = cut(count(known, ranks))
     words = counts.where("not subword").select("key", "c")
@@ -333,17 +423,16 @@ def fit(spark: SparkSession, docs: DataFrame, learn: Column, ranks, fit_docs: in
     chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
     texts = known.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("text").cast("string")).toArrow().column("text")
     attention, losses = Attention(), []
-    parts = []
-    for _, _, data, offs in slices(texts):
-        w = Words(data, offs, SPACES)
-        _, at, flat, starts = subs.of(w)
-        ids, before = expand(at, flat, starts)
-        inputs, target, places, scored, _ = windows(ids, before[w.bound], classes, subs.end)
-        parts.append((inputs[places], classes.of[target][places], scored))
+    parts = list(text_windows(texts, classes, subs))
     if parts:
         x, y, use = (np.concatenate(p) for p in zip(*parts))
         losses = attention.train(x.astype(np.int64), y.astype(np.int64), use.astype(np.float32))
-    return Model(classes, attention, keys[order], c[order], int(facts.ends or 0), int(facts.n or 0), int(facts.v or 0), losses), words
+    learnt = 0
+    for i in range(ROUNDS):
+        share = known.where(F.pmod(F.xxhash64(F.lit("round"), "doc_id"), F.lit(ROUNDS)) == i).select(F.col("text").cast("string").alias("text"))
+        attention, n = learn_round(share, attention, classes, ranks, ROUND_RATE * 0.5 ** i)
+        learnt += n
+    return Model(classes, attention, keys[order], c[order], int(facts.ends or 0), int(facts.n or 0), int(facts.v or 0), losses, learnt), words
 
 
 def score(docs: DataFrame, model: Model, words: DataFrame, ranks) -> DataFrame:

@@ -218,6 +218,26 @@ def test_word_model(spark, monkeypatch, frequent):
     assert empty.count() == 0
 
 
+def test_attention_learns_from_all_documents(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from canopyframe.llm import attention_lm as lm
+    monkeypatch.setattr(lm, "STEPS", 5)
+    ranks = spark.sparkContext.broadcast(lm.read_ranks(lm.VOCABULARY_PATH))
+    rng = random.Random(9)
+    lines = [(i, sentence(rng, 150)) for i in range(40)]
+    lines += [(40, None), (41, ""), (3, lines[3][1])]
+    first = spark.createDataFrame(lines, "doc_id long, text string").orderBy(F.xxhash64("doc_id"), "doc_id").first().doc_id
+    # the same words in another order, everywhere but in the document the driver begins with: all counts stay
+    turned = [(i, t if i == first or not t else " ".join(reversed(t.split()))) for i, t in lines]
+    models = [lm.fit(spark, spark.createDataFrame(x, "doc_id long, text string").repartition(3), F.lit(True), ranks, fit_docs=1)[0] for x in (lines, turned)]
+    assert (models[0].classes.of == models[1].classes.of).all()
+    assert any(np.abs(models[0].attention.w[n] - models[1].attention.w[n]).max() > 1e-5 for n in models[0].attention.w)
+    subs = lm.Subwords(ranks.value)
+    sizes = [sum(len(subs._encode(" " + w)) for w in (t or "").translate(LOWER).split()) + 1 for _, t in lines]
+    assert models[0].learnt == models[1].learnt == sum(1 + max(0, -(-(n - lm.WINDOW) // lm.STRIDE)) for n in sizes)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
     docs, labels, _ = labelled(spark, 400)
