@@ -109,17 +109,31 @@ def _key(doc_id: str, text: str):
     return F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(F.col(text)))
 
 
+def _text_hash(text: str):
+    """Tells the texts of one key apart."""
+    return F.xxhash64(F.col(text).cast("string"))
+
+
 def summarise(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
-    """``doc_id, key, n, sid`` of every row."""
+    """``doc_id, key, mark, n, sid`` of every row; ``mark`` is a hash of its text."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
-            found = [(len(s), sid_of(s) if len(s) else None) for s in row_sets(b.column(2), k)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())],
-                                             names=["doc_id", "key", "n", "sid"])
+            found = [(len(s), sid_of(s) if len(s) else None) for s in row_sets(b.column(3), k)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())],
+                                             names=["doc_id", "key", "mark", "n", "sid"])
+
+    return (docs.select(F.col(doc_id).cast("long").alias("doc_id"), _key(doc_id, text).alias("key"), _text_hash(text).alias("mark"), F.col(text).cast("string").alias("text"))
+            .mapInArrow(run, "doc_id long, key long, mark long, n long, sid long"))
+
+
+def _first(sets: DataFrame) -> DataFrame:
+    """``sid, key, mark`` of one row of each distinct set: the key alone may stand on other texts, too."""
+    return sets.where("n > 0").groupBy("sid").agg(F.min(F.struct("key", "mark")).alias("x")).select("sid", "x.key", "x.mark")
+
 
-    return (docs.select(F.col(doc_id).cast("long").alias("doc_id"), _key(doc_id, text).alias("key"), F.col(text).cast("string").alias("text"))
-            .mapInArrow(run, "doc_id long, key long, n long, sid long"))
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(_key(doc_id, text).alias("key"), _text_hash(text).alias("mark"), F.col(text).cast("string").alias("text"))
 
 
 def signed_sets(docs: DataFrame, sets: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
@@ -129,14 +143,13 @@ def signed_sets(docs: DataFrame, sets: DataFrame, doc_id: str, text: str, k: int
         for b in rows:
             sid, n, marks = [], [], []
             for want, s in zip(b.column(0).to_pylist(), row_sets(b.column(1), k)):
-                if len(s) and sid_of(s) == want:  # an id may be shared by other texts
+                if len(s) and sid_of(s) == want:  # unless texts of one key share a hash
                     sid.append(want), n.append(len(s)), marks.append(as_long(signatures(s, percent)))
             offs = np.concatenate([[0], np.cumsum([len(x) for x in marks])]).astype(np.int32)
             flat = np.concatenate(marks) if marks else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))], names=["sid", "n", "marks"])
 
-    first = sets.where("n > 0").groupBy("sid").agg(F.min("key").alias("key"))
-    rows = docs.select(_key(doc_id, text).alias("key"), F.col(text).cast("string").alias("text")).join(first, "key")
+    rows = _rows(docs, doc_id, text).join(_first(sets), ["key", "mark"])
     return rows.select("sid", "text").mapInArrow(run, "sid long, n long, marks array<long>")
 
 
@@ -269,7 +282,7 @@ def link_tiles(rows: DataFrame, k: int, percent: int) -> DataFrame:
             return
         sid = list(members)
         sets = row_sets(pa.array([zlib.decompress(packed).decode() for _, packed in members.values()], pa.large_string()), k)
-        right = [(s, x) for s, x in zip(sid, sets) if len(x) and sid_of(x) == s]  # an id may be shared by other texts
+        right = [(s, x) for s, x in zip(sid, sets) if len(x) and sid_of(x) == s]  # unless texts of one key share a hash
         comps = [members[s][0] for s, _ in right]
         trie = Trie([x for _, x in right], comps, percent)
         trie.join()
@@ -301,14 +314,14 @@ def _links(out: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def packed_texts(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``sid, tile, packed`` of ``wanted`` (key, sid, tile): the texts, compressed, because they move in less space than hashes do."""
+    """``sid, tile, packed`` of ``wanted`` (key, mark, sid, tile): the texts, compressed, because they move in less space than hashes do."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             packed = [zlib.compress(x.as_py() or b"", 1) for x in b.column(2).cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], names=["sid", "tile", "packed"])
 
-    rows = docs.select(_key(doc_id, text).alias("key"), F.col(text).cast("string").alias("text")).join(wanted, "key")
+    rows = _rows(docs, doc_id, text).join(wanted, ["key", "mark"])
     return rows.select("sid", "tile", "text").mapInArrow(run, "sid long, tile long, packed binary")
 
 
@@ -352,7 +365,7 @@ def set_components(sets: DataFrame, docs: DataFrame, doc_id: str, text: str, k:
     chunk = F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / CHUNK))
     homes = (own.join(sizes, "token").select("sid", F.xxhash64("token", chunk).alias("tile"))
              .unionByName(blocks.where("not large").select("sid", F.xxhash64("block").alias("tile"))))
-    wanted = sets.where("n > 0").groupBy("sid").agg(F.min("key").alias("key")).join(homes, "sid")
+    wanted = _first(sets).join(homes, "sid")
     full = cut(packed_texts(docs, wanted, doc_id, text))
     # every set is in one tile here, so what the tiles join are components already
     comps = cut(link_tiles(full.withColumn("comp", F.col("sid")), k, percent))
@@ -383,29 +396,35 @@ def set_components(sets: DataFrame, docs: DataFrame, doc_id: str, text: str, k:
     return cut(merged(comps, link_tiles(tiles.join(full, "sid"), k, percent)))
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id`` (the smallest id reachable by links)."""
+def _judged(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with words (``doc_id, mark, n, comp, component_id``) and without (``doc_id, mark, n``)."""
     sets = cut(summarise(docs, doc_id, text, k))
     comps = set_components(sets, docs, doc_id, text, k, percent)
     own = sets.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("low"))
     named = own.join(comps, own.sid == comps.node, "left").select("sid", "low", F.coalesce("comp", "sid").alias("comp"))
     lowest = named.groupBy("comp").agg(F.min("low").alias("component_id"))
-    by_set = named.select("sid", "comp").join(lowest, "comp").select("sid", "component_id")
-    some = sets.where("n > 0").select("doc_id", "n", "sid").join(by_set, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    none = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return some.unionByName(none)
+    by_set = named.select("sid", "comp").join(lowest, "comp").select("sid", "comp", "component_id")
+    some = sets.where("n > 0").join(by_set, "sid").select("doc_id", "mark", "n", "comp", "component_id")
+    return some, sets.where("n = 0").select("doc_id", "mark", "n")
+
+
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: ``doc_id, n_shingles, component_id`` (the smallest id reachable by links)."""
+    some, none = _judged(docs, doc_id, text, k, percent)
+    some = some.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return some.unionByName(none.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without near copies: of each component the row with the smallest id stays (one of repeated rows).
+    """``docs`` without near copies: of each component a row with the smallest id stays (one, if that id stands on several of its rows).
 
-    Rows without an id and rows without words are no one's copies and stay.
+    Rows are judged by id and text, so an id that stands on different texts may stay on several. Rows without an id and rows without words are no one's copies and stay.
     """
-    found = jaccard_components(docs, doc_id, text, k, percent)
-    fate = found.where("doc_id is not null").groupBy("doc_id").agg(
-        F.min(F.when(F.col("n_shingles") > 0, F.col("component_id"))).alias("__c")).withColumnRenamed("doc_id", "__d")
-    w = Window.partitionBy("__d").orderBy(F.length(text).desc_nulls_last(), F.xxhash64(text))
-    known = (docs.where(F.col(doc_id).isNotNull()).join(fate, F.col(doc_id).cast("long") == F.col("__d"))
-             .where("__c is null or __c = __d")
-             .withColumn("__r", F.when(F.col("__c").isNull(), 1).otherwise(F.row_number().over(w))).where("__r = 1").drop("__d", "__c", "__r"))
-    return known.unionByName(docs.where(F.col(doc_id).isNull()))
+    some, none = _judged(docs, doc_id, text, k, percent)
+    fate = (some.where("doc_id = component_id").select("doc_id", "mark", "comp")
+            .unionByName(none.where("doc_id is not null").select("doc_id", "mark", F.lit(None).cast("long").alias("comp"))).distinct()
+            .toDF("__d", "__m", "__c"))
+    w = Window.partitionBy("__c").orderBy(F.length(text).desc_nulls_last(), F.xxhash64(text))
+    known = docs.where(F.col(doc_id).isNotNull()).join(fate, (F.col(doc_id).cast("long") == F.col("__d")) & (_text_hash(text) == F.col("__m")))
+    first = known.where("__c is not null").withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__d", "__m", "__c", "__r")
+    return first.unionByName(known.where("__c is null").drop("__d", "__m", "__c")).unionByName(docs.where(F.col(doc_id).isNull()))

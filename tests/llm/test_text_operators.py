@@ -105,6 +105,27 @@ def test_jaccard_empty_table_and_keep_one(spark):
     assert got.count(None) == 2
 
 
+@pytest.mark.parametrize("block,chunk", [(1024, 256), (1, 2)])
+def test_jaccard_one_id_on_several_texts(spark, monkeypatch, block, chunk):
+    import random
+
+    from canopyframe.llm import jaccard
+    from fixtures import sentence
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    rng = random.Random(12)
+    base = [sentence(rng, 100) for _ in range(12)]
+    near = [t + " more" for t in base]
+    # id 50 stands on twelve texts; ids 1 to 5 and 60 to 64 are copies of some of them, and two of its texts are near copies of each other
+    plain = [(50, t) for t in base] + [(i + 1, near[i]) for i in range(5)] + [(60 + i, near[5 + i]) for i in range(5)] + [(50, near[10]), (50, base[11])]
+    docs = documents(spark, [(i, t, None, None, None, 1.0, "h", 1, "w") for i, t in plain])
+    want = groups(plain, 5, 80)
+    assert rows_of(jaccard.jaccard_components(docs.repartition(5)), "doc_id", "n_shingles", "component_id") == sorted(want)
+    kept = rows_of(jaccard.keep_one(docs.repartition(5)), "doc_id", "text")
+    assert [i for i, _ in kept] == [1, 2, 3, 4, 5] + [50] * 7
+    assert {t for i, t in kept if i == 50} == {*base[5:10], near[10], base[11]}
+
+
 def test_media_round_trip_and_damage(spark):
     from canopyframe.llm import ogg
     df = ogg.read_media(ogg.with_media(documents(spark), "text"), ["doc_id", "text", "score"])
