@@ -7,7 +7,8 @@ pages and half of the host's, holds a structural element, and nests: the element
 single other class. Valid classes nested into one another are the host's template; its text runs are boilerplate, everything between is a slot.
 
 Slots are extracted in page order. What a slot is for follows from the elements around it: menus, headers, footers, sidebars, adverts, notices, forms,
-comments, scripts and styles are left out; if the page has an article (else a main) region, the text is that region's; only
+comments, scripts and styles are left out, but what stands around an article or main region counts for nothing in it unless it is a menu, an aside, a
+footer or a list of comments; if the page has an article (else a main) region, the text is that region's; only
 pages without either lean on the template, and there blocks that are mostly links go too. Inside an article no text is
 dropped for being repeated elsewhere.
 
@@ -40,12 +41,18 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 # Elements without end.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 # Elements whose content is no markup, or no text for readers.
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg".split())
+# Of these, what holds text of an article or main region.
+RAW_OUTSIDE = frozenset({"noscript", "svg"})
+# Elements whose articles are not the page's, and words of class and id names of comment lists.
+OTHERS = frozenset("nav aside footer".split())
+OTHERS_WORDS = frozenset("comment comments commentlist reply replies respond disqus".split())
 # Elements that never hold main text; the second set (also as a class) only outside an article or main region.
 LEFT_OUT = frozenset("nav footer aside form button select menu dialog object canvas audio video label input datalist".split())
 LEFT_OUT_OUTSIDE = frozenset({"header"})
-# Words of class and id names of the same parts.
+# Words of class and id names of the same parts; ``STATES`` begin or end names that only say whether a page has such a part.
 LEFT_OUT_WORDS = frozenset("ad ads adv advert advertisement advertisements advertising adverts sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices newsletter subscribe subscription signup menu menubar nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead topbar toolbar comment comments commentlist reply replies respond disqus share sharing social related recommended recommendations popup modal overlay widget widgets pagination pager login skip aside form search ticker".split())
+STATES = frozenset("has no with without open closed".split())
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
@@ -60,6 +67,8 @@ class Element:
     out: bool
     article: bool
     main: bool
+    #: inside a menu, an aside, a footer or a list of comments
+    others: bool = False
 
 
 @dataclass(slots=True)
@@ -83,17 +92,27 @@ def _attributes(source: str) -> dict[str, str]:
 
 def _enter(name: str, attrs: dict[str, str], up: Element | None) -> Element:
     kind = " ".join(attrs.get(a, "") for a in ("class", "id"))
-    words = {w.lower() for w in _NAME.findall(kind)}
+    words = set()
+    for part in kind.split():
+        found = [w.lower() for w in _NAME.findall(part)]
+        # "has-sidebar" or "comments-open" tells what is elsewhere on the page
+        if found and found[0] not in STATES and found[-1] not in STATES:
+            words.update(found)
     role = attrs.get("role", "").lower()
     article = (up.article if up else False) or name == "article" or role == "article" or attrs.get("itemprop", "").lower() == "articlebody"
     main = (up.main if up else False) or name == "main" or role == "main"
     out = up.out if up else False
-    if name in ("article", "main", "body", "html"):
+    others = (up.others if up else False) or name in OTHERS or name not in ("main", "body", "html") and bool(words & OTHERS_WORDS)
+    opens = article and not (up and up.article) or main and not (up and (up.main or up.article))
+    if opens and not others:
+        # what is around a region says nothing about it
+        out = False
+    elif name in ("article", "main", "body", "html"):
         out = out or bool(words & {"comment", "comments", "reply"}) and name == "article"
     else:
         out = (out or name in LEFT_OUT or (name in LEFT_OUT_OUTSIDE or bool(words & LEFT_OUT_OUTSIDE)) and not (article or main) or bool(words & LEFT_OUT_WORDS) or role in LEFT_OUT_ROLES
                or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower())
-    return Element(name, _hash(up.path if up else 0, name, kind, role), out, article, main)
+    return Element(name, _hash(up.path if up else 0, name, kind, role), out, article, main, others)
 
 
 class Page:
@@ -158,7 +177,7 @@ class Page:
                     self._flush()
                     self._close(name)
                 continue
-            if name in RAW:
+            if name in RAW and not (name in RAW_OUTSIDE and self._stack and (self._stack[-1].article or self._stack[-1].main)):
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
                 if not m[3].rstrip().endswith("/"):
                     at = end.end() if end else (len(source) if name in ("script", "style") else at)

@@ -82,6 +82,20 @@ def test_main_text(spark):
     assert template.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("before,after", [("<form id=aspnetForm>", "</form>"), ("<div class='has-sidebar'>", "</div>"), ("<div class='no-sidebar'>", "</div>"), ("<div id='page' class='with-banner'>", "</div>"),
+                                          ("<div class='search-results'>", "</div>"), ("<div class='no-comments'>", "</div>")])
+def test_wrappers_leave_regions_whole(before, after):
+    from canopyframe.llm import template
+    inner = "<p>Body <math><mi>x</mi><mo>=</mo><mn>2</mn></math> end</p><noscript>still</noscript><div class='has-sidebar'>wide</div><div class='share'>Share</div>"
+    for name in ("article", "main"):
+        page = template.Page(f"<body>{before}<div class=menu>Menu</div><{name}>{inner}</{name}>{after}</body>")
+        assert page.text(set()) == "Body x=2 end\nstill\nwide", name
+    assert template.Page(f"<main><form><article>{inner}</article></form></main>").text(set()) == "Body x=2 end\nstill\nwide"
+    for around in ("nav", "aside", "footer", "section class=comments"):
+        page = template.Page(f"<article><p>Own</p></article><{around}><article><p>Other</p></article></{around.split()[0]}>")
+        assert page.text(set()) == "Own"
+
+
 def labelled(spark, n=900):
     rng = random.Random(6)
     rows, labels = [], []
