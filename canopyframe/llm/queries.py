@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from canopyframe.llm import attention_lm, decontaminate, jaccard, licenses, mixing, ogg, quality, template, toxicity, url_filter
+from canopyframe.llm import attention_lm, decontaminate, jaccard, licenses, merkle, mixing, ogg, quality, template, toxicity, url_filter
 from canopyframe.llm.common import crc_rest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,9 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     held = crc_rest(F.col("doc_id"), 10) == 0
     scored = attention_lm.score_documents(table(spark, folder, "documents").select("doc_id", "text"), held)
     return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op13_merkle_manifest")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's leaf, proof and the root that its (sometimes tampered) proof folds to."""
+    return merkle.of_documents(table(spark, folder, "documents"))
