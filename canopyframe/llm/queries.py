@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from canopyframe.llm import attention_lm, decontaminate, jaccard, licenses, merkle, mixing, ogg, quality, template, toxicity, url_filter, whitening
+from canopyframe.llm import attention_lm, decontaminate, jaccard, licenses, merkle, mixing, ogg, quality, secret_scan, template, toxicity, url_filter, whitening
 from canopyframe.llm.common import crc_rest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,6 +161,12 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query("op11_secret_scan", secret_scan.scan_sql())
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its counts of the base kinds, the hash of their spans and all spans."""
+    return secret_scan.scan(table(spark, folder, "documents"))
+
+
 @query("op12_embedding_whitening")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     """Every embedding on the 16 leading components of the distinct vectors' covariance, whitened."""
