@@ -1,6 +1,7 @@
 """Session defaults and durable lineage cuts."""
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -51,11 +52,21 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def free(df: DataFrame) -> None:
-    """Deletes what ``cut`` wrote for ``df``; call it once everything made from ``df`` is written."""
-    files = df.inputFiles()
-    folder = files[0].rsplit("/", 1)[0] if files else ""
-    if folder.rsplit("/", 1)[-1].startswith("cut-"):
-        jvm = df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def free(*frames: DataFrame) -> None:
+    """Deletes what ``cut`` wrote for each of ``frames``; call it once everything made from them is written."""
+    for df in frames:
+        files = df.inputFiles()
+        folder = files[0].rsplit("/", 1)[0] if files else ""
+        if folder.rsplit("/", 1)[-1].startswith("cut-"):
+            jvm = df.sparkSession.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nobody holds any more.
+
+    Spark does so when the driver's JVM happens to collect its garbage; with a large heap that can be long after a big shuffle was read.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
