@@ -1,14 +1,14 @@
 """Lattices, fitted models and model-based evaluation."""
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
 from canopyframe.functions import scalars as X
 from canopyframe.functions.hashing import mix, mix_sql, uniform
-from canopyframe.operators import lattice as L, models as M, panel as P, transforms as T
+from canopyframe.operators import lattice as L, metrics as Q, models as M, panel as P, transforms as T, trees as G
 from canopyframe.operators.ranks import exact_quantiles, sorted_index
 from canopyframe.operators.spatial import grid_join, nn_distance
 from canopyframe.plans.joins import PLOTS
 from canopyframe.plans.panels import panel
+from canopyframe.plans.rasters import DIST_COLS, LMOM_COLS, VOXEL_COLS
 from canopyframe.plans.registry import query
 from canopyframe.session import cut
 
@@ -104,14 +104,28 @@ def _(fx):
     return M.choose({f"net_{a}": M.elastic_net(XS, "y", 0.5, a) for a in (0.2, 0.8, 1.0)}, folded(fx), "plot", "y")[1]
 
 
-@query("j08_random_forest", "plot:i y:d pred:d")
+@query("j08_random_forest", "scheme:s plot:i y:d pred:d")
 def _(fx):
-    return M.group_oof(M.forest(XS, "y", 50), folded(fx), "plot", "y")
+    """500 trees for every plot and every stand left out (one plot: those of 1360 whose bootstrap never drew it)."""
+    return G.held_out(panel(fx), "plot", XS, "y", ["plot", "stand"], G.forest(500, 2, 0.6))[0]
 
 
-@query("j09_boosted_trees", "plot:i y:d pred:d")
+@query("j08_forest_report", "scheme:s n:i r2:d rmse:d")
 def _(fx):
-    return M.group_oof(M.boosted(XS, "y", 20), folded(fx, 3), "plot", "y")
+    return P.scores(G.held_out(panel(fx), "plot", XS, "y", ["plot", "stand"], G.forest(500, 2, 0.6))[0], ["scheme"])
+
+
+@query("j09_boosted_trees", "scheme:s plot:i y:d pred:d")
+def _(fx):
+    """100 rounds, refitted for every plot and every stand left out."""
+    return G.held_out(panel(fx), "plot", XS, "y", ["plot", "stand"], G.boosting(100, 3, 0.1))[0]
+
+
+@query("j09_volume_importance", "feature:s importance:d")
+def _(fx):
+    """Mean drop of R2 over 30 shuffles of each feature, model of all plots."""
+    d = panel(fx).drop("pred").withColumn("row", F.col("plot"))
+    return M.permutation_importance(G.fit(d, "plot", XS, "y", G.boosting(100, 3, 0.1)), d, XS, "y", 30)
 
 
 @query("j11_component_regression", "model:s n:i rmse:d r2:d")
@@ -139,22 +153,17 @@ def _(fx):
     return M.choose({f"top_{k}": M.ridge(best[:k], "y", 0.01) for k in (1, 2, 3, 5)}, d, "plot", "y")[1].orderBy("rmse").limit(1)
 
 
-@query("j17_ordinal_size_classes", "n:i accuracy:d kappa:d")
+@query("j17_ordinal_size_classes", "n:i accuracy:d kappa:d macro_f1:d")
 def _(fx):
-    from pyspark.ml.feature import VectorAssembler
-    d = cut(M.with_folds(P.blocks(fx.fx_trees, "dbh_cm", 3, "cls", right=True), "stand", 2))
-    d = VectorAssembler(inputCols=["h_m", "x", "y"], outputCol="features").transform(d)
-    out = None
-    for f in (0, 1):
-        held = d.where(F.col("fold") == f)
-        votes = F.lit(0)
-        for c in (0, 1):
-            m = RandomForestClassifier(labelCol="above", numTrees=10, maxDepth=4, seed=1, predictionCol=f"p{c}", probabilityCol=f"q{c}", rawPredictionCol=f"r{c}")
-            held = m.fit(d.where(F.col("fold") != f).withColumn("above", (F.col("cls") > c).cast("double"))).transform(held)
-            votes = votes + F.col(f"p{c}").cast("int")
-        p = held.select("tree_id", "cls", votes.alias("pred"))
-        out = p if out is None else out.unionByName(p)
-    return M.agreement(out, 3)
+    """Three size classes from cumulative binaries, 500 trees each, over five blocks left out in turn."""
+    d = cut(P.blocks(P.blocks(fx.fx_trees, "dbh_cm", 3, "cls", right=True), "x", 5))
+    out = d.select("tree_id", "cls")
+    for c in (0, 1):
+        p = G.held_out(d.withColumn("above", (F.col("cls") > c).cast("double")), "tree_id", ["h_m", "x", "y"], "above", ["block"], G.forest(500, 3, 0.4))[0]
+        out = out.join(p.select("tree_id", F.col("pred").alias(f"p{c}")), "tree_id")
+    share = [1 - F.col("p0"), F.col("p0") - F.col("p1"), F.col("p1")]
+    top = F.greatest(*share)
+    return M.agreement(out.withColumn("pred", F.when(share[0] == top, 0).when(share[1] == top, 1).otherwise(2)), 3)
 
 
 @query("j18_stand_intercepts", "stand:i n:i u:d sd_seen:d sd_unseen:d icc:d", """
@@ -168,10 +177,30 @@ def _(fx):
     return M.stand_intercepts(d.withColumn("f", f).withColumn("e", F.col("y") - F.col("f.b_0") - F.col("f.b_1") * F.col("x")), "stand")
 
 
-@query("j21_crown_diameter_model", "tree_id:i y:d pred:d")
+CROWN_XS = ["n_pts", "wood_ratio", *(c.split(":")[0] for c in f"{DIST_COLS} {LMOM_COLS} {VOXEL_COLS}".split()), "lbi"]
+
+
+def crowns_with_diameter(fx):
+    """Crown features of every instance beside the diameter of its stem."""
+    p = fx.fx_tree_pts
+    d = p.groupBy("inst").agg(F.count(F.lit(1)).alias("n_pts"), F.avg((F.col("semantic") == 1).cast("double")).alias("wood_ratio"))
+    for t in (Q.biomass_index(p, ["inst"]), Q.voxel_metrics(p, ["inst"]), Q.height_distribution(p.where("semantic = 2"), ["inst"])):
+        d = d.join(t, "inst", "left")
+    return cut(d.join(fx.fx_stems.select(F.col("stem").alias("inst"), (200 * F.col("r0")).alias("dbh_cm")), "inst"))
+
+
+@query("j21_crown_diameter_model", "inst:i y:d pred:d")
 def _(fx):
-    d = M.with_folds(fx.fx_trees, "stand", 3)
-    return M.group_oof(M.boosted(["h_m", "x"], "dbh_cm", 10), d, "tree_id", "dbh_cm")
+    """100 rounds on all crown features, one crown left out at a time."""
+    return G.held_out(crowns_with_diameter(fx), "inst", CROWN_XS, "dbh_cm", ["inst"], G.boosting(100, 3, 0.1))[0]
+
+
+@query("j21_crown_importance", "feature:s importance:d")
+def _(fx):
+    """Mean drop of R2 over 30 shuffles of the ten features with the largest share of the splits' gains."""
+    d = crowns_with_diameter(fx).withColumn("row", F.col("inst"))
+    model = G.fit(d, "inst", CROWN_XS, "dbh_cm", G.boosting(100, 3, 0.1))
+    return M.permutation_importance(model, d, model.leading(10), "dbh_cm", 30)
 
 
 # ---- model-based evaluation -------------------------------------------------------------------------
@@ -208,23 +237,28 @@ def _(fx):
     return p.groupBy("fold").agg(F.max("n_train").alias("n_train"), F.count(F.lit(1)).alias("n_test"), F.sqrt(F.avg(e * e)).alias("rmse"))
 
 
-@query("i39_held_out_classifier", "auc:d best_threshold:d f1:d")
+@query("i39_held_out_classifier", "auc:d seen_threshold:d seen_f1:d f1:d precision:d recall:d")
 def _(fx):
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
+    """500 trees over five blocks left out in turn; each block is filtered by the threshold that is best on the other blocks."""
     d = fx.fx_detections.join(fx.fx_trees.select("tree_id", F.col("x").alias("tx"), F.col("y").alias("ty")), "tree_id")
     d = d.withColumn("label", (X.hyp(F.col("x") - F.col("tx"), F.col("y") - F.col("ty")) < 0.9).cast("double"))
-    d = VectorAssembler(inputCols=["n_pts", "z_max", "view_id"], outputCol="features").transform(cut(M.with_folds(d, "stand", 2)))
-    out = None
-    for f in (0, 1):
-        m = RandomForestClassifier(labelCol="label", numTrees=10, maxDepth=4, seed=1).fit(d.where(F.col("fold") != f))
-        p = m.transform(d.where(F.col("fold") == f)).select("label", F.round(vector_to_array("probability")[1], 4).alias("p"))
-        out = p if out is None else out.unionByName(p)
-    out = cut(out)
-    t = T.with_params(out, [{"threshold": i / 20} for i in range(1, 20)]).where("p >= threshold").groupBy("threshold").agg(F.sum("label").alias("tp"), F.count(F.lit(1)).alias("np"))
-    t = t.withColumn("nr", out.agg(F.sum("label")).scalar()).withColumn("f1", X.precision_recall_f1("tp", "np", "nr")[2])
-    best = t.groupBy().agg(F.max(F.struct("f1", (-F.col("threshold")).alias("o"))).alias("m")).select(F.struct((-F.col("m.o")).alias("best_threshold"), "m.f1").alias("b")).scalar()
-    return M.auc(out, "label", "p").withColumn("b", best).select("auc", "b.*")
+    d = cut(P.blocks(d.select("det_id", "n_pts", "z_max", "view_id", "x", "label"), "x", 5))
+    s = G.Settings(500, min_leaf=5, depth=8, bins=64)
+    p = cut(d.join(G.held_out(d, "det_id", ["n_pts", "z_max", "view_id"], "label", ["block"], s)[0].select("det_id", "pred"), "det_id").select("block", "label", F.round("pred", 6).alias("p")))
+    # counts of each block at each threshold; of all blocks and of all but one by sums
+    grid = [round(0.05 + i / 100, 2) for i in range(91)]
+    t = (T.with_params(p, [{"threshold": g} for g in grid]).groupBy("block", "threshold")
+         .agg(F.sum(F.when(F.col("p") >= F.col("threshold"), F.col("label")).otherwise(0)).alias("tp"), F.sum((F.col("p") >= F.col("threshold")).cast("double")).alias("np"), F.sum("label").alias("nr")))
+    t = cut(t)
+    every = t.groupBy("threshold").agg(F.sum("tp").alias("a_tp"), F.sum("np").alias("a_np"), F.sum("nr").alias("a_nr"))
+    f1 = lambda tp, n, r: F.coalesce(F.try_divide(2 * tp, n + r), F.lit(0.0))
+    seen = every.agg(F.max(F.struct(f1(F.col("a_tp"), F.col("a_np"), F.col("a_nr")).alias("f"), (-F.col("threshold")).alias("o"))).alias("m")).select(
+        F.struct((-F.col("m.o")).alias("seen_threshold"), F.col("m.f").alias("seen_f1")).alias("s")).scalar()
+    rest = t.join(every, "threshold").withColumn("f", f1(F.col("a_tp") - F.col("tp"), F.col("a_np") - F.col("np"), F.col("a_nr") - F.col("nr")))
+    own = rest.groupBy("block").agg(F.max(F.struct("f", (-F.col("threshold")).alias("o"), "tp", "np", "nr")).alias("m"))
+    out = own.agg(F.sum("m.tp").alias("tp"), F.sum("m.np").alias("np"), F.sum("m.nr").alias("nr"))
+    return out.select(M.auc(p, "label", "p").scalar().alias("auc"), seen.alias("s"), f1(F.col("tp"), F.col("np"), F.col("nr")).alias("f1"), F.try_divide("tp", "np").alias("precision"),
+                      F.try_divide("tp", "nr").alias("recall")).select("auc", "s.*", "f1", "precision", "recall")
 
 
 @query("i40_split_half_reliability", "n:i sd_half:d sd_full:d ceiling:d")
@@ -276,9 +310,10 @@ def _(fx):
     return P.add_one_p(null, "r", obs).select(obs.alias("r"), "p_value", n.alias("groups"))
 
 
-@query("l01_model_factory", "plot:i y:d pred:d")
+@query("l01_model_factory", "scheme:s plot:i y:d pred:d lo:d hi:d")
 def _(fx):
-    return M.group_oof(lambda: M.ridge(XS, "y", 1.0)(), folded(fx, 3), "plot", "y")
+    """Any model with fit, predict and predict_interval, refitted for every plot and every stand left out."""
+    return M.factory_oof(M.LogLinear, panel(fx), "plot", ["hdom", "age"], "y", ["plot", "stand"])
 
 
 @query("l03_callback_permutation", "p_value:d null_mean:d null_sd:d")
