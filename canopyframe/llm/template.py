@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from canopyframe.llm.url_filter import canonical
-from canopyframe.session import cut
+from canopyframe.session import cut, free
 
 MIN_PAGES = 3
 LINK_SHARE = 0.5
@@ -263,7 +263,10 @@ def templates(tokens: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, url: str = "url", html: str = "html", name: str = "text") -> DataFrame:
     """``pages`` without ``html`` and with its main text as ``name``."""
     hosted = pages.withColumn("__host", canonical(F.col(url))[0])
-    learnt = cut(templates(occurrences(hosted, html, "__host"))).select(F.col("host").alias("__host"), F.col("template").alias("__template"))
+    # templates() reads the tokens three times; as a table they are read from one parse
+    tokens = cut(occurrences(hosted, html, "__host"))
+    learnt = cut(templates(tokens)).select(F.col("host").alias("__host"), F.col("template").alias("__template"))
+    free(tokens)
     keep = [c for c in pages.columns if c not in (html, name)]
     rows = hosted.join(learnt, "__host", "left").select(*keep, F.col(html).cast("string").alias("__html"), "__template")
     schema = T.StructType([*rows.select(*keep).schema.fields, T.StructField(name, T.StringType())])
