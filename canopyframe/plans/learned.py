@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from canopyframe.functions import scalars as X
 from canopyframe.functions.hashing import mix, mix_sql, uniform
-from canopyframe.operators import lattice as L, metrics as Q, models as M, panel as P, transforms as T, trees as G
+from canopyframe.operators import lattice as L, metrics as Q, models as M, panel as P, penalised as R, transforms as T, trees as G
 from canopyframe.operators.ranks import exact_quantiles, sorted_index
 from canopyframe.operators.spatial import grid_join, nn_distance
 from canopyframe.plans.joins import PLOTS
@@ -94,14 +94,46 @@ def _(fx):
     return M.huber(["lh", "la"], "lv")().fit(d).transform(d).withColumn("pred", F.exp("prediction"))
 
 
-@query("j06_ridge", "model:s n:i rmse:d r2:d")
+def chosen_inside(fx, kind):
+    out = [R.in_fold(panel(fx), "plot", XS, "y", key, kind).select(F.lit(key).alias("scheme"), "plot", "y", "pred", "share", "penalty") for key in ("plot", "stand")]
+    return out[0].unionByName(out[1])
+
+
+@query("j06_ridge", "scheme:s plot:i y:d pred:d penalty:d")
+def _(fx):
+    """Every plot and every stand left out, the penalty chosen on the rest alone."""
+    return chosen_inside(fx, "ridge")
+
+
+RIDGE_ONE = f"""
+WITH p AS (SELECT plot, stand, hdom AS x, vol_ha AS y, {mix_sql('plot', 17)} % 4 AS part FROM fx_panel), f AS (SELECT DISTINCT stand AS fold FROM p), a AS (SELECT unnest([0.01, 0.1, 1.0, 10.0, 100.0]::DOUBLE[]) AS penalty),
+t AS (SELECT fold, j, penalty, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) / (var_pop(x) * (1 + penalty / count(*))) AS b FROM p JOIN f ON stand <> fold CROSS JOIN range(0, 4) r(j) CROSS JOIN a WHERE part <> j GROUP BY fold, j, penalty),
+e AS (SELECT fold, t.penalty, sum(pow(my + b * (x - mx) - y, 2)) AS e FROM t JOIN p ON stand <> fold AND part = j GROUP BY fold, t.penalty),
+c AS (SELECT fold, penalty FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY e, penalty) AS o FROM e) WHERE o = 1),
+w AS (SELECT fold, penalty, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) / (var_pop(x) * (1 + penalty / count(*))) AS b FROM c JOIN p ON stand <> fold GROUP BY fold, penalty)
+SELECT plot, y, my + b * (x - mx) AS pred, penalty FROM p JOIN w ON stand = fold"""
+
+
+@query("j06_ridge_one_feature", "plot:i y:d pred:d penalty:d", RIDGE_ONE)
+def _(fx):
+    return R.in_fold(panel(fx), "plot", ["hdom"], "y", "stand", "ridge")
+
+
+@query("j07_elastic_net", "scheme:s plot:i y:d pred:d share:d penalty:d")
+def _(fx):
+    """Share and penalty chosen on the rest of every left-out plot and stand."""
+    return chosen_inside(fx, "elastic")
+
+
+@query("j13_nested_subsets", "plot:i y:d pred:d subset:s")
 def _(fx):
-    return M.choose({f"ridge_{a}": M.ridge(XS, "y", a) for a in (0.01, 1.0, 100.0)}, folded(fx), "plot", "y")[1]
+    """Up to three of five features in logarithms, chosen by leaving out each of the other stands in turn, in the target's units."""
+    return R.nested_subsets(panel(fx), "plot", XS, "y", "stand", 3)
 
 
-@query("j07_elastic_net", "model:s n:i rmse:d r2:d")
+@query("j13_robust_subsets", "plot:i y:d pred:d subset:s")
 def _(fx):
-    return M.choose({f"net_{a}": M.elastic_net(XS, "y", 0.5, a) for a in (0.2, 0.8, 1.0)}, folded(fx), "plot", "y")[1]
+    return R.nested_subsets(panel(fx), "plot", XS, "y", "stand", 3, robust=True)
 
 
 @query("j08_random_forest", "scheme:s plot:i y:d pred:d")
