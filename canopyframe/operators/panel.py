@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from canopyframe.functions.hashing import mix
 from canopyframe.functions.scalars import Z_975
+from canopyframe.operators import resampling
 from canopyframe.operators.ranks import average_rank, exact_quantiles, sorted_index
 
 
@@ -200,6 +201,9 @@ def interval_quality(df: DataFrame, keys: Sequence[str], alpha: float = 0.05, y:
 
 def bootstrap(df: DataFrame, order: str, reps: int, seed: int, values: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """``reps`` resamples with replacement: ``keys, rep`` and the drawn ``values`` (n rows each)."""
+    df, rows = resampling.small(df.select(*dict.fromkeys([*keys, order, *values])))
+    if rows is not None:
+        return resampling.bootstrap(df, rows, order, reps, seed, values, keys)
     ks = list(keys) or ["__all"]
     d = df if keys else df.withColumn("__all", F.lit(0))
     idx = sorted_index(d.select(*dict.fromkeys([*ks, order, *values])), ks, order, "i")
@@ -222,6 +226,9 @@ def permuted(df: DataFrame, order: str, target: str, reps: int, seed: int, withi
 
     Rows keep their columns; the shuffled target replaces the original one.
     """
+    df, rows = resampling.small(df)
+    if rows is not None:
+        return resampling.permuted(df, rows, order, target, reps, seed, within)
     ks = list(within) or ["__all"]
     d = df if within else df.withColumn("__all", F.lit(0))
     idx = sorted_index(d, ks, order, "i")

@@ -4,10 +4,10 @@ import math
 from pyspark.sql import functions as F
 
 from canopyframe.functions import scalars as X
-from canopyframe.functions.hashing import mix_sql, normal_sql
+from canopyframe.functions.hashing import mix, mix_sql, normal_sql
 from canopyframe.operators import transforms as T
 from canopyframe.operators.nms import nms
-from canopyframe.operators.ranks import exact_quantiles
+from canopyframe.operators.ranks import exact_quantiles, sorted_index
 from canopyframe.operators.spatial import cell, grid_join
 from canopyframe.plans.registry import query
 from canopyframe.plans.scans import IN_PLOT
@@ -227,16 +227,21 @@ def _(fx):
 
 ARMS = [dict(arm=a, seed=s) for a in (0, 1) for s in (1, 2, 3)]
 DRAW = mix_sql("tree_id", "seed", "arm", 77)
+CORPUS = 120
 
 
 @query("b24_equal_size_corpora", "arm:i seed:i stand:i n:i first:i", f"""
-WITH c AS (SELECT * FROM fx_trees JOIN (VALUES (0,1),(0,2),(0,3),(1,1),(1,2),(1,3)) a(arm, seed) ON arm = 1 OR stand = 1 + seed),
-r AS (SELECT *, row_number() OVER (PARTITION BY arm, seed, stand ORDER BY {DRAW}, tree_id) AS r FROM c)
-SELECT arm, seed, stand, count(*) AS n, min(tree_id) AS first FROM r
-WHERE r <= CASE WHEN arm = 0 THEN 120 ELSE 20 END GROUP BY 1, 2, 3""")
-def _(fx):
-    """Arm 0 draws 120 trees from one stand, arm 1 draws 20 from each stand, per seed."""
-    c = T.with_params(fx.fx_trees, ARMS).where("arm = 1 or stand = 1 + seed")
-    quota = F.when(F.col("arm") == 0, 120).otherwise(20)
-    kept = T.take_hashed(c, ["arm", "seed", "stand"], quota, 77, ["tree_id", "seed", "arm"], ["tree_id"])
+WITH p AS (SELECT seed, stand, row_number() OVER (PARTITION BY seed ORDER BY {mix_sql('stand', 'seed', 78)}, stand) AS place, count(*) OVER (PARTITION BY seed) AS stands FROM (SELECT DISTINCT stand FROM fx_trees) CROSS JOIN (VALUES (1), (2), (3)) v(seed)),
+c AS (SELECT t.*, arm, seed, CASE WHEN arm = 0 THEN CASE WHEN place = 1 THEN {CORPUS} ELSE 0 END ELSE {CORPUS} // stands + CASE WHEN place <= {CORPUS} % stands THEN 1 ELSE 0 END END AS quota FROM fx_trees t JOIN p USING (stand) CROSS JOIN (VALUES (0), (1)) a(arm)),
+r AS (SELECT *, row_number() OVER (PARTITION BY arm, seed, stand ORDER BY {DRAW}, tree_id) AS r FROM c WHERE quota > 0)
+SELECT arm, seed, stand, count(*) AS n, min(tree_id) AS first FROM r WHERE r <= quota GROUP BY 1, 2, 3""")
+def _(fx):
+    """Arm 0 draws all trees from one drawn stand, arm 1 as many from all stands alike (one more from the first drawn where they don't divide), per seed."""
+    stands = T.with_params(fx.fx_trees.select("stand").distinct(), [{"seed": k} for k in (1, 2, 3)]).withColumn("h", mix("stand", "seed", 78))
+    place = sorted_index(stands, ["seed"], "h", "place", ["stand"])
+    n = F.col("place_n")
+    each = F.floor(F.lit(CORPUS) / n) + F.when(F.col("place") < F.lit(CORPUS) % n, 1).otherwise(0)
+    quota = place.select("seed", "stand", F.explode(F.array(F.struct(F.lit(0).alias("arm"), F.when(F.col("place") == 0, CORPUS).otherwise(0).cast("long").alias("quota")), F.struct(F.lit(1).alias("arm"), each.cast("long").alias("quota")))).alias("q")).select("seed", "stand", "q.*")
+    c = fx.fx_trees.join(quota.where("quota > 0"), "stand")
+    kept = T.take_hashed(c, ["arm", "seed", "stand"], F.col("quota"), 77, ["tree_id", "seed", "arm"], ["tree_id"])
     return kept.groupBy("arm", "seed", "stand").agg(F.count(F.lit(1)).alias("n"), F.min("tree_id").alias("first"))

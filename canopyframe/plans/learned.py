@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 from canopyframe.functions import scalars as X
 from canopyframe.functions.hashing import mix, mix_sql, uniform
 from canopyframe.operators import lattice as L, metrics as Q, models as M, panel as P, penalised as R, transforms as T, trees as G
+from canopyframe.operators.nms import merge
 from canopyframe.operators.ranks import exact_quantiles, sorted_index
 from canopyframe.operators.spatial import grid_join, nn_distance
 from canopyframe.plans.joins import PLOTS
-from canopyframe.plans.panels import panel
+from canopyframe.plans.panels import PERM, REFIT, panel
 from canopyframe.plans.rasters import DIST_COLS, LMOM_COLS, VOXEL_COLS
 from canopyframe.plans.registry import query
 from canopyframe.session import cut
@@ -67,18 +68,39 @@ def _(fx):
     return L.register(nodes, fx.fx_trees, fx.fx_plots, poses)
 
 
+# Thinnings of the null map, the smallest planting spacing, the share of it that counts as impossible, the merge radius.
+THINNINGS, SPACING, SLACK, MERGED = 300, 1.88, 0.98, 1.6
+
+
 @query("d81_spacing_diagnostics", "stand:i n:i below:d merge_window:d below_1m5:d null_below:d")
 def _(fx):
+    """Shares of detections too near to another of their view, beside the true map thinned at random to the detection share."""
     det = nn_distance(fx.fx_detections.select("stand", "view_id", "det_id", "x", "y"), "det_id", 4.0, ["stand", "view_id"])
-    sy = 1.88 * 0.98
+    sy = SPACING * SLACK
     d = det.groupBy("stand").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("nn") < sy).cast("double")).alias("below"), F.avg(((F.col("nn") >= 1.5) & (F.col("nn") < sy)).cast("double")).alias("merge_window"),
                                  F.avg((F.col("nn") < 1.5).cast("double")).alias("below_1m5"))
-    # null: the true map thinned at random to the detection share, five times
-    t = fx.fx_trees.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(5)))).where(uniform("tree_id", "rep", 5) < 0.6)
-    null = nn_distance(t.select("stand", "rep", "tree_id", "x", "y"), "tree_id", 4.0, ["stand", "rep"]).groupBy("stand").agg(F.avg((F.col("nn") < sy).cast("double")).alias("null_below"))
+    # only pairs under the spacing count, so a stem's nearer stems are listed once and each thinning asks which of them it kept
+    t = fx.fx_trees.select("stand", "tree_id", "x", "y")
+    near = grid_join(t, t.select("stand", F.col("tree_id").alias("oid"), F.col("x").alias("cx"), F.col("y").alias("cy")), sy).where((F.col("tree_id") != F.col("oid")) & (F.col("d2") < sy * sy))
+    reps = F.explode(F.sequence(F.lit(1), F.lit(THINNINGS)))
+    share = lambda c: uniform(c, "rep", 5) < 0.6
+    kept = t.select("stand", "tree_id").withColumn("rep", reps).where(share("tree_id")).groupBy("stand", "rep").agg(F.count(F.lit(1)).alias("kept"))
+    hit = near.select("stand", "tree_id", "oid").withColumn("rep", reps).where(share("tree_id") & share("oid")).groupBy("stand", "rep").agg(F.count_distinct("tree_id").alias("hit"))
+    null = kept.join(hit, ["stand", "rep"], "left").groupBy("stand").agg(F.avg(F.coalesce("hit", F.lit(0)) / F.col("kept")).alias("null_below"))
     return d.join(null, "stand")
 
 
+@query("d81_merged_spacing", "stand:i n:i usable:b nn_min:d nn_median:d impossible:d n_impossible:i")
+def _(fx):
+    """The same after the merge, where the spacing leaves a window above the merge radius."""
+    kept = cut(merge(fx.fx_detections.select("stand", "det_id", "n_pts", "x", "y"), "det_id", "n_pts", MERGED))
+    nn = cut(nn_distance(kept, "det_id", 4.0, ["stand"]))
+    usable = SPACING > MERGED
+    bad = F.col("nn") < SPACING * SLACK
+    g = nn.groupBy("stand").agg(F.count(F.lit(1)).alias("n"), F.min("nn").alias("nn_min"), F.when(F.lit(usable), F.avg(bad.cast("double"))).alias("impossible"), F.when(F.lit(usable), F.count_if(bad)).otherwise(0).alias("n_impossible"))
+    return g.join(exact_quantiles(nn, ["stand"], "nn", {"nn_median": 0.5}), "stand").withColumn("usable", F.lit(usable))
+
+
 # ---- fitted models ----------------------------------------------------------------------------------
 
 XS = ["hdom", "hmean", "zsd", "cover", "age"]
@@ -147,6 +169,16 @@ def _(fx):
     return P.scores(G.held_out(panel(fx), "plot", XS, "y", ["plot", "stand"], G.forest(500, 2, 0.6))[0], ["scheme"])
 
 
+@query("i18_seeded_forests", "scheme:s r2_mean:d r2_sd:d r2_min:d r2_max:d n_seeds:i")
+def _(fx):
+    """Held-out R2 of five forests that differ in their seed alone."""
+    out = None
+    for k in range(5):
+        r = P.scores(G.held_out(panel(fx), "plot", XS, "y", ["plot", "stand"], G.forest(500, 2, 0.6, seed=k))[0], ["scheme"])
+        out = r if out is None else out.unionByName(r)
+    return out.groupBy("scheme").agg(F.avg("r2").alias("r2_mean"), F.stddev_samp("r2").alias("r2_sd"), F.min("r2").alias("r2_min"), F.max("r2").alias("r2_max"), F.count(F.lit(1)).alias("n_seeds"))
+
+
 @query("j09_boosted_trees", "scheme:s plot:i y:d pred:d")
 def _(fx):
     """100 rounds, refitted for every plot and every stand left out."""
@@ -303,22 +335,27 @@ def _(fx):
     return g.withColumn("sd_full", F.col("sd_half") / F.sqrt(F.lit(2.0))).withColumn("ceiling", 1 - F.col("sd_full") * F.col("sd_full") / F.col("v"))
 
 
-@query("i42_learning_curve", "size:i seed:i rmse:d n:i")
+# Training trees per fold (the last takes all) and seeds.
+CURVE, CURVE_SEEDS = (50, 100, 200, 400, 600, 1_000_000_000), (1, 2, 3)
+
+
+@query("i42_learning_curve", "size:i seed:i n:i r2:d rmse:d")
 def _(fx):
-    base = cut(block_table(fx))
-    d = T.with_params(base, [{"size": s, "seed": k} for s in (50, 200, 800) for k in (1, 2)]).where("fold <> 0")
-    train = T.take_hashed(d.select("size", "seed", "tree_id", "h_m", "dbh_cm"), ["size", "seed"], F.col("size"), 9, ["tree_id", "seed"], ["tree_id"])
-    fit = P.linear_fit(train, ["h_m"], "dbh_cm", ["size", "seed"]).select("size", "seed", "b_0", "b_1")
-    test = T.with_params(base.where("fold = 0"), [{"size": s, "seed": k} for s in (50, 200, 800) for k in (1, 2)]).join(fit, ["size", "seed"])
-    e = F.col("b_0") + F.col("b_1") * F.col("h_m") - F.col("dbh_cm")
-    return test.groupBy("size", "seed").agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.count(F.lit(1)).alias("n"))
+    """Five blocks left out in turn; every fold trains on as many of its other trees as the size says."""
+    base = cut(block_table(fx).select("tree_id", "fold", "h_m", "dbh_cm"))
+    runs = T.with_params(base, [{"size": s, "seed": k} for s in CURVE for k in CURVE_SEEDS])
+    train = runs.withColumnRenamed("fold", "own").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(4)))).where("own <> fold")
+    train = T.take_hashed(train, ["size", "seed", "fold"], F.col("size"), 9, ["tree_id", "seed"], ["tree_id"])
+    fit = P.linear_fit(train, ["h_m"], "dbh_cm", ["size", "seed", "fold"]).select("size", "seed", "fold", "b_0", "b_1")
+    p = runs.join(fit, ["size", "seed", "fold"]).withColumns({"pred": F.col("b_0") + F.col("b_1") * F.col("h_m"), "y": F.col("dbh_cm")})
+    return P.scores(p, ["size", "seed"])
 
 
 @query("i43_feature_ladder", "rung:s r2:d shuffled_r2:d")
 def _(fx):
     """Rungs of growing feature sets, each beside its label-shuffled control and a planted positive one."""
     d = cut(block_table(fx).withColumn("planted", F.col("dbh_cm") + uniform("tree_id", 3)))
-    shuffled = cut(P.permuted(d, "tree_id", "dbh_cm", 2, 4))
+    shuffled = cut(P.permuted(d, "tree_id", "dbh_cm", 20, 4))
     out = None
     for name, xs in (("position", ["x", "y"]), ("height", ["x", "y", "h_m"]), ("planted", ["planted"])):
         r = P.scores(P.linear_oof(d, "tree_id", xs, "dbh_cm", "fold"), [])
@@ -336,7 +373,7 @@ def _(fx):
     w = wood(fx).join(s.select(F.col("stem").alias("inst"), "grp"), "inst")
     peak = profile_peak(kernel_profile(w, ["grp"]), ["grp"]).join(s.groupBy("grp").agg(F.avg("r0").alias("true_r")), "grp").where("peak is not null")
     peak = cut(peak)
-    null = P.permuted(peak, "grp", "peak", 200, 3).groupBy("rep").agg(P.pearson("peak", "true_r").alias("r"))
+    null = P.permuted(peak, "grp", "peak", PERM, 3).groupBy("rep").agg(P.pearson("peak", "true_r").alias("r"))
     obs = peak.agg(P.pearson("peak", "true_r")).scalar()
     n = peak.agg(F.count(F.lit(1))).scalar()
     return P.add_one_p(null, "r", obs).select(obs.alias("r"), "p_value", n.alias("groups"))
@@ -353,5 +390,5 @@ def _(fx):
     """A DataFrame -> DataFrame fold function runs inside the null with the replicate as a key."""
     def run(df, by=()):
         return P.linear_oof(df, "plot", ["hdom", "age"], "y", "stand", by=by)
-    null = P.scores(run(P.permuted(panel(fx), "plot", "y", 40, 2), ["rep"]), ["rep"])
+    null = P.scores(run(P.permuted(panel(fx), "plot", "y", REFIT, 2), ["rep"]), ["rep"])
     return P.add_one_p(null, "r2", P.scores(run(panel(fx)), []).select("r2").scalar())

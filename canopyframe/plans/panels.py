@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from canopyframe.functions import scalars as X
 from canopyframe.functions.hashing import mix_sql, normal, normal_sql
+from canopyframe.functions.scalars import Z_975
 from canopyframe.operators import panel as P, transforms as T
 from canopyframe.operators.metrics import with_means
 from canopyframe.operators.ranks import exact_quantiles, sorted_index, top_fraction
@@ -202,14 +203,26 @@ def _(fx):
     return both.groupBy("scheme", "plot").agg(F.avg("pred").alias("pred"))
 
 
-@query("i06_model_report", "model:s r2:d rrmse:d r2_group:d rrmse_group:d lo:d hi:d coverage:d score:d")
+@query("i06_model_report", "model:s r2:d rrmse:d r2_group:d rrmse_group:d n_groups:i r2_lo:d r2_hi:d rrmse_lo:d rrmse_hi:d coverage:d score:d coverage_parametric:d perm_p:d")
 def _(fx):
-    lopo, loto = cut(oof(fx, "lopo")), oof(fx, "loto")
-    ci = P.weighted_scores(P.bootstrap(lopo, "plot", 100, 3, ["y", "pred"], ["model"]), ["model", "rep"])
-    ci = exact_quantiles(ci, ["model"], "rrmse", {"lo": 0.025, "hi": 0.975})
-    q = P.interval_quality(P.loo_conformal(lopo, 0.05, ["model"]), ["model"])
-    g = P.scores(loto, ["model"]).select("model", F.col("r2").alias("r2_group"), F.col("rrmse").alias("rrmse_group"))
-    return P.scores(lopo, ["model"]).select("model", "r2", "rrmse").join(g, "model").join(ci, "model").join(q, "model")
+    """One row a model: both schemes, bootstrap intervals, conformal and normal coverage, permutation p."""
+    lopo = None
+    for name, xs in MODELS:
+        m = P.linear_oof(panel(fx), "plot", xs, "y").select(F.lit(name).alias("model"), "plot", "y", "pred", "sd")
+        lopo = m if lopo is None else lopo.unionByName(m)
+    lopo, loto = cut(lopo), oof(fx, "loto")
+    b = cut(P.weighted_scores(P.bootstrap(lopo, "plot", BOOT, 3, ["y", "pred"], ["model"]), ["model", "rep"]).where("r2 is not null"))
+    ci = exact_quantiles(b, ["model"], "rrmse", {"rrmse_lo": 0.025, "rrmse_hi": 0.975}).join(exact_quantiles(b, ["model"], "r2", {"r2_lo": 0.025, "r2_hi": 0.975}), "model")
+    q = P.interval_quality(P.loo_conformal(lopo.drop("sd"), 0.05, ["model"]), ["model"])
+    half = Z_975 * F.col("sd")
+    normal_q = lopo.groupBy("model").agg(F.avg(F.col("y").between(F.col("pred") - half, F.col("pred") + half).cast("double")).alias("coverage_parametric"))
+    g = P.scores(loto, ["model"]).select("model", F.col("r2").alias("r2_group"), F.col("rrmse").alias("rrmse_group")).withColumn("n_groups", panel(fx).agg(F.count_distinct("stand")).scalar())
+    own = P.scores(lopo, ["model"]).select("model", "r2", "rrmse")
+    null = P.scores(P.permuted(lopo.drop("sd"), "plot", "y", PERM, 5, ["model"]), ["model", "rep"]).select("model", F.col("r2").alias("null"))
+    p = null.join(own, "model").groupBy("model").agg(((1 + F.count_if(F.col("null") >= F.col("r2"))) / (F.count(F.lit(1)) + 1)).alias("perm_p"))
+    for t in (g, ci, q, normal_q, p):
+        own = own.join(t, "model")
+    return own
 
 
 @query("i07_shuffled_folds", "fold:i n:i", f"""
@@ -220,7 +233,8 @@ def _(fx):
     return r.groupBy((F.col("i") % 5).alias("fold")).agg(F.count(F.lit(1)).alias("n"))
 
 
-B = 200
+# Resamples of scores, label permutations, refitted permutations, resamples of efficiency and counts, error draws.
+BOOT, PERM, REFIT, EFFICIENCY, ERRORS = 2000, 5000, 200, 4000, 300
 
 
 def boot_sql(reps, seed, key=""):
@@ -228,15 +242,17 @@ def boot_sql(reps, seed, key=""):
  JOIN (SELECT *, row_number() OVER (ORDER BY plot) - 1 AS i FROM {PANEL}) p ON p.i = d.i)"""
 
 
-@query("i09_bootstrap_scores", "rmse_lo:d rmse_hi:d r2_lo:d r2_hi:d n:i", f"""
-WITH s AS (SELECT rep, {SCORES} FROM {boot_sql(B, 7)} GROUP BY rep) SELECT quantile_cont(rmse, 0.025) AS rmse_lo, quantile_cont(rmse, 0.975) AS rmse_hi, quantile_cont(r2, 0.025) AS r2_lo, quantile_cont(r2, 0.975) AS r2_hi, count(*) AS n FROM s""")
+@query("i09_bootstrap_scores", "rmse_lo:d rmse_hi:d rrmse_lo:d rrmse_hi:d r2_lo:d r2_hi:d n:i dropped:i", f"""
+WITH s AS (SELECT rep, {SCORES} FROM {boot_sql(BOOT, 7)} GROUP BY rep) SELECT quantile_cont(rmse, 0.025) AS rmse_lo, quantile_cont(rmse, 0.975) AS rmse_hi, quantile_cont(rrmse, 0.025) AS rrmse_lo, quantile_cont(rrmse, 0.975) AS rrmse_hi,
+ quantile_cont(r2, 0.025) AS r2_lo, quantile_cont(r2, 0.975) AS r2_hi, count(*) AS n, {BOOT} - count(*) AS dropped FROM s WHERE r2 IS NOT NULL""")
 def _(fx):
-    s = P.weighted_scores(P.bootstrap(panel(fx), "plot", B, 7, ["y", "pred"]), ["rep"]).where("r2 is not null")
-    a = exact_quantiles(s, [], "rmse", {"rmse_lo": 0.025, "rmse_hi": 0.975})
-    b = exact_quantiles(s, [], "r2", {"r2_lo": 0.025, "r2_hi": 0.975})
-    b = b.select(F.struct("r2_lo", "r2_hi").alias("s")).scalar()
-    n = s.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return a.withColumn("b", b).select("rmse_lo", "rmse_hi", "b.*", n.alias("n"))
+    """Constant resamples have no R2; they are dropped and counted."""
+    s = cut(P.weighted_scores(P.bootstrap(panel(fx), "plot", BOOT, 7, ["y", "pred"]), ["rep"]).where("r2 is not null"))
+    out = s.agg(F.count(F.lit(1)).alias("n")).withColumn("dropped", F.lit(BOOT) - F.col("n"))
+    for c in ("rmse", "rrmse", "r2"):
+        q = exact_quantiles(s, [], c, {f"{c}_lo": 0.025, f"{c}_hi": 0.975})
+        out = out.withColumn(c, q.select(F.struct(f"{c}_lo", f"{c}_hi")).scalar())
+    return out.select("rmse.*", "rrmse.*", "r2.*", "n", "dropped")
 
 
 @query("i11_loo_conformal", "coverage:d width:d", f"SELECT avg(CASE WHEN y BETWEEN lo AND hi THEN 1.0 ELSE 0.0 END) AS coverage, avg(hi - lo) AS width FROM ({LOO.format(PANEL)})")
@@ -289,19 +305,19 @@ PANEL1 = PANEL.replace("*,", "*, 1 AS one,")
 
 
 @query("i16_permutation_test", "p_value:d null_mean:d null_sd:d", f"""
-WITH o AS (SELECT 1 - sum((pred-y)*(pred-y)) / (var_pop(y) * count(*)) AS r2 FROM {PANEL}), s AS (SELECT rep, {SCORES} FROM {permuted_sql(B, 5, 'one').replace(PANEL, PANEL1)} GROUP BY rep)
+WITH o AS (SELECT 1 - sum((pred-y)*(pred-y)) / (var_pop(y) * count(*)) AS r2 FROM {PANEL}), s AS (SELECT rep, {SCORES} FROM {permuted_sql(PERM, 5, 'one').replace(PANEL, PANEL1)} GROUP BY rep)
 SELECT (1 + count(*) FILTER (s.r2 >= o.r2)) / (count(*) + 1) AS p_value, avg(s.r2) AS null_mean, stddev_samp(s.r2) AS null_sd FROM s, o""")
 def _(fx):
-    null = P.scores(P.permuted(panel(fx), "plot", "y", B, 5), ["rep"])
+    null = P.scores(P.permuted(panel(fx), "plot", "y", PERM, 5), ["rep"])
     return P.add_one_p(null, "r2", P.scores(panel(fx), []).select("r2").scalar())
 
 
 @query("i17_refit_permutation_test", "p_value:d null_mean:d null_sd:d", f"""
-WITH q AS {permuted_sql(40, 6, 'one').replace(PANEL, PANEL1)}, f AS (SELECT a.rep, a.plot, any_value(a.y) AS y, regr_intercept(b.y, b.hdom) + regr_slope(b.y, b.hdom) * any_value(a.hdom) AS pred FROM q a JOIN q b ON a.rep = b.rep AND a.stand <> b.stand GROUP BY 1, 2),
+WITH q AS {permuted_sql(REFIT, 6, 'one').replace(PANEL, PANEL1)}, f AS (SELECT a.rep, a.plot, any_value(a.y) AS y, regr_intercept(b.y, b.hdom) + regr_slope(b.y, b.hdom) * any_value(a.hdom) AS pred FROM q a JOIN q b ON a.rep = b.rep AND a.stand <> b.stand GROUP BY 1, 2),
 s AS (SELECT rep, {SCORES} FROM f GROUP BY rep), o AS (SELECT {SCORES} FROM ({oof_sql('loto', 'hdom')}))
 SELECT (1 + count(*) FILTER (s.r2 >= o.r2)) / (count(*) + 1) AS p_value, avg(s.r2) AS null_mean, stddev_samp(s.r2) AS null_sd FROM s, o""")
 def _(fx):
-    perm = P.permuted(panel(fx), "plot", "y", 40, 6)
+    perm = P.permuted(panel(fx), "plot", "y", REFIT, 6)
     null = P.scores(P.linear_oof(perm, "plot", ["hdom"], "y", "stand", by=["rep"]), ["rep"])
     return P.add_one_p(null, "r2", P.scores(P.linear_oof(panel(fx), "plot", ["hdom"], "y", "stand"), []).select("r2").scalar())
 
@@ -328,11 +344,11 @@ def _(fx):
 
 
 @query("i20_orthogonal_report", "resid_r:d null_mean:d null_sd:d p:d z:d", f"""
-WITH o AS (SELECT corr(resid_pred, resid_true) AS r FROM {two_stage_sql(PANEL)}), s AS (SELECT rep, corr(resid_pred, resid_true) AS r FROM {two_stage_sql(permuted_sql(40, 8, 'one').replace(PANEL, PANEL1), 'rep')} GROUP BY rep)
+WITH o AS (SELECT corr(resid_pred, resid_true) AS r FROM {two_stage_sql(PANEL)}), s AS (SELECT rep, corr(resid_pred, resid_true) AS r FROM {two_stage_sql(permuted_sql(REFIT, 8, 'one').replace(PANEL, PANEL1), 'rep')} GROUP BY rep)
 SELECT o.r AS resid_r, avg(s.r) AS null_mean, stddev_samp(s.r) AS null_sd, avg(CASE WHEN s.r >= o.r THEN 1.0 ELSE 0.0 END) AS p, (o.r - avg(s.r)) / stddev_samp(s.r) AS z FROM s, o GROUP BY o.r""")
 def _(fx):
     obs = P.residual_oof(panel(fx), "plot", "age", "hdom", "y", "stand").agg(F.corr("resid_pred", "resid_true")).scalar()
-    null = P.residual_oof(P.permuted(panel(fx), "plot", "y", 40, 8), "plot", "age", "hdom", "y", "stand", by=["rep"])
+    null = P.residual_oof(P.permuted(panel(fx), "plot", "y", REFIT, 8), "plot", "age", "hdom", "y", "stand", by=["rep"])
     null = null.groupBy("rep").agg(F.corr("resid_pred", "resid_true").alias("r")).withColumn("o", obs)
     return null.groupBy(F.col("o").alias("resid_r")).agg(F.avg("r").alias("null_mean"), F.stddev_samp("r").alias("null_sd"), F.avg((F.col("r") >= F.col("o")).cast("double")).alias("p")) \
         .withColumn("z", (F.col("resid_r") - F.col("null_mean")) / F.col("null_sd"))
@@ -348,12 +364,12 @@ def _(fx):
 
 
 @query("i22_within_stand_permutation", "r:d p:d null_sd:d", f"""
-WITH o AS (SELECT corr(yc, pc) AS r FROM {WITHIN.format(PANEL)}), s AS (SELECT rep, corr(yc, pc) AS r FROM (SELECT *, y - avg(y) OVER (PARTITION BY rep, stand) AS yc, pred - avg(pred) OVER (PARTITION BY rep, stand) AS pc FROM {permuted_sql(B, 9, 'stand')}) GROUP BY rep)
-SELECT o.r, avg(CASE WHEN abs(s.r) >= abs(o.r) THEN 1.0 ELSE 0.0 END) AS p, stddev_samp(s.r) AS null_sd FROM s, o GROUP BY o.r""")
+WITH o AS (SELECT corr(yc, pc) AS r FROM {WITHIN.format(PANEL)}), s AS (SELECT rep, corr(yc, pc) AS r FROM (SELECT *, y - avg(y) OVER (PARTITION BY rep, stand) AS yc, pred - avg(pred) OVER (PARTITION BY rep, stand) AS pc FROM {permuted_sql(PERM, 9, 'stand')}) GROUP BY rep)
+SELECT o.r, avg(CASE WHEN abs(s.r) >= abs(o.r) - 1e-12 THEN 1.0 ELSE 0.0 END) AS p, stddev_samp(s.r) AS null_sd FROM s, o GROUP BY o.r""")
 def _(fx):
     obs = P.centred(panel(fx), "stand", ["y", "pred"]).agg(F.corr("y_c", "pred_c")).scalar()
-    null = P.centred(P.permuted(panel(fx), "plot", "y", B, 9, ["stand"]), "stand", ["y", "pred"], ["rep"]).groupBy("rep").agg(F.corr("y_c", "pred_c").alias("x"))
-    return null.withColumn("r", obs).groupBy("r").agg(F.avg((F.abs("x") >= F.abs("r")).cast("double")).alias("p"), F.stddev_samp("x").alias("null_sd"))
+    null = P.centred(P.permuted(panel(fx), "plot", "y", PERM, 9, ["stand"]), "stand", ["y", "pred"], ["rep"]).groupBy("rep").agg(F.corr("y_c", "pred_c").alias("x"))
+    return null.withColumn("r", obs).groupBy("r").agg(F.avg((F.abs("x") >= F.abs("r") - 1e-12).cast("double")).alias("p"), F.stddev_samp("x").alias("null_sd"))
 
 
 @query("i23_residual_analysis", "covariate:s r:d", f"SELECT 'age' AS covariate, corr(abs(y - pred), age) AS r FROM {PANEL} UNION ALL SELECT 'hdom', corr(abs(y - pred), hdom) FROM {PANEL}")
@@ -397,11 +413,11 @@ EFF = "var_samp(y) / var_samp(y - pred)"
 
 
 @query("i29_relative_efficiency", "re:d equivalent_plots:d se_field:d se_model:d se_reduction:d lo:d hi:d", f"""
-WITH b AS (SELECT rep, {EFF} AS re FROM {boot_sql(B, 11)} GROUP BY rep)
+WITH b AS (SELECT rep, {EFF} AS re FROM {boot_sql(EFFICIENCY, 11)} GROUP BY rep)
 SELECT {EFF} AS re, count(*) * ({EFF} - 1) AS equivalent_plots, sqrt(var_samp(y) / count(*)) AS se_field, sqrt(var_samp(y - pred) / count(*)) AS se_model, 100 * (1 - sqrt(var_samp(y - pred) / var_samp(y))) AS se_reduction,
  (SELECT quantile_cont(re, 0.025) FROM b) AS lo, (SELECT quantile_cont(re, 0.975) FROM b) AS hi FROM {PANEL}""")
 def _(fx):
-    b = P.bootstrap(panel(fx), "plot", B, 11, ["y", "pred"])
+    b = P.bootstrap(panel(fx), "plot", EFFICIENCY, 11, ["y", "pred"])
     w, e = F.col("w"), F.col("y") - F.col("pred")
     def ss(v):
         return F.sum(w * v * v) - F.sum(w * v) * F.sum(w * v) / F.sum(w)
@@ -446,11 +462,11 @@ def _(fx):
 
 
 @query("i33_counting_scores", "mae:d rmse:d rmae:d bias:d r:d ratio:d lo:d hi:d", f"""
-WITH b AS (SELECT rep, avg(abs(n_obs - n_field)) AS mae FROM {boot_sql(B, 12)} GROUP BY rep)
+WITH b AS (SELECT rep, avg(abs(n_obs - n_field)) AS mae FROM {boot_sql(EFFICIENCY, 12)} GROUP BY rep)
 SELECT avg(abs(n_obs - n_field)) AS mae, sqrt(avg((n_obs - n_field) * (n_obs - n_field))) AS rmse, 100 * avg(abs(n_obs - n_field)) / avg(n_field) AS rmae, avg(n_obs - n_field) AS bias, corr(n_obs, n_field) AS r, sum(n_obs) / sum(n_field) AS ratio,
  (SELECT quantile_cont(mae, 0.025) FROM b) AS lo, (SELECT quantile_cont(mae, 0.975) FROM b) AS hi FROM fx_panel""")
 def _(fx):
-    b = P.weighted_scores(P.bootstrap(panel(fx), "plot", B, 12, ["n_obs", "n_field"]), ["rep"], "n_field", "n_obs")
+    b = P.weighted_scores(P.bootstrap(panel(fx), "plot", EFFICIENCY, 12, ["n_obs", "n_field"]), ["rep"], "n_field", "n_obs")
     q = exact_quantiles(b, [], "mae", {"lo": 0.025, "hi": 0.975}).select(F.struct("lo", "hi").alias("q")).scalar()
     e = F.col("n_obs") - F.col("n_field")
     a = panel(fx).agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (100 * F.avg(F.abs(e)) / F.avg("n_field")).alias("rmae"), F.avg(e).alias("bias"),
@@ -459,12 +475,12 @@ def _(fx):
 
 
 @query("i41_error_propagation", "sigma:d err_mean:d err_sd:d", f"""
-WITH d AS (SELECT sigma, rep, plot, n_field, vol_ha, hmean, {MECH} + sigma * {normal_sql('plot', 'rep', 'CAST(sigma * 10 AS BIGINT)')} AS d FROM fx_panel CROSS JOIN (VALUES (0.0), (0.5), (1.0), (2.0)) s(sigma) CROSS JOIN range(0, 30) r(rep)),
+WITH d AS (SELECT sigma, rep, plot, n_field, vol_ha, hmean, {MECH} + sigma * {normal_sql('plot', 'rep', 'CAST(sigma * 10 AS BIGINT)')} AS d FROM fx_panel CROSS JOIN (VALUES (0.0), (0.5), (1.0), (2.0)) s(sigma) CROSS JOIN range(0, {ERRORS}) r(rep)),
 v AS (SELECT sigma, rep, vol_ha, n_field * (-0.00490367 + 0.0001403 * d*d + 0.00003216 * d*d*hmean + 0.00035781 * hmean) AS v FROM d),
 e AS (SELECT sigma, rep, sqrt(avg((v * k - vol_ha) * (v * k - vol_ha))) / avg(vol_ha) * 100 AS e FROM (SELECT *, sum(vol_ha) OVER w / sum(v) OVER w AS k FROM v WINDOW w AS (PARTITION BY sigma, rep)) GROUP BY 1, 2)
 SELECT sigma, avg(e) AS err_mean, stddev_samp(e) AS err_sd FROM e GROUP BY sigma""")
 def _(fx):
-    d = T.with_params(fx.fx_panel, [{"sigma": s} for s in (0.0, 0.5, 1.0, 2.0)]).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(29))))
+    d = T.with_params(fx.fx_panel, [{"sigma": s} for s in (0.0, 0.5, 1.0, 2.0)]).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(ERRORS - 1))))
     d = d.withColumn("d", X.hypsometric_diameter("hmean", "hdom") + F.col("sigma") * normal("plot", "rep", "CAST(sigma * 10 AS BIGINT)"))
     d = d.withColumn("v", F.col("n_field") * X.mean_tree_volume("d", "hmean"))
     k = d.groupBy("sigma", "rep").agg((F.sum("vol_ha") / F.sum("v")).alias("k"))

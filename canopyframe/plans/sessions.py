@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from canopyframe.functions import scalars as X
 from canopyframe.functions.hashing import uniform
-from canopyframe.operators import assign as A, matching as M, panel as P, spatial as S, transforms as T
+from canopyframe.operators import assign as A, matching as M, panel as P, spatial as S, subsets as V, transforms as T
 from canopyframe.operators.nms import merge, nms
 from canopyframe.operators.ranks import exact_quantiles
 from canopyframe.plans.joins import PLOTS, view_pairs
@@ -123,15 +123,28 @@ def _(fx):
     return s.select("radius", X.precision_recall_f1("tp", "np", "nr")[2].alias("f1"), (F.col("np") / F.col("nr")).alias("census_ratio"))
 
 
-@query("g04_view_subsets", "mask:i n:i tp:i f1:d")
+@query("g04_view_subsets", "mask:i n_views:i n:i tp:i p:d r:d f1:d")
 def _(fx):
-    """All non-empty subsets of four flight lines, merged and scored in one job keyed by bit mask."""
-    d = fx.fx_detections.withColumn("line", F.col("view_id") % 4).withColumn("mask", F.explode(F.sequence(F.lit(1), F.lit(15))))
-    d = d.where(F.col("mask").bitwiseAND(F.pow(F.lit(2), F.col("line")).cast("int")) > 0)
-    kept = cut(d.join(nms(d, "det_id", "n_pts", 1.5, ["stand", "mask"]), ["stand", "mask", "det_id"], "left_semi").withColumnRenamed("det_id", "did"))
-    refs = fx.fx_trees.select("stand", F.col("tree_id").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry")).withColumn("mask", F.explode(F.sequence(F.lit(1), F.lit(15))))
-    c = M.match_counts(refs, kept, M.match(refs, kept, 1.5, ["stand", "mask"]), ["stand", "mask"]).groupBy("mask").agg(F.sum("n_pred").alias("n"), F.sum("tp").alias("tp"), F.sum("n_ref").alias("nr"))
-    return c.withColumn("f1", X.precision_recall_f1("tp", "n", "nr")[2])
+    """All non-empty subsets of the views (511 of nine), merged and scored together; a mask's bit v stands for view v."""
+    kept, views = V.suppress_subsets(fx.fx_detections, "det_id", "n_pts", "view_id", 1.5)
+    refs = fx.fx_trees.select("stand", F.col("tree_id").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry"))
+    tp = V.matched_by_subset(refs, kept.withColumnRenamed("det_id", "did"), views, 1.5)
+    nr = refs.agg(F.count(F.lit(1))).scalar()
+    p, r, f1 = X.precision_recall_f1("tp", "n", "nr")
+    g = V.kept_counts(kept, views).withColumnRenamed("n_pred", "n").join(tp, "mask", "left").na.fill(0, ["tp"]).withColumn("nr", nr)
+    return g.select("mask", F.bit_count(F.col("mask")).alias("n_views"), "n", "tp", p.alias("p"), r.alias("r"), f1.alias("f1"))
+
+
+@query("g04_single_views", "view_id:i n:i", """
+WITH RECURSIVE d AS (SELECT stand, view_id, det_id, x, y, row_number() OVER (PARTITION BY stand, view_id ORDER BY n_pts DESC, det_id) AS o FROM fx_detections),
+k AS (SELECT stand, view_id, 0 AS o, CAST([] AS STRUCT(x DOUBLE, y DOUBLE)[]) AS kept FROM d GROUP BY ALL UNION ALL
+ SELECT k.stand, k.view_id, d.o, CASE WHEN len(list_filter(kept, lambda q: (q.x - d.x) * (q.x - d.x) + (q.y - d.y) * (q.y - d.y) <= CAST(1.5 AS DOUBLE) * CAST(1.5 AS DOUBLE))) = 0 THEN list_append(kept, {'x': d.x, 'y': d.y}) ELSE kept END
+ FROM k JOIN d ON d.stand = k.stand AND d.view_id = k.view_id AND d.o = k.o + 1)
+SELECT view_id, sum(len(kept)) AS n FROM (SELECT stand, view_id, arg_max(kept, o) AS kept FROM k GROUP BY ALL) GROUP BY view_id""")
+def _(fx):
+    """The subsets of one view, beside the sequential rule."""
+    kept, views = V.suppress_subsets(fx.fx_detections, "det_id", "n_pts", "view_id", 1.5)
+    return V.kept_counts(kept, views).where(F.bit_count(F.col("mask")) == 1).select(F.log2("mask").cast("int").alias("view_id"), F.col("n_pred").alias("n"))
 
 
 # ---- matched evaluations --------------------------------------------------------------------------
@@ -153,17 +166,28 @@ def _(fx):
     return g.select("*", p.alias("p"), r.alias("r"), f.alias("f1"))
 
 
-@query("i35_chance_floor", "cap:d recall:d chance:d margin:d")
+# Fixed value: uniform draws behind the chance floor.
+CHANCES = 15
+
+
+@query("i35_chance_floor", "cap:d recall:d recall_chance:d chance_sd:d recall_margin:d precision:d precision_chance:d precision_margin:d f1:d f1_chance:d f1_margin:d")
 def _(fx):
+    """Detections against as many points spread evenly over each stand's stems, per cap."""
     kept = cut(merge(fx.fx_detections, "det_id", "n_pts", 1.5).select("stand", F.col("det_id").alias("did"), "x", "y"))
+    box = fx.fx_trees.groupBy("stand").agg(*[f(c).alias(f"{p}{c}") for c in "xy" for p, f in (("lo_", F.min), ("hi_", F.max))])
     real = kept.withColumn("draw", F.lit(0))
-    fake = kept.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(3)))).withColumns({"x": 100 * uniform("did", "draw", 1), "y": 100 * uniform("did", "draw", 2)})
+    fake = kept.join(box, "stand").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(CHANCES))))
+    fake = fake.withColumns({c: F.col(f"lo_{c}") + (F.col(f"hi_{c}") - F.col(f"lo_{c}")) * uniform("did", "draw", i) for i, c in ((1, "x"), (2, "y"))}).select(*real.columns)
     d = T.with_params(real.unionByName(fake), [{"cap": c} for c in (1.0, 2.0)])
-    refs = refs_by(fx, "cap", (1.0, 2.0)).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    refs = refs_by(fx, "cap", (1.0, 2.0)).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(CHANCES))))
     c = M.match_counts(refs, d, M.match(refs, d, 2.0, ["stand", "cap", "draw"], limit="cap"), ["stand", "cap", "draw"])
-    g = c.groupBy("cap", "draw").agg((F.sum("tp") / F.sum("n_ref")).alias("rec"))
-    g = g.groupBy("cap").agg(F.max(F.when(F.col("draw") == 0, F.col("rec"))).alias("recall"), F.avg(F.when(F.col("draw") > 0, F.col("rec"))).alias("chance"))
-    return g.withColumn("margin", F.col("recall") - F.col("chance"))
+    g = c.groupBy("cap", "draw").agg(*[F.sum(x).alias(x) for x in ("tp", "n_pred", "n_ref")])
+    p, r, f1 = X.precision_recall_f1("tp", "n_pred", "n_ref")
+    g = cut(g.select("cap", "draw", p.alias("precision"), r.alias("recall"), f1.alias("f1")))
+    names = ("recall", "precision", "f1")
+    own, chance = F.col("draw") == 0, F.col("draw") > 0
+    out = g.groupBy("cap").agg(*[F.max(F.when(own, F.col(n))).alias(n) for n in names], *[F.avg(F.when(chance, F.col(n))).alias(f"{n}_chance") for n in names], F.stddev_pop(F.when(chance, F.col("recall"))).alias("chance_sd"))
+    return out.withColumns({f"{n}_margin": F.col(n) - F.col(f"{n}_chance") for n in names})
 
 
 @query("i36_confusion_rows", "subset:s tp:i fn:i fp:i dx:d dy:d")
@@ -189,7 +213,7 @@ def _(fx):
     _, _, pairs = view_pairs(fx)
     hit = pairs.where("view_id in (0, 1)").groupBy("rid").agg(F.count_if(F.col("view_id") == 0).alias("a"), F.count_if(F.col("view_id") == 1).alias("b"))
     o = cut(fx.fx_trees.select(F.col("tree_id").alias("rid")).join(hit, "rid", "left").na.fill(0, ["a", "b"]))
-    b = P.bootstrap(o, "rid", 200, 4, ["a", "b"]).groupBy("rep").agg((F.sum(F.col("w") * (F.col("b") - F.col("a"))) / F.sum("w")).alias("d"))
+    b = P.bootstrap(o, "rid", 10_000, 4, ["a", "b"]).groupBy("rep").agg((F.sum(F.col("w") * (F.col("b") - F.col("a"))) / F.sum("w")).alias("d"))
     q = exact_quantiles(b, [], "d", {"lo": 0.025, "hi": 0.975}).select(F.struct("lo", "hi").alias("q")).scalar()
     return o.agg(F.avg(F.col("b") - F.col("a")).alias("diff"), F.count(F.lit(1)).alias("n")).withColumn("q", q).select("diff", "q.lo", "q.hi", "n")
 
