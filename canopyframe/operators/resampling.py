@@ -17,11 +17,11 @@ from canopyframe.session import cut
 
 LOCAL_BYTES = 32 << 20
 # The weights of ``functions.hashing.mix``.
-WEIGHTS = (1000003, 7919, 104729)
+WEIGHTS = (1000003, 7919, 104729, 15485863)
 
 
 def mix(*parts: np.ndarray | int) -> np.ndarray:
-    """``functions.hashing.mix`` of up to three integers."""
+    """``functions.hashing.mix`` of up to four integers."""
     h = sum(np.fmod(np.asarray(p, dtype=np.int64), MODULUS) * w for p, w in zip(parts, WEIGHTS)) + 12345
     h = np.fmod(h, MODULUS)
     for _ in range(2):

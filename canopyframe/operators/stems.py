@@ -11,10 +11,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from canopyframe.functions.hashing import mix
 from canopyframe.functions.scalars import circumcircle, hyp
+from canopyframe.operators import resampling
 from canopyframe.operators.ranks import _slices, exact_quantiles, sorted_index
 from canopyframe.operators.transforms import centroid_distance, radial_filter
 from canopyframe.session import cut
@@ -121,26 +123,96 @@ def circle_taubin(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     return m.select(*ks, "n", (F.col("__mx") + F.col("__a")).alias("cx"), (F.col("__my") + F.col("__b")).alias("cy"), F.sqrt(F.col("__a") * F.col("__a") + F.col("__b") * F.col("__b") + F.col("z")).alias("r"))
 
 
-def circle_ransac(points: DataFrame, keys: Sequence[str], order: str, draws: int = 1000, tol: float = 0.02, r_max: float = 1.0,
-                  share: float = 0.5, seed: int = 42) -> DataFrame:
-    """Best of ``draws`` circles through three hashed points by inlier count, refitted on its inliers.
+SLICE_POINTS = 4096
+_CANDIDATE = "draw int, cx double, cy double, r double, votes long"
 
-    Falls back to all points when the best circle holds less than ``share`` of them.
+
+def _circles(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Circles through the columns of three rows of points; NaN where they lie on a line."""
+    px, py, qx, qy = x[1] - x[0], y[1] - y[0], x[2] - x[0], y[2] - y[0]
+    det = 2.0 * (px * qy - py * qx)
+    det = np.where(np.abs(det) >= 1e-12, det, np.nan)
+    p2, q2 = px * px + py * py, qx * qx + qy * qy
+    ux, uy = (qy * p2 - py * q2) / det, (px * q2 - qx * p2) / det
+    return x[0] + ux, y[0] + uy, np.sqrt(ux * ux + uy * uy)
+
+
+def _votes(cx: np.ndarray, cy: np.ndarray, r: np.ndarray, x: np.ndarray, y: np.ndarray, tol: float) -> np.ndarray:
+    """Points within ``tol`` of each circle, some circles at a time."""
+    step = max(1, (1 << 20) // max(1, len(x)))
+    return np.concatenate([(np.abs(np.hypot(x - cx[i: i + step, None], y - cy[i: i + step, None]) - r[i: i + step, None]) < tol).sum(1) for i in range(0, len(cx), step)] or [np.zeros(0, dtype=np.int64)])
+
+
+def _triples(n: int, draws: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(draw, three places)`` of all draws with different places."""
+    draw = np.arange(1, draws + 1)
+    at = np.stack([resampling.mix(draw, n, j, seed) % n for j in (1, 2, 3)])
+    ok = (at[0] != at[1]) & (at[1] != at[2]) & (at[0] != at[2])
+    return draw[ok], at[:, ok]
+
+
+def best_circles(p: DataFrame, keys: Sequence[str], draws: int, tol: float, r_max: float, seed: int, slice_points: int = SLICE_POINTS) -> DataFrame:
+    """``keys, votes, cx, cy, r``: the circle through three hashed points of ``p`` (keys, i, i_n, x, y) that most points lie on.
+
+    A slice of up to ``slice_points`` points is one row, whose draws a task scores at once. Of a larger one the drawn points are joined, and its
+    points are scored in chunks whose votes are added up, so no slice is held by one task.
     """
     ks = list(keys)
-    p = cut(sorted_index(points.select(*ks, order, "x", "y"), ks, order, "i"))
-    n = p.groupBy(*ks).agg(F.max("i_n").alias("n")).where("n >= 3").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    kinds = dict(p.dtypes)
+    key_shape = ", ".join(f"`{k}` {kinds[k]}" for k in ks)
+    place = F.struct("i", "x", "y")
+    packed = p.where((F.col("i_n") >= 3) & (F.col("i_n") <= slice_points)).groupBy(*ks).agg(F.array_sort(F.collect_list(place)).alias("p"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists, out = b.column(len(ks)), []
+            for s in lists:
+                x, y = (s.values.field(c).to_numpy() for c in ("x", "y"))
+                draw, at = _triples(len(x), draws, seed)
+                cx, cy, r = _circles(x[at], y[at])
+                good = np.flatnonzero(r <= r_max)
+                v = _votes(cx[good], cy[good], r[good], x, y, tol)
+                k = int(np.argmax(v)) if len(v) else -1  # the first of equals has the smallest draw
+                out.append((int(draw[good[k]]), cx[good[k]], cy[good[k]], r[good[k]], int(v[k])) if k >= 0 and v[k] else (None,) * 5)
+            cols = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(ks)], *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int64())))], [*ks, "draw", "cx", "cy", "r", "votes"])
+
+    small = packed.mapInArrow(score, f"{key_shape}, {_CANDIDATE}").where("votes is not null").select(*ks, "votes", "cx", "cy", "r")
+    big = p.where(F.col("i_n") > slice_points)
+    n = big.groupBy(*ks).agg(F.max("i_n").alias("n")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     for j in (1, 2, 3):
         n = n.withColumn(f"i{j}", mix("draw", "n", j, seed) % F.col("n"))
     n = n.where("i1 <> i2 and i2 <> i3 and i1 <> i3")
     for j in (1, 2, 3):
-        n = n.join(p.select(*ks, F.col("i").alias(f"i{j}"), F.col("x").alias(f"x{j}"), F.col("y").alias(f"y{j}")), [*ks, f"i{j}"])
+        n = n.join(big.select(*ks, F.col("i").alias(f"i{j}"), F.col("x").alias(f"x{j}"), F.col("y").alias(f"y{j}")), [*ks, f"i{j}"])
     cx, cy, r = circumcircle("x1", "y1", "x2", "y2", "x3", "y3")
-    c = n.select(*ks, "draw", cx.alias("cx"), cy.alias("cy"), r.alias("r")).where(F.col("r") <= r_max)
+    circles = n.select(*ks, "draw", cx.alias("cx"), cy.alias("cy"), r.alias("r")).where(F.col("r") <= r_max).groupBy(*ks).agg(F.array_sort(F.collect_list(F.struct("draw", "cx", "cy", "r"))).alias("c"))
+    chunks = big.groupBy(*ks, F.floor(F.col("i") / SLICE_POINTS).alias("chunk")).agg(F.collect_list(F.struct("x", "y")).alias("p"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            votes = []
+            for c, s in zip(b.column(len(ks)), b.column(len(ks) + 1)):
+                votes.append(_votes(*(c.values.field(f).to_numpy() for f in ("cx", "cy", "r")), s.values.field("x").to_numpy(), s.values.field("y").to_numpy(), tol))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(ks)], b.column(len(ks)), pa.array(votes, pa.list_(pa.int64()))], [*ks, "c", "v"])
+
+    circle = "array<struct<draw:int,cx:double,cy:double,r:double>>"
+    scored = chunks.join(circles, ks).select(*ks, "c", "p").mapInArrow(count, f"{key_shape}, c {circle}, v array<long>")
+    votes = scored.select(*ks, F.explode(F.arrays_zip("c", "v")).alias("z")).groupBy(*ks, "z.c").agg(F.sum("z.v").alias("votes")).where("votes > 0")
+    large = votes.groupBy(*ks).agg(F.max(F.struct("votes", (-F.col("c.draw")).alias("o"), "c.cx", "c.cy", "c.r")).alias("m")).select(*ks, "m.votes", "m.cx", "m.cy", "m.r")
+    return small.unionByName(large)
+
+
+def circle_ransac(points: DataFrame, keys: Sequence[str], order: str, draws: int = 1000, tol: float = 0.02, r_max: float = 1.0,
+                  share: float = 0.5, seed: int = 42, slice_points: int = SLICE_POINTS) -> DataFrame:
+    """Best of ``draws`` circles through three hashed points by inlier count, refitted on its inliers.
+
+    Falls back to all points when the best circle holds less than ``share`` of them.
+    """
+    ks = list(keys)
+    p = cut(sorted_index(points.select(*ks, order, "x", "y"), ks, order, "i"))
     hit = F.abs(hyp(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")) - F.col("r")) < tol
-    votes = c.join(p.select(*ks, "x", "y"), ks).where(hit).groupBy(*ks, "draw", "cx", "cy", "r").agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy(*ks).agg(F.max(F.struct("votes", (-F.col("draw")).alias("o"), "cx", "cy", "r")).alias("m"))
-    j = p.join(cut(best.select(*ks, "m.*")), ks, "left")
+    j = p.join(cut(best_circles(p, ks, draws, tol, r_max, seed, slice_points)), ks, "left")
     ok = F.coalesce(F.col("votes") >= F.col("i_n") * share, F.lit(False))
     kept = cut(j.where(~ok | hit).select(*ks, "x", "y"))
     fit = circle_kasa(kept, ks)
@@ -218,7 +290,7 @@ def _upper_gamma(dof: pd.Series) -> np.ndarray:
 
 
 def measure_slices(points: DataFrame, keys: Sequence[str], order: str, least: int = 10, coverage: float = 180.0, round_gap: float = 0.06,
-                   d_max: float = 2.0, draws: int = 200) -> DataFrame:
+                   d_max: float = 2.0, draws: int = 1000) -> DataFrame:
     """One measured diameter per slice passing the gates; round slices by circle, others by ellipse."""
     ks = list(keys)
     many = points.groupBy(*ks).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least).select(*ks)

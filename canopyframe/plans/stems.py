@@ -64,7 +64,7 @@ def _(fx):
 
 @query("d28_ransac_circle", "inst:i bin:i cx:d cy:d r:d inliers:i")
 def _(fx):
-    return S.circle_ransac(cut(viable(fx)), KEY, "pid", 100)
+    return S.circle_ransac(cut(viable(fx)), KEY, "pid")
 
 
 @query("d29_ellipse_fit", "inst:i bin:i cx:d cy:d a:d b:d")
@@ -74,7 +74,7 @@ def _(fx):
 
 @query("d30_slice_measurement", "inst:i bin:i fit:s d_cm:d residual_cm:d n_points:i coverage:d chi2_p:d chi2_pass:b")
 def _(fx):
-    return S.measure_slices(cut(wood(fx)), KEY, "pid", draws=50)
+    return S.measure_slices(cut(wood(fx)), KEY, "pid")
 
 
 @query("d31_circle_residual", "inst:i bin:i rmse:d chi2:d dof:i", f"""
@@ -87,7 +87,7 @@ def _(fx):
 @query("d32_adaptive_slices", "inst:i slice:i width:d d_cm:d n_points:i")
 def _(fx):
     p = cut(S.slice_candidates(wood(fx).drop("bin"), ["inst"]).select("inst", "slice", "width", "pid", "x", "y"))
-    m = S.measure_slices(p, ["inst", "slice", "width"], "pid", draws=20)
+    m = S.measure_slices(p, ["inst", "slice", "width"], "pid")
     best = m.groupBy("inst", "slice").agg(F.min(F.struct("width", "d_cm", "n_points")).alias("m"))
     return best.select("inst", "slice", "m.*")
 
@@ -96,7 +96,7 @@ def _(fx):
 def _(fx):
     tops = fx.fx_tree_pts.groupBy("inst").agg(F.max("z").alias("total_h"))
     p = cut(S.section_points(wood(fx).drop("bin"), tops, ["inst"]).select("inst", "section", "pid", "x", "y"))
-    return S.measure_slices(p, ["inst", "section"], "pid", draws=20)
+    return S.measure_slices(p, ["inst", "section"], "pid")
 
 
 MODE = f"""(SELECT inst, (k + 0.5) * 0.005 AS r FROM (SELECT inst, k, row_number() OVER (PARTITION BY inst ORDER BY c / (2 * k + 1) DESC, k) AS o FROM (SELECT inst, floor(sqrt(u*u + v*v) / CAST(0.005 AS DOUBLE)) AS k, count(*) AS c FROM {WOOD}
