@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from canopyframe.functions import scalars as X
 from canopyframe.functions.hashing import mix, mix_sql, uniform
-from canopyframe.operators import lattice as L, metrics as Q, models as M, panel as P, penalised as R, transforms as T, trees as G
+from canopyframe.operators import lattice as L, metrics as Q, models as M, panel as P, penalised as R, poses as O, transforms as T, trees as G
 from canopyframe.operators.nms import merge
 from canopyframe.operators.ranks import exact_quantiles, sorted_index
 from canopyframe.operators.spatial import grid_join, nn_distance
@@ -18,25 +18,29 @@ DEGREES = list(range(0, 180, 15))
 
 # ---- lattices -------------------------------------------------------------------------------------
 
-ROW = """WITH p AS (SELECT stand, x - avg(x) OVER (PARTITION BY stand) AS px, y - avg(y) OVER (PARTITION BY stand) AS py FROM fx_trees), v AS (SELECT stand, d, -px * sin(radians(d)) + py * cos(radians(d)) AS v FROM p, range(0, 180, 15) t(d)),
-b AS (SELECT stand, d, min(v) AS lo, max(v) AS hi FROM v GROUP BY 1, 2), h AS (SELECT stand, d, lo, hi, least(399, floor((v - lo) / (hi - lo) * 400)) AS b, count(*) AS c FROM v JOIN b USING (stand, d) GROUP BY ALL),
+HALVES = [i / 2 for i in range(360)]
+ROW = """WITH p AS (SELECT stand, x - avg(x) OVER (PARTITION BY stand) AS px, y - avg(y) OVER (PARTITION BY stand) AS py FROM fx_trees), t AS (SELECT h / CAST(2 AS DOUBLE) AS d FROM range(0, 360) r(h)),
+v AS (SELECT stand, d, -px * sin(radians(d)) + py * cos(radians(d)) AS v FROM p, t),
+b AS (SELECT stand, d, min(v) AS lo, max(v) AS hi FROM v GROUP BY 1, 2), h AS (SELECT stand, d, lo, hi, least(399, floor((v - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END * 400)) AS b, count(*) AS c FROM v JOIN b USING (stand, d) GROUP BY ALL),
 m AS (SELECT stand, d, c, lo + (b + 0.5) * (hi - lo) / 400 AS mid FROM h)
 SELECT stand, d AS deg, sqrt(pow(sum(c * cos(2 * pi() / CAST(2.87 AS DOUBLE) * mid)), 2) + pow(sum(c * sin(2 * pi() / CAST(2.87 AS DOUBLE) * mid)), 2)) / (sum(c) + 1e-9) AS score FROM m GROUP BY 1, 2"""
 
 
 @query("d75_row_periodicity", "stand:i deg:d score:d", ROW)
 def _(fx):
-    return L.rowness(fx.fx_trees, ["stand"], 2.87, DEGREES)
+    """Every half degree."""
+    return O.rowness(fx.fx_trees, ["stand"], 2.87, HALVES)
 
 
 @query("d75_best_azimuth", "stand:i deg:d contrast:d")
 def _(fx):
-    return L.best_azimuth(cut(L.rowness(fx.fx_trees, ["stand"], 2.87, DEGREES)), ["stand"])
+    return L.best_azimuth(cut(O.rowness(fx.fx_trees, ["stand"], 2.87, HALVES)), ["stand"])
 
 
-@query("d76_lattice_fit", "stand:i cost:d theta:d x0:d y0:d")
+@query("d76_lattice_fit", "stand:i cost:d theta:d x0:d y0:d null_mean:d null_sd:d p_value:d")
 def _(fx):
-    return L.fit_lattice(fx.fx_trees, ["stand"], 2.87, 1.88, 12, 4)
+    """24 x 5 x 5 poses and narrower ones around the best, beside 19 maps of evenly spread points."""
+    return O.lattice_null(fx.fx_trees, ["stand"], "tree_id", 2.87, 1.88)
 
 
 @query("d77_lattice_occupancy", "stand:i nodes:i hit:i occupied:d", """
@@ -61,11 +65,10 @@ def _(fx):
     return L.census_lattice(fx.fx_census, "plot", 1.88, 2.87, True)
 
 
-@query("d80_plot_registration", "plot:i cost:d theta:d dx:d dy:d mean_cost:d")
+@query("d80_plot_registration", "plot:i cost:d theta:d dx:d dy:d null_mean:d null_sd:d p_value:d")
 def _(fx):
-    nodes = L.census_lattice(fx.fx_census, "plot", 1.88, 2.87).withColumnRenamed("tree_id", "nid")
-    poses = [{"theta": t * 0.26, "dx": a * 0.9, "dy": b * 0.9} for t in range(-6, 6) for a in range(-2, 3) for b in range(-2, 3)]
-    return L.register(nodes, fx.fx_trees, fx.fx_plots, poses)
+    """Every 3 degrees and 0.4 m and narrower poses around the best, beside 400 random poses."""
+    return O.register(L.census_lattice(fx.fx_census, "plot", 1.88, 2.87), fx.fx_trees, fx.fx_plots, 2.87)
 
 
 # Thinnings of the null map, the smallest planting spacing, the share of it that counts as impossible, the merge radius.
