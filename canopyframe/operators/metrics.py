@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from canopyframe.operators.ranks import exact_quantiles, sorted_index, top_fraction
+from canopyframe.session import cut
 
 EXTRA_PERCENTILES = (1, 5, 10, 15, 20, 30, 35, 40, 45, 55, 60, 65, 70, 80, 85, 99)  # fixed values
 
@@ -19,6 +20,7 @@ def with_means(df: DataFrame, keys: Sequence[str], **cols: str) -> DataFrame:
 def height_metrics(points: DataFrame, keys: Sequence[str], z: str = "z") -> DataFrame:
     """zmax, zmean, zsd (n-1), zq50, zq90, share above the mean; null below two returns."""
     ks = list(keys)
+    points = cut(points.select(*ks, z))  # read three times below; its source may be a join
     base = points.groupBy(*ks).agg(F.count(F.lit(1)).alias("n_pts"), F.max(z).alias("zmax"), F.avg(z).alias("zmean"), F.stddev_samp(z).alias("zsd"))
     q = exact_quantiles(points, ks, z, {"zq50": 0.5, "zq90": 0.9})
     above = (points.join(base.select(*ks, "zmean"), ks).groupBy(*ks)
@@ -60,6 +62,7 @@ def _entropy(points: DataFrame, keys: list[str], z: str, bins: Column, lo: str,
 def height_distribution(points: DataFrame, keys: Sequence[str], z: str = "z") -> DataFrame:
     """The full height-distribution suite; keys with fewer than four returns are dropped."""
     ks = list(keys)
+    points = cut(points.select(*ks, z))
     base = points.groupBy(*ks).agg(F.count(F.lit(1)).alias("n"), F.min(z).alias("lo"), F.max(z).alias("hi"), F.avg(z).alias("mean")).where("n >= 4")
     probs = {f"zq{p}": p / 100 for p in EXTRA_PERCENTILES} | {"__q25": 0.25, "__q50": 0.5, "__q75": 0.75}
     q = exact_quantiles(points, ks, z, probs)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from canopyframe.functions.hashing import mix
 from canopyframe.functions.scalars import circumcircle, hyp
 from canopyframe.operators import resampling
+from canopyframe.operators.poses import vectors_by_key
 from canopyframe.operators.ranks import _slices, exact_quantiles, sorted_index
 from canopyframe.operators.transforms import centroid_distance, radial_filter
 from canopyframe.session import cut
@@ -398,7 +399,7 @@ def slice_agreement(points: DataFrame, keys: Sequence[str], slices: int = 6, lea
     """Median of per-slice mode radii with their spread and the reason of any rejection."""
     ks = list(keys)
     box = points.groupBy(*ks).agg(F.min("h").alias("__lo"), F.max("h").alias("__hi"))
-    p = points.join(box, ks).withColumn("slice", F.floor((F.col("h") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * slices)).where(F.col("slice") < slices)
+    p = points.join(box, ks).withColumn("slice", F.floor(F.try_divide(F.col("h") - F.col("__lo"), F.col("__hi") - F.col("__lo")) * slices)).where(F.col("slice") < slices)
     n = p.groupBy(*ks, "slice").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     r = cut(radial_mode(p.join(n.select(*ks, "slice"), [*ks, "slice"], "left_semi"), [*ks, "slice"], **kw))
     med = exact_quantiles(r, ks, "r", {"r_med": 0.5})
@@ -411,12 +412,14 @@ def slice_agreement(points: DataFrame, keys: Sequence[str], slices: int = 6, lea
 
 def kernel_profile(points: DataFrame, keys: Sequence[str], r_min: float = 0.03, r_max: float = 0.30, step: float = 0.002, h: float = 0.015) -> DataFrame:
     """Kernel density over radius divided by ring length, per key and grid radius (``u, v`` about the stem)."""
-    d = hyp("u", "v")
     n = int(round((r_max - r_min) / step))
-    p = points.select(*keys, d.alias("d")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    radii = r_min + np.arange(n) * step
+
+    def part(d: pd.DataFrame) -> dict[str, np.ndarray]:
+        return {"w": np.exp(-0.5 * ((d["d"].to_numpy()[:, None] - radii) / h) ** 2).sum(0)}
+
     r = F.lit(r_min) + F.col("i") * step
-    w = F.exp(-0.5 * ((F.col("d") - r) / h) * ((F.col("d") - r) / h))
-    return p.groupBy(*keys, "i").agg((F.sum(w)).alias("w")).select(*keys, "i", r.alias("radius"), (F.col("w") / (2 * F.pi() * r)).alias("density"))
+    return vectors_by_key(points.select(*keys, hyp("u", "v").alias("d")), keys, part, {"w": "sum"}).select(*keys, "i", r.alias("radius"), (F.col("w") / (2 * F.pi() * r)).alias("density"))
 
 
 def profile_peak(profile: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -457,13 +460,16 @@ def ring_centre(points: DataFrame, keys: Sequence[str], radius: str, window: flo
     """Offset with the most points within ``tol`` of the given radius (first offset on ties)."""
     ks = list(keys)
     k = int(round(window / step))
-    grid = F.array(*[F.struct(F.lit(round(i * step, 10)).alias("du"), F.lit(round(j * step, 10)).alias("dv"), F.lit((i + k) * (2 * k + 1) + j + k).alias("o"))
-                     for i in range(-k, k + 1) for j in range(-k, k + 1)])
-    p = points.withColumn("__g", F.explode(grid))
-    on = F.abs(hyp(F.col("u") - F.col("__g.du"), F.col("v") - F.col("__g.dv")) - F.col(radius)) < tol
-    c = p.where(on).groupBy(*ks, "__g").agg(F.count(F.lit(1)).alias("n"))
-    m = c.groupBy(*ks).agg(F.max(F.struct("n", (-F.col("__g.o")).alias("o"), F.col("__g.du").alias("du"), F.col("__g.dv").alias("dv"))).alias("m"))
-    return m.select(*ks, "m.du", "m.dv", "m.n")
+    du, dv = (np.round(x.ravel() * step, 10) for x in np.meshgrid(np.arange(-k, k + 1), np.arange(-k, k + 1), indexing="ij"))
+
+    def part(d: pd.DataFrame) -> dict[str, np.ndarray]:
+        u, v, r = (d[c].to_numpy()[:, None] for c in ("u", "v", "r"))
+        return {"n": (np.abs(np.sqrt((u - du) * (u - du) + (v - dv) * (v - dv)) - r) < tol).sum(0).astype(float)}
+
+    c = vectors_by_key(points.select(*ks, "u", "v", F.col(radius).alias("r")), ks, part, {"n": "sum"}).where("n > 0")
+    m = c.groupBy(*ks).agg(F.max(F.struct("n", (-F.col("i")).alias("o"))).alias("m"))
+    at = lambda values: F.get(F.array(*[F.lit(float(x)) for x in values]), -F.col("m.o"))
+    return m.select(*ks, at(du).alias("du"), at(dv).alias("dv"), F.col("m.n").cast("long").alias("n"))
 
 
 def taper_walk(points: DataFrame, anchors: DataFrame, heights: Sequence[float], key: str = "stem", least: int = 40, inliers: int = 25,
