@@ -18,7 +18,8 @@ A document's set holds the distinct ``k``-word runs of its whole text as 64-bit
    every pair of different components that still shares a group (split by size band, and into pairs of chunks when large). No link
    between different components can be missed on either way, and links inside a component change nothing.
 
-Signatures seen once are dropped by a count; before the join that finds the others' sets, a Bloom filter of fixed size keeps most single ones from the shuffle.
+There are more segments than can differ, so linked sets have many signatures in common (``need``). Signatures seen once are dropped by a count, and sets left with fewer than
+their need drop out with them; before the join that finds the others' sets, a Bloom filter of fixed size does the same where the signatures are.
 
 Defined cases: null and empty texts have ``n_shingles`` 0, no links and their own id; a text with fewer than ``k`` words is one run;
 rows without an id take part, but lend no id (a component of such rows has none); repeated rows are copies. Two sets with
@@ -35,9 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from canopyframe.llm.common import SPACES, Words, as_long, mix, shingles, slices
-from canopyframe.llm.url_filter import build_filter, may_hold
+from canopyframe.llm.url_filter import build_filter, held
 from canopyframe.operators.components import components
-from canopyframe.session import cut, free
+from canopyframe.session import cut, free, sweep
 
 GROWTH = 1.6  # of one size class over the next smaller
 CHUNK = 256
@@ -61,26 +62,36 @@ def segments(bound: int, percent: int) -> tuple[int, int]:
     return differ, differ + 1 + -(-differ * (100 - percent) // 80)
 
 
-def signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of a sorted set in its class and, where it can be the smaller of a pair, in the next."""
+def signed_classes(s: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
+    """``(class, need, signatures)`` of a sorted set in its class and, where it can be the smaller of a pair, in the next.
+
+    A linked set has at least ``need`` of these signatures in common with it.
+    """
     c, bound = size_class(len(s))
-    out = [_signed(s, c, bound, percent)]
+    out = [(c, *_signed(s, c, bound, percent))]
     if 100 * len(s) >= percent * bound:
-        out.append(_signed(s, c + 1, size_class(bound)[1], percent))
-    return np.concatenate(out)
+        out.append((c + 1, *_signed(s, c + 1, size_class(bound)[1], percent)))
+    return out
 
 
-def _signed(s: np.ndarray, c: int, bound: int, percent: int) -> np.ndarray:
+def signatures(s: np.ndarray, percent: int) -> np.ndarray:
+    """The signatures of all a set's classes."""
+    return np.concatenate([marks for _, _, marks in signed_classes(s, percent)])
+
+
+def _signed(s: np.ndarray, c: int, bound: int, percent: int) -> tuple[int, np.ndarray]:
     differ, m = segments(bound, percent)
     part = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
     first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     total = np.add.reduceat(mix(s), first)
     which = part[first]
-    if m - differ - (m - len(first)) < 1:
+    # of m segments at most ``differ`` are unequal, and this set's empty ones may be among the equal
+    need = len(first) - differ
+    if need < 1:
         every = np.zeros(m, dtype=np.uint64)
         every[which.astype(np.int64)] = total
-        total, which = every, np.arange(m, dtype=np.uint64)
-    return mix(total + mix(which + np.uint64(c << 40)))
+        total, which, need = every, np.arange(m, dtype=np.uint64), 1  # the other set may not sign its empty ones
+    return need, mix(total + mix(which + np.uint64(c << 40)))
 
 
 def row_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -137,28 +148,69 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def signed_sets(docs: DataFrame, sets: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
-    """``sid, n, marks``: the signatures of each distinct set."""
+    """``sid, n, cls, need, marks``: the signatures of each distinct set in each of its classes."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
-            sid, n, marks = [], [], []
+            sid, n, cls, need, marks = [], [], [], [], []
             for want, s in zip(b.column(0).to_pylist(), row_sets(b.column(1), k)):
                 if len(s) and sid_of(s) == want:  # unless texts of one key share a hash
-                    sid.append(want), n.append(len(s)), marks.append(as_long(signatures(s, percent)))
-            offs = np.concatenate([[0], np.cumsum([len(x) for x in marks])]).astype(np.int32)
-            flat = np.concatenate(marks) if marks else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))], names=["sid", "n", "marks"])
+                    for c, least, found in signed_classes(s, percent):
+                        sid.append(want), n.append(len(s)), cls.append(c), need.append(least), marks.append(as_long(found))
+            yield _marked(sid, n, cls, need, marks)
 
     rows = _rows(docs, doc_id, text).join(_first(sets), ["key", "mark"])
-    return rows.select("sid", "text").mapInArrow(run, "sid long, n long, marks array<long>")
+    return rows.select("sid", "text").mapInArrow(run, MARKED)
+
+
+MARKED = "sid long, n long, cls int, need int, marks array<long>"
+
+
+def _marked(sid, n, cls, need, marks: list[np.ndarray]) -> pa.RecordBatch:
+    offs = np.concatenate([[0], np.cumsum([len(x) for x in marks])]).astype(np.int32)
+    flat = np.concatenate(marks) if marks else np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int32()), pa.array(need, pa.int32()), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))],
+                                      names=["sid", "n", "cls", "need", "marks"])
+
+
+def _possible(signed: DataFrame, words: np.ndarray) -> DataFrame:
+    """``signed`` with the signatures that others may have, without sets that cannot have enough of them."""
+    shared = signed.sparkSession.sparkContext.broadcast(words)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            offs = np.asarray(b.column(4).offsets)
+            flat = b.column(4).values.to_numpy()
+            ok = held(shared.value, flat)
+            kept = [np.flatnonzero(ok[i:j]) + i for i, j in zip(offs[:-1], offs[1:])]
+            sid, n, cls, need = (b.column(i).to_pylist() for i in range(4))
+            good = [i for i in range(b.num_rows) if len(kept[i]) >= need[i]]
+            yield _marked([sid[i] for i in good], [n[i] for i in good], [cls[i] for i in good], [need[i] for i in good], [flat[kept[i]] for i in good])
+
+    return signed.mapInArrow(run, MARKED)
 
 
 def shared_keys(signed: DataFrame) -> DataFrame:
-    """``token, df, sid, n``: signatures that several distinct sets have."""
-    marks = signed.select("sid", "n", F.explode("marks").alias("token"))
-    counts = cut(marks.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
-    possible = may_hold(signed.sparkSession, build_filter(counts.select(F.xxhash64("token").alias("h")), FILTER_BLOCKS))
-    return marks.where(possible(F.xxhash64("token"))).join(counts, "token").select("token", "df", "sid", "n").distinct()
+    """``token, df, sid, n``: signatures that several distinct sets have, of sets that have as many of them as a linked set must share.
+
+    A set with fewer is linked with nothing: so texts that have but a passage in common with others go here. What goes may have been the only
+    other one with a signature, so this is done twice.
+    """
+    spark = signed.sparkSession
+    counts = cut(signed.select(F.explode("marks").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token"))
+    sweep(spark)
+    words = build_filter(counts.select(F.col("token").alias("h")), FILTER_BLOCKS)  # tokens are hashes already
+    keys = cut(_possible(signed, words).select("sid", "n", "cls", "need", F.explode("marks").alias("token")).join(counts, "token"))
+    free(counts)
+    sweep(spark)
+    for _ in range(2):
+        enough = keys.groupBy("sid", "cls").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need")).where("c >= need").select("sid", "cls")
+        left = keys.drop("df").join(enough, ["sid", "cls"], "left_semi")
+        several = left.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+        old, keys = keys, cut(left.join(several, "token").select("token", "df", "sid", "n", "cls", "need"))
+        free(old)
+        sweep(spark)
+    return keys
 
 
 class Node:
@@ -347,19 +399,24 @@ def _with_comp(keys: DataFrame, comps: DataFrame) -> DataFrame:
 
 def set_components(sets: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
     """``node, comp`` of the distinct sets that are linked with another."""
+    spark = docs.sparkSession
     signed = cut(signed_sets(docs, sets, doc_id, text, k, percent))
-    keys = cut(shared_keys(signed))
+    sweep(spark)
+    every = shared_keys(signed)
     free(signed)
+    sweep(spark)
 
     # sets that hang together by any signatures: a small block is one tile, and settled by it
-    low = keys.groupBy("token").agg(F.min("sid").alias("a"))
-    blocks = components(keys.join(low, "token").where("sid <> a").select("a", F.col("sid").alias("b")))
+    low = every.groupBy("token").agg(F.min("sid").alias("a"))
+    blocks = components(every.join(low, "token").where("sid <> a").select("a", F.col("sid").alias("b")))
     blocks = blocks.select(F.col("node").alias("sid"), F.col("comp").alias("block"))
     large = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("members")).withColumn("large", F.col("members") > BLOCK_SETS)
     blocks = cut(blocks.join(large, "block").select("sid", "block", "large"))
 
     # in a large one, each set goes to its largest group
-    keys = cut(keys.join(blocks.where("large").select("sid"), "sid"))
+    keys = cut(every.join(blocks.where("large").select("sid"), "sid"))
+    free(every)
+    sweep(spark)
     own = keys.groupBy("sid").agg(F.max(F.struct("df", "token")).alias("x")).select("sid", "x.token")
     sizes = own.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
     chunk = F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / CHUNK))
@@ -370,8 +427,12 @@ def set_components(sets: DataFrame, docs: DataFrame, doc_id: str, text: str, k:
     # every set is in one tile here, so what the tiles join are components already
     comps = cut(link_tiles(full.withColumn("comp", F.col("sid")), k, percent))
     if keys.isEmpty():
+        free(full, blocks, keys)
+        sweep(spark)
         return comps
-    full = full.drop("tile").join(keys.select("sid").distinct(), "sid", "left_semi")
+    packed, full = full, cut(full.drop("tile").join(keys.select("sid").distinct(), "sid", "left_semi"))
+    free(packed, blocks)
+    sweep(spark)
 
     # some representatives of each component in each group
     rows = cut(_with_comp(keys, comps))
@@ -381,7 +442,9 @@ def set_components(sets: DataFrame, docs: DataFrame, doc_id: str, text: str, k:
             .select("token", "comp", F.explode(F.array_distinct(F.array(*[f"r{i}.sid" for i in range(REPRESENTATIVES)]))).alias("sid")))
     sizes = near.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
     tiles = near.join(sizes, "token").select(F.xxhash64("token", F.pmod(F.xxhash64("comp"), F.ceil(F.col("size") / CHUNK))).alias("tile"), "sid", "comp")
-    comps = cut(merged(comps, link_tiles(tiles.join(full, "sid"), k, percent)))
+    comps, old = cut(merged(comps, link_tiles(tiles.join(full, "sid"), k, percent))), (rows, comps)
+    free(*old)
+    sweep(spark)
 
     # what is left, exactly: different components that share a group and a pair of size bands
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent) * 1.0001 if percent < 100 else 1e-9)).cast("long")
@@ -393,7 +456,10 @@ def set_components(sets: DataFrame, docs: DataFrame, doc_id: str, text: str, k:
     parts = (rows.join(left, ["token", "band"])
              .withColumn("i", F.pmod(F.xxhash64("sid"), m)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), m - 1))))
     tiles = parts.select(F.xxhash64("token", "band", F.least("i", "j"), F.greatest("i", "j")).alias("tile"), "sid", "comp")
-    return cut(merged(comps, link_tiles(tiles.join(full, "sid"), k, percent)))
+    out = cut(merged(comps, link_tiles(tiles.join(full, "sid"), k, percent)))
+    free(rows, comps, full, keys)
+    sweep(spark)
+    return out
 
 
 def _judged(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:

@@ -53,19 +53,23 @@ def build_filter(listed: DataFrame, blocks: int = BLOCKS) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def held(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Of 64-bit hashes (longs), whether the filter may hold them: False means surely not."""
+    x = hashes.astype(np.int64, copy=False).view(np.uint64)
+    word = words[(x >> np.uint64(64 - len(words).bit_length() + 1)).astype(np.int64)]
+    ok = np.ones(len(x), dtype=bool)
+    for i in range(PROBES):
+        ok &= (word >> ((x >> np.uint64(6 * i)) & np.uint64(63))) & np.uint64(1) == 1
+    return ok
+
+
 def may_hold(spark, words: np.ndarray):
     """A column function on 64-bit key hashes: False means surely not listed."""
     shared = spark.sparkContext.broadcast(words)
-    shift = np.uint64(64 - len(words).bit_length() + 1)
 
     @F.pandas_udf("boolean")
     def probe(h: pd.Series) -> pd.Series:
-        x = h.to_numpy(dtype=np.int64).view(np.uint64)
-        word = shared.value[(x >> shift).astype(np.int64)]
-        ok = np.ones(len(x), dtype=bool)
-        for i in range(PROBES):
-            ok &= (word >> ((x >> np.uint64(6 * i)) & np.uint64(63))) & np.uint64(1) == 1
-        return pd.Series(ok)
+        return pd.Series(held(shared.value, h.to_numpy(dtype=np.int64)))
 
     return probe
 
