@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 PACKET = 576
@@ -35,6 +36,7 @@ _ID = struct.Struct("<8sBBIII")
 _REVERSED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
 CONTINUED, FIRST, LAST = 1, 2, 4
 MAX_ROWS = 256
+MAX_BYTES = 64 << 20
 
 
 def checksum(data: bytes) -> int:
@@ -167,20 +169,27 @@ def pad(data: bytes, unit: int = PACKET) -> bytes:
     return data + bytes([FILLER]) * (n - len(data))
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Small parts of a batch, so that the bytes made at once stay few."""
-    for at in range(0, batch.num_rows, MAX_ROWS):
-        yield batch.slice(at, MAX_ROWS)
+def _rows(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most ``MAX_ROWS`` rows and, but for single rows, ``MAX_BYTES`` in a column, so that the bytes made at once stay few."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    at = 0
+    while at < batch.num_rows:
+        end, total = at + 1, size[at]
+        while end < batch.num_rows and end - at < MAX_ROWS and total + size[end] <= MAX_BYTES:
+            total, end = total + size[end], end + 1
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def with_media(df: DataFrame, text: str, media: str = "media") -> DataFrame:
-    """``df`` with the container of the UTF-8 bytes of ``text`` (null: empty) as a binary column."""
+    """``df`` with the container of the UTF-8 bytes of ``text`` (null: empty) as a binary column; a column of that name is replaced."""
+    df = df.drop(media) if media in df.columns and media != text else df
     schema = T.StructType([*df.schema.fields, T.StructField(media, T.BinaryType())])
     names = [f.name for f in schema]
 
     def encode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in rows:
-            for b in _rows(whole):
+            for b in _rows(whole, whole.schema.get_field_index(text)):
                 col = b.column(b.schema.get_field_index(text)).cast(pa.large_binary())
                 made = [write(pad(x.as_py() or b"")) for x in col]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.binary())], names=names)
@@ -209,7 +218,7 @@ def read_media(df: DataFrame, keep: list[str], media: str = "media", payload: bo
 
     def decode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in rows:
-            for b in _rows(whole):
+            for b in _rows(whole, whole.num_columns - 1):
                 found = []
                 for x in b.column(b.num_columns - 1):
                     m = x.as_py()

@@ -55,7 +55,9 @@ LEFT_OUT_WORDS = frozenset("ad ads adv advert advertisement advertisements adver
 STATES = frozenset("has no with without open closed".split())
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+# what stands unquoted in a tag holds no <, and nothing is tried twice, so malformed tags cost their own length
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"]*"|'[^']*')*+)>""", re.S)
+_SPAN = re.compile(r"<(/?)span\b[^<>]*>", re.I)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -159,6 +161,7 @@ class Page:
 
     def _read(self, source: str) -> None:
         at, head = 0, False
+        open_ended: set[str] = set()  # raw elements and spans without an end from here on
         for m in _TAG.finditer(source):
             if m.start() < at:
                 continue
@@ -178,8 +181,10 @@ class Page:
                     self._close(name)
                 continue
             if name in RAW and not (name in RAW_OUTSIDE and self._stack and (self._stack[-1].article or self._stack[-1].main)):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
                 if not m[3].rstrip().endswith("/"):
+                    end = None if name in open_ended else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
+                    if end is None:
+                        open_ended.add(name)
                     at = end.end() if end else (len(source) if name in ("script", "style") else at)
                 continue
             if name == "head":
@@ -201,9 +206,16 @@ class Page:
             elif not head and m[3] and ("class" in m[3] or "id" in m[3] or "hidden" in m[3]) and name == "span":
                 # a marked inline part is a block of its own only if it is left out
                 part = _enter(name, _attributes(m[3]), self._stack[-1] if self._stack else None)
-                if part.out and not (self._stack and self._stack[-1].out):
-                    end = re.compile(r"</span\s*>", re.I).search(source, at)
-                    at = end.end() if end else at
+                if part.out and not (self._stack and self._stack[-1].out) and "span" not in open_ended:
+                    depth, end = 1, None
+                    for tag in _SPAN.finditer(source, at):
+                        depth += -1 if tag[1] else 1
+                        if not depth:
+                            end = tag.end()
+                            break
+                    if end is None:
+                        open_ended.add("span")
+                    at = end or at
         if not head:
             self._add(source[at:])
         self._flush()
@@ -211,7 +223,11 @@ class Page:
     def text(self, template: set[int]) -> str:
         """The remaining slots of the main region."""
         kept = [b for b in self.blocks if not b.out]
-        for region in ([b for b in kept if b.article], [b for b in kept if b.main]):
+        articles, mains = [b for b in kept if b.article], [b for b in kept if b.main]
+        # articles outside a main region that holds more text are teasers
+        if not any(b.main for b in articles) and sum(len(b.text) for b in mains) > sum(len(b.text) for b in articles):
+            articles = []
+        for region in (articles, mains):
             if region:
                 return "\n".join(b.text for b in region)
         return "\n".join(b.text for b in kept if b.token not in template and b.links <= LINK_SHARE * len(b.text))

@@ -96,6 +96,25 @@ def test_wrappers_leave_regions_whole(before, after):
         assert page.text(set()) == "Own"
 
 
+def test_malformed_pages_cost_their_length():
+    import time
+
+    from canopyframe.llm import template
+    for piece in ('<a "', "<title>", "<!x", "<span class=ad>", "<p class='"):
+        began = time.perf_counter()
+        template.Page("<article>kept</article>" + piece * 60_000).text(set())
+        assert time.perf_counter() - began < 10, piece
+
+
+def test_regions_beside_each_other():
+    from canopyframe.llm import template
+    page = lambda s: template.Page(s).text(set())
+    assert page("<main><p>The whole long text of the page.</p></main><article><p>Teaser</p></article>") == "The whole long text of the page."
+    assert page("<main><p>Intro of some length to the article</p><article><p>Own</p></article></main>") == "Own"
+    assert page("<article><p>one <span class='ad'>AD <span>y</span> tail</span>two</p></article>") == "one two"
+    assert page("<article><p>a <b title='x>y'>b</b> c < d</p></article>") == "a b c < d"
+
+
 def labelled(spark, n=900):
     rng = random.Random(6)
     rows, labels = [], []

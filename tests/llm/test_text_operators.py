@@ -3,6 +3,7 @@ import re
 import zlib
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 
 from fixtures import documents, rows_of, texts
@@ -258,3 +259,12 @@ def test_mix(spark):
     assert mixing.mix_sources(documents(spark, []), weights).count() == 0
     with pytest.raises(ValueError):
         mixing.reduced({"a": 0})
+
+
+def test_media_batches_are_bounded_by_bytes(spark, monkeypatch):
+    from canopyframe.llm import ogg
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * 40, None, "b" * 70, "c", "d" * 30, "e" * 30])], ["text"])
+    monkeypatch.setattr(ogg, "MAX_BYTES", 64)
+    assert [b.num_rows for b in ogg._rows(batch, 0)] == [2, 1, 3]
+    df = spark.createDataFrame([(1, "x", b"old"), (2, None, b"old")], "doc_id long, text string, media binary")
+    assert ogg.with_media(df, "text").columns == ["doc_id", "text", "media"]
