@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
 
 
 # Fixed values of the contract: host, path, verdict.
-URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 #: hosts listed whole; they decide where no rule fits
 LISTED_HOSTS = ["spam-farm.example.org", "cheap-pills.example.com", "adult-x.example.net"]
 
