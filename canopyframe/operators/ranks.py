@@ -19,6 +19,8 @@ def _slices(df: DataFrame, keys: Sequence[str], value: str, weight: str | None)
     w = F.col(weight) if weight else F.lit(1).cast("bigint")
     d = df.withColumn("__k", F.lit(0)) if not keys else df
     ks = list(keys) or ["__k"]
+    for k in ks:
+        d = d.where(F.col(k).isNotNull())  # rows without a key have no place
     span = d.groupBy(*ks).agg(
         F.min(value).cast("double").alias("__lo"),
         F.max(value).cast("double").alias("__hi"),
@@ -30,7 +32,8 @@ def _slices(df: DataFrame, keys: Sequence[str], value: str, weight: str | None)
         F.col("__hi") > F.col("__lo"),
         F.floor((F.col(value).cast("double") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * nb),
     ).otherwise(F.lit(0))
-    binned = d.join(span, ks).withColumn("__b", F.least(nb - 1, pos).cast("bigint"))
+    # every row finds its key; left joins because only their right side can be broadcast: Spark takes rows for small by their files' size
+    binned = d.join(span, ks, "left").withColumn("__b", F.least(nb - 1, pos).cast("bigint"))
     hist = binned.groupBy(*ks, "__b").agg(F.sum(w).alias("__m"))
     order = W.partitionBy(*ks).orderBy("__b").rowsBetween(W.unboundedPreceding, W.currentRow)
     below = hist.withColumn("__below", F.sum("__m").over(order) - F.col("__m"))
@@ -42,7 +45,7 @@ def sorted_index(df: DataFrame, keys: Sequence[str], value: str, name: str = "id
     """0-based position of each row in the ascending order of the numeric ``value`` inside its key."""
     binned, below, ks = _slices(df, keys, value, None)
     within = W.partitionBy(*ks, "__b").orderBy(value, *ties)
-    out = binned.join(below.drop("__m"), [*ks, "__b"])
+    out = binned.join(below.drop("__m"), [*ks, "__b"], "left")
     out = out.withColumn(name, F.col("__below") + F.row_number().over(within) - 1)
     return out.select(*df.columns, name, F.col("__n").alias(f"{name}_n"))
 
