@@ -27,3 +27,19 @@ def test_rows_without_a_key_have_no_rank(spark):
     df = spark.createDataFrame([(None, 1.0), (2.0, 5.0), (2.0, 3.0), (nan, 4.0), (nan, 2.0)], "k double, v double")
     got = sorted(str((r.k, r.v, r.i, r.i_n)) for r in sorted_index(df, ["k"], "v", "i").collect())
     assert got == sorted(map(str, [(2.0, 3.0, 0, 2), (2.0, 5.0, 1, 2), (nan, 2.0, 0, 2), (nan, 4.0, 1, 2)])), got
+
+
+def test_copies_of_a_self_join_are_not_broadcast(spark, tmp_path, monkeypatch):
+    from canopyframe.operators import subsets
+    plans, join = [], subsets.grid_join
+
+    def seen(*args, **more):
+        plans.append(physical(out := join(*args, **more)))
+        return out
+
+    monkeypatch.setattr(subsets, "grid_join", seen)
+    rows = spark.range(600).selectExpr("id % 3 as stand", "id as det_id", "id % 2 as view_id", "cast(id % 20 as double) as x", "cast(id % 29 as double) as y", "id % 11 as n_pts")
+    kept, views = subsets.suppress_subsets(rows, "det_id", "n_pts", "view_id", 1.5)
+    refs = rows.where("view_id = 0").selectExpr("stand", "det_id as rid", "x as rx", "y as ry")
+    assert subsets.matched_by_subset(refs, kept.withColumnRenamed("det_id", "did"), views, 1.5).count() > 0
+    assert len(plans) == 2 and not any("BroadcastHashJoin" in p for p in plans)
