@@ -43,3 +43,13 @@ def test_copies_of_a_self_join_are_not_broadcast(spark, tmp_path, monkeypatch):
     refs = rows.where("view_id = 0").selectExpr("stand", "det_id as rid", "x as rx", "y as ry")
     assert subsets.matched_by_subset(refs, kept.withColumnRenamed("det_id", "did"), views, 1.5).count() > 0
     assert len(plans) == 2 and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_zones_of_a_grid_join_are_not_broadcast(spark, tmp_path):
+    from canopyframe.operators.spatial import grid_join
+    zones = exploded(spark, f"{tmp_path}/zones").selectExpr("k", "c as zid", "v % 40 as cx", "v % 31 as cy")
+    points = spark.range(40).selectExpr("id % 7 as k", "id as pid", "cast(id as double) as x", "cast(id % 31 as double) as y")
+    got = grid_join(points, zones, 1.0, ["k"])
+    assert "Broadcast" not in physical(got)
+    plain = points.join(zones, "k").where("(x - cx) * (x - cx) + (y - cy) * (y - cy) <= 1")
+    assert got.count() == plain.count() > 0
