@@ -95,7 +95,8 @@ def linear_fit(df: DataFrame, xs: Sequence[str], y: str, by: Sequence[str] = ())
     ks = list(by) or ["__all"]
     d = df if by else df.withColumn("__all", F.lit(0))
     mu = d.groupBy(*ks).agg(*[F.avg(c).alias(f"__mu_{c}") for c in [*xs, y]])
-    c = d.join(mu, ks).withColumns({v: F.col(v) - F.col(f"__mu_{v}") for v in [*xs, y]})
+    # rows are the left side of a left join, which is never broadcast
+    c = d.join(mu, ks, "left").withColumns({v: F.col(v) - F.col(f"__mu_{v}") for v in [*xs, y]})
     m = solve(moments(c, ks, xs, [y]).join(mu, ks), k, f"t_{{}}_{y}", "b")
     sse = F.col(f"q_{y}") - sum((F.col(f"b_{i}") * F.col(f"t_{i}_{y}") for i in range(1, k)), F.col("b_0") * F.col(f"t_0_{y}"))
     b0 = F.col("b_0") + F.col(f"__mu_{y}") - sum((F.col(f"b_{i + 1}") * F.col(f"__mu_{x}") for i, x in enumerate(xs)), F.lit(0.0))
@@ -118,6 +119,8 @@ def linear_oof(df: DataFrame, row: str, xs: Sequence[str], y: str, group: str |
     sse = F.col(f"q_{y}") - sum((F.col(f"b_{i}") * F.col(f"t_{i}_{y}") for i in range(1, k)), F.col("b_0") * F.col(f"t_0_{y}"))
     fold = fold.select(*ks, group or row, *[f"b_{i}" for i in range(k)], F.sqrt(F.try_divide(F.greatest(sse, F.lit(0.0)), F.col("m_0_0") - 1)).alias("sd"))
     pred = sum((F.col(f"b_{i + 1}") * F.col(x) for i, x in enumerate(xs)), F.col("b_0"))
+    if by:
+        fold = fold.hint("merge")  # replicates' rows look as small as the table they are made of
     return d.join(fold, [*ks, group or row]).select(*by, row, *([group] if group else []), F.col(y).alias("y"), pred.alias("pred"), "sd")
 
 
@@ -140,6 +143,8 @@ def residual_oof(df: DataFrame, row: str, base: str, extra: str, y: str, group:
         "u_0": F.col(f"t_0_{y}") - F.col("b_0") * F.col("m_0_0") - F.col("b_1") * F.col("m_0_1"),
         "u_1": F.col(f"t_2_{y}") - F.col("b_0") * F.col("m_0_2") - F.col("b_1") * F.col("m_1_2")})
     fold = solve(fold, 2, "u_{}", "c", "r").select(*ks, group, "b_0", "b_1", "c_0", "c_1")
+    if by:
+        fold = fold.hint("merge")
     j = d.join(fold, [*ks, group])
     p = F.col("b_0") + F.col("b_1") * F.col(base)
     r = F.col("c_0") + F.col("c_1") * F.col(extra)
@@ -209,7 +214,7 @@ def bootstrap(df: DataFrame, order: str, reps: int, seed: int, values: Sequence[
     idx = sorted_index(d.select(*dict.fromkeys([*ks, order, *values])), ks, order, "i")
     slot = idx.select(*ks, F.col("i").alias("slot"), F.col("i_n").alias("n")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     slot = slot.withColumn("i", mix("rep", "slot", seed) % F.col("n")).groupBy(*ks, "rep", "i").agg(F.count(F.lit(1)).alias("w"))
-    return slot.join(idx.select(*ks, "i", *values), [*ks, "i"]).drop("i", "__all")
+    return slot.join(idx.select(*ks, "i", *values).hint("merge"), [*ks, "i"]).drop("i", "__all")
 
 
 def weighted_scores(df: DataFrame, keys: Sequence[str], y: str = "y", p: str = "pred") -> DataFrame:
@@ -235,7 +240,7 @@ def permuted(df: DataFrame, order: str, target: str, reps: int, seed: int, withi
     many = idx.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     keyed = many.select(*ks, "rep", F.col(target).alias("__t"), F.col("i").alias("__o"), mix("rep", order, seed).alias("__h"))
     placed = sorted_index(keyed, [*ks, "rep"], "__h", "i", ["__o"]).select(*ks, "rep", "i", F.col("__t").alias(f"{target}"))
-    return many.drop(target).join(placed, [*ks, "rep", "i"]).drop("i", "i_n", "__all")
+    return many.drop(target).join(placed.hint("merge"), [*ks, "rep", "i"]).drop("i", "i_n", "__all")
 
 
 def add_one_p(null: DataFrame, stat: str, observed: Column) -> DataFrame:
@@ -247,6 +252,8 @@ def add_one_p(null: DataFrame, stat: str, observed: Column) -> DataFrame:
 def centred(df: DataFrame, group: str, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     ks = [*keys, group]
     m = df.groupBy(*ks).agg(*[F.avg(c).alias(f"__m_{c}") for c in cols])
+    if keys:
+        m = m.hint("merge")  # as in linear_oof
     return df.join(m, ks).withColumns({f"{c}_c": F.col(c) - F.col(f"__m_{c}") for c in cols}).drop(*[f"__m_{c}" for c in cols])
 
 

@@ -16,6 +16,7 @@ from canopyframe.functions.hashing import MODULUS
 from canopyframe.session import cut
 
 LOCAL_BYTES = 32 << 20
+ROWS = 65536  # of a batch
 # The weights of ``functions.hashing.mix``.
 WEIGHTS = (1000003, 7919, 104729, 15485863)
 
@@ -83,15 +84,21 @@ def permuted(d: DataFrame, t: pa.Table, order: str, target: str, reps: int, seed
     """Every row once per ``rep`` with ``target`` shuffled (inside ``within`` when given)."""
     spark = d.sparkSession
     names = [c for c in d.columns if c != target]
-    shared = spark.sparkContext.broadcast([_sorted(g, order) for g in _groups(t, within)])
+    groups = [_sorted(g, order) for g in _groups(t, within)]
+    group = np.repeat(np.arange(len(groups)), [len(g) for g in groups]) * MODULUS  # hashes are below it
+    shared = spark.sparkContext.broadcast((pa.concat_tables(groups).combine_chunks() if groups else t, group))
 
     def run(batches):
+        g, group = shared.value
+        n, own = len(g), [g[c].combine_chunks() for c in names]
+        moved, ids = g[target].combine_chunks(), g[order].to_numpy()
         for b in batches:
             for rep in b.column(0).to_pylist():
-                for g in shared.value:
-                    h = mix(rep, g[order].to_numpy(), seed)
-                    to = pa.array(np.argsort(h, kind="stable"))
-                    yield pa.RecordBatch.from_arrays([*(g[c].combine_chunks() for c in names), pa.array(np.full(len(g), rep, dtype=np.int32)), g[target].combine_chunks().take(to)], [*names, "rep", target])
+                # all groups in one sort: their rows stand together, so each place gets a row of its own group
+                to = pa.array(np.argsort(group + mix(rep, ids, seed), kind="stable"))
+                whole = [*own, pa.array(np.full(n, rep, dtype=np.int32)), moved.take(to)]
+                for at in range(0, n, ROWS):
+                    yield pa.RecordBatch.from_arrays([c.slice(at, ROWS) for c in whole], [*names, "rep", target])
 
     kinds = dict(d.dtypes)
     return _deal(spark, reps).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "rep int", f"`{target}` {kinds[target]}"]))

@@ -317,7 +317,7 @@ WITH q AS {permuted_sql(REFIT, 6, 'one').replace(PANEL, PANEL1)}, f AS (SELECT a
 s AS (SELECT rep, {SCORES} FROM f GROUP BY rep), o AS (SELECT {SCORES} FROM ({oof_sql('loto', 'hdom')}))
 SELECT (1 + count(*) FILTER (s.r2 >= o.r2)) / (count(*) + 1) AS p_value, avg(s.r2) AS null_mean, stddev_samp(s.r2) AS null_sd FROM s, o""")
 def _(fx):
-    perm = P.permuted(panel(fx), "plot", "y", REFIT, 6)
+    perm = P.permuted(panel(fx).select("plot", "stand", "hdom", "y"), "plot", "y", REFIT, 6)
     null = P.scores(P.linear_oof(perm, "plot", ["hdom"], "y", "stand", by=["rep"]), ["rep"])
     return P.add_one_p(null, "r2", P.scores(P.linear_oof(panel(fx), "plot", ["hdom"], "y", "stand"), []).select("r2").scalar())
 
@@ -348,7 +348,7 @@ WITH o AS (SELECT corr(resid_pred, resid_true) AS r FROM {two_stage_sql(PANEL)})
 SELECT o.r AS resid_r, avg(s.r) AS null_mean, stddev_samp(s.r) AS null_sd, avg(CASE WHEN s.r >= o.r THEN 1.0 ELSE 0.0 END) AS p, (o.r - avg(s.r)) / stddev_samp(s.r) AS z FROM s, o GROUP BY o.r""")
 def _(fx):
     obs = P.residual_oof(panel(fx), "plot", "age", "hdom", "y", "stand").agg(F.corr("resid_pred", "resid_true")).scalar()
-    null = P.residual_oof(P.permuted(panel(fx), "plot", "y", REFIT, 8), "plot", "age", "hdom", "y", "stand", by=["rep"])
+    null = P.residual_oof(P.permuted(panel(fx).select("plot", "stand", "age", "hdom", "y"), "plot", "y", REFIT, 8), "plot", "age", "hdom", "y", "stand", by=["rep"])
     null = null.groupBy("rep").agg(F.corr("resid_pred", "resid_true").alias("r")).withColumn("o", obs)
     return null.groupBy(F.col("o").alias("resid_r")).agg(F.avg("r").alias("null_mean"), F.stddev_samp("r").alias("null_sd"), F.avg((F.col("r") >= F.col("o")).cast("double")).alias("p")) \
         .withColumn("z", (F.col("resid_r") - F.col("null_mean")) / F.col("null_sd"))
@@ -368,7 +368,9 @@ WITH o AS (SELECT corr(yc, pc) AS r FROM {WITHIN.format(PANEL)}), s AS (SELECT r
 SELECT o.r, avg(CASE WHEN abs(s.r) >= abs(o.r) - 1e-12 THEN 1.0 ELSE 0.0 END) AS p, stddev_samp(s.r) AS null_sd FROM s, o GROUP BY o.r""")
 def _(fx):
     obs = P.centred(panel(fx), "stand", ["y", "pred"]).agg(F.corr("y_c", "pred_c")).scalar()
-    null = P.centred(P.permuted(panel(fx), "plot", "y", PERM, 9, ["stand"]), "stand", ["y", "pred"], ["rep"]).groupBy("rep").agg(F.corr("y_c", "pred_c").alias("x"))
+    # a shuffle inside stands leaves their means as they are, so rows are centred once
+    rows = P.centred(panel(fx), "stand", ["y", "pred"]).select("plot", "stand", "y_c", "pred_c")
+    null = P.permuted(rows, "plot", "y_c", PERM, 9, ["stand"]).groupBy("rep").agg(F.corr("y_c", "pred_c").alias("x"))
     return null.withColumn("r", obs).groupBy("r").agg(F.avg((F.abs("x") >= F.abs("r") - 1e-12).cast("double")).alias("p"), F.stddev_samp("x").alias("null_sd"))
 
 

@@ -53,3 +53,15 @@ def test_zones_of_a_grid_join_are_not_broadcast(spark, tmp_path):
     assert "Broadcast" not in physical(got)
     plain = points.join(zones, "k").where("(x - cx) * (x - cx) + (y - cy) * (y - cy) <= 1")
     assert got.count() == plain.count() > 0
+
+
+def test_rows_of_replicates_are_not_broadcast(spark, monkeypatch):
+    from canopyframe.operators import panel as P, resampling
+    plots = spark.createDataFrame([(i, i % 4, float(i % 13), float(i * i % 17)) for i in range(60)], "plot long, stand int, x double, y double")
+    for most in (resampling.LOCAL_BYTES, -1):  # drawn in tasks, and by joins
+        monkeypatch.setattr(resampling, "LOCAL_BYTES", most)
+        perm = P.permuted(plots, "plot", "y", 30, 6, ["stand"])
+        for df in (P.linear_oof(perm, "plot", ["x"], "y", "stand", by=["rep"]), P.centred(perm, "stand", ["y"], ["rep"])):
+            joins = [line for line in physical(df).splitlines() if "BroadcastHashJoin" in line]
+            assert not any("BuildLeft" in j and "rep" in j for j in joins), joins
+            assert "SortMergeJoin [rep" in physical(df) and df.count() == 1800
