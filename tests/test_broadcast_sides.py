@@ -65,3 +65,11 @@ def test_rows_of_replicates_are_not_broadcast(spark, monkeypatch):
             joins = [line for line in physical(df).splitlines() if "BroadcastHashJoin" in line]
             assert not any("BuildLeft" in j and "rep" in j for j in joins), joins
             assert "SortMergeJoin [rep" in physical(df) and df.count() == 1800
+
+
+def test_rows_of_a_fit_are_not_broadcast(spark, tmp_path):
+    from canopyframe.operators.panel import linear_fit
+    df = exploded(spark, f"{tmp_path}/fit").withColumn("y", 2 * F.col("v") + F.col("c"))
+    got = linear_fit(df, ["v"], "y", ["k", "c"])
+    assert "BuildLeft" not in physical(got)
+    assert all(abs(r.b_1 - 2) < 1e-9 and abs(r.b_0 - r.c) < 1e-6 for r in got.collect())
