@@ -73,3 +73,24 @@ def test_rows_of_a_fit_are_not_broadcast(spark, tmp_path):
     got = linear_fit(df, ["v"], "y", ["k", "c"])
     assert "BuildLeft" not in physical(got)
     assert all(abs(r.b_1 - 2) < 1e-9 and abs(r.b_0 - r.c) < 1e-6 for r in got.collect())
+
+
+def test_nearest_distances_are_joined_in_place(spark, tmp_path):
+    from canopyframe.operators.spatial import nn_distance
+    spark.range(3000).selectExpr("id % 3 as stand", "id", "cast(id % 61 as double) as x", "cast(id % 53 as double) as y").write.parquet(f"{tmp_path}/p")
+    points = spark.read.parquet(f"{tmp_path}/p")
+    got = nn_distance(points, "id", 4.0)
+    assert not any("BroadcastHashJoin" in line for line in physical(got).splitlines()), physical(got)
+    assert got.count() == 3000
+
+
+def test_cache_has_no_file_per_key(spark, tmp_path, monkeypatch):
+    from canopyframe.sources import sinks
+    monkeypatch.setattr(sinks, "shared_folder", lambda spark: str(tmp_path))
+    df = spark.range(0, 5000, 1, 2).selectExpr("id % 500 as plot", "id")
+    back = sinks.write_and_read(df, "cache", by=["plot"])
+    assert len(back.inputFiles()) == 2
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    for f in back.inputFiles():
+        plots = [r.plot for r in spark.read.parquet(f).collect()]
+        assert plots == sorted(plots)
