@@ -1,8 +1,9 @@
 """One-to-one matching of detections to references under a distance cap.
 
 The optimum (most pairs, then least total distance) splits over the connected components of the
-candidate graph.  Spark finds the candidate edges on the grid and the components; each task then
-solves the small sparse problems of its own components.
+candidate graph.  Spark finds the candidate edges on the grid; each task then finds the components of whole keys
+and solves their small sparse problems. Only keys with more than ``KEY_EDGES`` edges have their components
+found by joins.
 """
 from __future__ import annotations
 
@@ -13,19 +14,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from canopyframe.operators.components import components
+from canopyframe.operators.components import components, labels
 from canopyframe.operators.spatial import grid_join
 from canopyframe.session import cut
 
 EDGES_PER_TASK = 20000
+KEY_EDGES = 1 << 18
 
 
 def solve_component(left: np.ndarray, right: np.ndarray, cost: np.ndarray) -> np.ndarray:
     """Positions of the chosen edges: shortest augmenting paths, least-cost maximum matching."""
     lu, li = np.unique(left, return_inverse=True)
     ru, ri = np.unique(right, return_inverse=True)
-    if len(cost) == 1:
-        return np.array([0])
+    if len(lu) == 1 or len(ru) == 1:  # one pair at most: the nearest
+        return np.lexsort((right, left, cost))[:1]
     adj: list[list[tuple[int, float, int]]] = [[] for _ in lu]
     for k, (i, j, c) in enumerate(zip(li, ri, cost)):
         adj[i].append((j, float(c), k))
@@ -85,6 +87,9 @@ def solve_component(left: np.ndarray, right: np.ndarray, cost: np.ndarray) -> np
 
 
 def _solve(batch: pd.DataFrame) -> pd.DataFrame:
+    if "comp" not in batch:
+        node, comp = labels(batch["aid"].to_numpy(), batch["bid"].to_numpy())
+        batch = batch.assign(comp=comp[np.searchsorted(node, batch["aid"].to_numpy())])
     batch = batch.sort_values(["comp", "aid", "bid"], kind="stable").reset_index(drop=True)
     comp = batch["comp"].to_numpy()
     cuts = np.flatnonzero(np.r_[True, comp[1:] != comp[:-1], True])
@@ -106,13 +111,19 @@ def match(ref: DataFrame, pred: DataFrame, cap: float, keys: Sequence[str] = ("s
                       cap, ks, ("x", "y"), ("rx", "ry"), lim)
     edges = cut(edges.select(*ks, rid, did, F.sqrt("d2").alias("d"),
                              F.xxhash64(F.lit("r"), *ks, rid).alias("aid"), F.xxhash64(F.lit("p"), *ks, did).alias("bid")))
-    comp = components(edges, "aid", "bid")
     tasks = max(1, edges.count() // EDGES_PER_TASK + 8)
-    work = (edges.join(comp.withColumnRenamed("node", "aid"), "aid")
-            .withColumn("task", F.pmod(F.xxhash64("comp"), F.lit(tasks)).cast("int")))
-    cols = [f for f in work.schema.fields if f.name not in ("comp", "task")]
-    out = work.groupBy("task").applyInPandas(_solve, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cols))
-    return out.select(*ks, rid, did, "d")
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.schema.fields)
+
+    def solved(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.withColumn("task", F.pmod(F.xxhash64(*by), F.lit(tasks)).cast("int")).groupBy("task").applyInPandas(_solve, shape).select(*ks, rid, did, "d")
+
+    crowded = cut(edges.groupBy(*ks).agg(F.count(F.lit(1)).alias("__c")).where(F.col("__c") > KEY_EDGES).drop("__c"))
+    if crowded.isEmpty():
+        return solved(edges, *ks)
+    large = cut(edges.join(crowded, ks, "left_semi"))
+    comp = components(large, "aid", "bid")
+    return (solved(edges.join(crowded, ks, "left_anti"), *ks)
+            .unionByName(solved(large.join(comp.withColumnRenamed("node", "aid"), "aid"), "comp")))
 
 
 def match_counts(ref: DataFrame, pred: DataFrame, pairs: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -21,12 +21,34 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from canopyframe.operators.spatial import spread
 from canopyframe.session import cut, free
 
-BLOCK = 16
+BLOCK = 32
+PAIRS = 1 << 21  # near pairs held at once
+TASK_ROWS = 50_000  # of the blocks settled together
 CROWD = 64
 SALTED = 10_000  # rows of a cell ranked by one task
 WAITS, KEPT, OUT = 0, 1, 2
 
 
+def _by_pairs(state: np.ndarray, own: np.ndarray, heavy: np.ndarray, light: np.ndarray) -> np.ndarray:
+    """Blocks without walls from the near pairs of rows in the rule's order: whatever has no undecided heavier row near it is decided at once."""
+    state, n, open_ = state.copy(), len(state), state == WAITS
+    keep = open_[light] & (state[heavy] != OUT)
+    heavy, light = heavy[keep], light[keep]
+    while open_.any():
+        out = np.zeros(n, dtype=bool)
+        out[light[state[heavy] == KEPT]] = True  # kept rows are never open
+        held, blocked = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+        held[light[open_[heavy]]] = True
+        blocked[light[(state[heavy] == WAITS) & ~open_[heavy]]] = True
+        state[open_ & out] = OUT
+        free_ = open_ & ~out & ~held
+        state[free_ & ~blocked & own] = KEPT
+        open_ &= held & ~out
+        keep = open_[light] & (state[heavy] != OUT)
+        heavy, light = heavy[keep], light[keep]
+    return state
+
+
 def settle(x: np.ndarray, y: np.ndarray, w: np.ndarray, ids: np.ndarray, r: float, state: np.ndarray, own: np.ndarray, walls: list[tuple[float, int, float, float]]) -> np.ndarray:
     """States of a block's rows (``own``) and of those around it after the sequential rule; what is around may have heavier rows near it that aren't seen
     here, so it can be found out but not kept. ``walls`` are crowded cells: weight and id of their lightest contestant, low corner."""
@@ -69,6 +91,57 @@ def settle(x: np.ndarray, y: np.ndarray, w: np.ndarray, ids: np.ndarray, r: floa
     return state
 
 
+def settle_blocks(g: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, ids: np.ndarray, r: np.ndarray, bx: np.ndarray, by: np.ndarray, state: np.ndarray, own: np.ndarray,
+                  walls: dict[int, list[tuple[float, int, float, float]]]) -> np.ndarray:
+    """:func:`settle` of many blocks (numbered ``g``) by array operations on at most ``PAIRS`` near pairs at a time; row by row only beside walls,
+    where one block has more pairs, and where a place is undefined."""
+    if not len(g):
+        return state.copy()
+    order = np.lexsort((ids, -w, g))
+    g, x, y, w, ids, r, bx, by, state, own = (c[order] for c in (g, x, y, w, ids, r, bx, by, state, own))
+    blocks, wide = int(g[-1]) + 1, BLOCK + 8
+    ends = np.searchsorted(g, np.arange(blocks + 1))
+    slow = np.zeros(blocks, dtype=bool)
+    slow[list(walls)] = True
+    with np.errstate(invalid="ignore"):
+        cx, cy = np.floor(x / r) - bx * float(BLOCK) + 4, np.floor(y / r) - by * float(BLOCK) + 4
+        odd = ~((cx >= 1) & (cx < wide - 1) & (cy >= 1) & (cy < wide - 1))
+    slow[g[odd]] = True
+    at = np.flatnonzero(~slow[g])
+    code = (g[at] * wide + cx[at].astype(np.int64)) * wide + cy[at].astype(np.int64)
+    sort = np.argsort(code, kind="stable")
+    at, code = at[sort], code[sort]
+    here = np.arange(len(at))
+    # the rest of the own cell with the cell above, then the three cells of the next column
+    spans = [(here + 1, np.searchsorted(code, code + 1, "right")), (np.searchsorted(code, code + wide - 1, "left"), np.searchsorted(code, code + wide + 1, "right"))]
+    many = np.bincount(g[at], sum((hi - lo for lo, hi in spans), np.zeros(len(at))), blocks)
+    slow |= many > PAIRS
+    chunk = np.cumsum(np.where(slow, 0, many)) // PAIRS
+    after = state.copy()
+    for c in np.unique(chunk[~slow]):
+        mine = np.zeros(blocks, dtype=bool)
+        mine[(chunk == c) & ~slow] = True
+        use, found = mine[g[at]], []
+        for lo, hi in spans:
+            n = (hi - lo)[use]
+            first = np.repeat(here[use], n)
+            found.append((at[first], at[np.arange(len(first)) - np.repeat(n.cumsum() - n, n) + np.repeat(lo[use], n)]))
+        a, b = (np.concatenate(z) for z in zip(*found))
+        near = (x[a] - x[b]) ** 2 + (y[a] - y[b]) ** 2 <= r[a] * r[a]
+        a, b = a[near], b[near]
+        rows = np.flatnonzero(mine[g])
+        new = np.zeros(len(g), dtype=np.int64)
+        new[rows] = np.arange(len(rows))
+        after[rows] = _by_pairs(state[rows], own[rows], new[np.minimum(a, b)], new[np.maximum(a, b)])
+    for i in np.flatnonzero(slow):
+        z = slice(ends[i], ends[i + 1])
+        if z.start < z.stop:
+            after[z] = settle(x[z], y[z], w[z], ids[z], float(r[z.start]), state[z], own[z], walls.get(int(i), []))
+    out = np.empty_like(after)
+    out[order] = after
+    return out
+
+
 _ROW = ["id", "w", "x", "y", "r", "state"]
 _SHAPE = "id long, w double, x double, y double, r double, state int"
 
@@ -79,16 +152,18 @@ def _resolve(rows: DataFrame, walls: DataFrame | None, ks: list[str]) -> DataFra
     shape = ", ".join([*(f"`{k}` {kinds[k]}" for k in ks), _SHAPE])
 
     def run(t: pa.Table) -> pa.Table:
-        real = t["wall"].to_numpy(zero_copy_only=False) == False  # noqa: E712
-        a = t.filter(pa.array(real))
-        own = a["own"].to_numpy(zero_copy_only=False)
-        x, y, w, ids, state = (a[c].to_numpy() for c in ("x", "y", "w", "id", "state"))
-        if not (own & (state == WAITS)).any():
-            return a.filter(pa.array(np.zeros(len(a), dtype=bool))).select([*ks, *_ROW])
-        walls = [tuple(v[c] for c in ("w", "id", "x", "y")) for v in t.filter(pa.array(~real)).select(["w", "id", "x", "y"]).to_pylist()]
-        after = settle(x, y, w, ids, float(a["r"][0].as_py()), state, own, walls)
-        # kept rows of earlier rounds are not sent on again
-        send = own & (state == WAITS)
+        wall = t["wall"].to_numpy(zero_copy_only=False).astype(bool)
+        a, fence = t.filter(pa.array(~wall)), t.filter(pa.array(wall))
+        own, state = a["own"].to_numpy(zero_copy_only=False).astype(bool), a["state"].to_numpy()
+        send = own & (state == WAITS)  # kept rows of earlier rounds are not sent on again
+        names, g = np.unique(a["block"].to_numpy(), return_inverse=True)
+        walls: dict[int, list] = {}
+        for v in fence.select(["block", "w", "id", "x", "y"]).to_pylist():
+            i = int(np.searchsorted(names, v["block"]))
+            if i < len(names) and names[i] == v["block"]:
+                walls.setdefault(i, []).append((v["w"], v["id"], v["x"], v["y"]))
+        x, y, w, ids, r, bx, by = (a[c].to_numpy() for c in ("x", "y", "w", "id", "r", "bx", "by"))
+        after = settle_blocks(g, x, y, w, ids, r, bx, by, state, own, walls)
         out = a.select([*ks, *_ROW]).filter(pa.array(send))
         return out.set_column(out.schema.get_field_index("state"), "state", pa.array(after[send].astype(np.int32)))
 
@@ -104,7 +179,9 @@ def _resolve(rows: DataFrame, walls: DataFrame | None, ks: list[str]) -> DataFra
         spread_ = spread_.select(*ks, *_ROW, "b", (F.col("b") == F.col("m")).alias("own"), F.lit(False).alias("wall"))
         if fences is not None:
             spread_ = spread_.unionByName(fences)
-        new = cut(spread_.select("*", F.col("b.bx").alias("bx"), F.col("b.by").alias("by")).drop("b").groupBy(*ks, "r", "bx", "by").applyInArrow(run, shape))
+        tasks = live.count() // TASK_ROWS + 8
+        dealt = spread_.select("*", F.col("b.bx").alias("bx"), F.col("b.by").alias("by"), F.xxhash64(*ks, "r", "b.bx", "b.by").alias("block")).drop("b")
+        new = cut(dealt.groupBy(F.pmod("block", F.lit(tasks)).alias("task")).applyInArrow(run, shape))
         settled = new.where(F.col("state") != WAITS) if settled is None else settled.unionByName(new.where(F.col("state") != WAITS))
         left = new.where(F.col("state") == WAITS)
         before, waiting = waiting, left.count()
