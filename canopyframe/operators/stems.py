@@ -351,9 +351,10 @@ def radial_mode(points: DataFrame, keys: Sequence[str], width: float = 0.005, r_
     d = hyp("u", "v")
     ring = points.where((d >= r_min) & (d < r_max)).withColumn("ring", F.floor(d / width))
     c = ring.groupBy(*ks, "ring").agg(F.count(F.lit(1)).alias("c"))
-    dens = F.col("c") / (F.pi() * width * width * (2 * F.col("ring") + 1))
-    m = c.groupBy(*ks).agg(F.max(F.struct(dens.alias("d"), (-F.col("ring")).alias("o"))).alias("m"))
-    return m.select(*ks, ((0.5 - F.col("m.o")) * width).alias("r"), F.col("m.d").alias("density"))
+    # compared before they are scaled: one rounding keeps equal shares equal
+    share = F.col("c") / (2 * F.col("ring") + 1)
+    m = c.groupBy(*ks).agg(F.max(F.struct(share.alias("d"), (-F.col("ring")).alias("o"))).alias("m"))
+    return m.select(*ks, ((0.5 - F.col("m.o")) * width).alias("r"), (F.col("m.d") / (F.pi() * width * width)).alias("density"))
 
 
 def mode_radius(points: DataFrame, keys: Sequence[str], rounds: int = 4, tol: float = 0.015, least: int = 80, **kw) -> DataFrame:
