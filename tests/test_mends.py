@@ -60,3 +60,19 @@ def test_enclosing_circle_of_many_points():
     t = np.linspace(0, 2 * np.pi, 400)
     x, y, r = crowns.enclosing_circle(np.c_[3 + 2 * np.cos(t), 1 + 2 * np.sin(t)])
     assert (x, y, r) == pytest.approx((3, 1, 2), abs=1e-6)
+
+
+def test_rings_with_equal_shares_keep_the_smaller(spark):
+    """15 points of ring 7 and 17 of ring 8 are one a unit of width each; the tie goes to the smaller ring."""
+    from canopyframe.operators.stems import radial_mode
+    rows = [(1, (k + 0.5) * 0.005, 0.0) for k, c in ((7, 15), (8, 17), (10, 21)) for _ in range(c)]
+    got = radial_mode(spark.createDataFrame(rows, "inst int, u double, v double"), ["inst"]).first()
+    assert got.r == pytest.approx(0.0375) and got.density == pytest.approx(1 / (3.141592653589793 * 0.005 ** 2))
+
+
+def test_distances_and_their_limit_come_from_one_pass(spark):
+    from canopyframe.operators.transforms import radial_filter
+    rows = [(i % 2, i, float(i * 37 % 101) / 7, float(i * 53 % 97) / 3) for i in range(202)]  # 101 a key: the limit is a row's own distance
+    got = radial_filter(spark.createDataFrame(rows, "inst int, pid int, x double, y double"), ["inst"])
+    assert "avg(x" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["inst"]: r["count"] for r in got.groupBy("inst").count().collect()} == {0: 81, 1: 81}
