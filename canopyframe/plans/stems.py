@@ -9,8 +9,9 @@ from canopyframe.session import cut
 def wood(fx):
     s = fx.fx_stems.select(F.col("stem").alias("inst"), "cx", "cy", "r0")
     w = fx.fx_tree_pts.where("semantic = 1").join(s, "inst")
-    return w.select("inst", F.col("inst").alias("stem"), "pid", "x", "y", "z", F.col("z").alias("h"), (F.col("x") - F.col("cx")).alias("u"), (F.col("y") - F.col("cy")).alias("v"), F.col("r0").alias("rt"),
-                    F.floor(F.col("z") / 0.5).alias("bin"))
+    # written once: filters on what is derived from the coordinates would evaluate the views' formulas anew for each mention
+    return cut(w.select("inst", F.col("inst").alias("stem"), "pid", "x", "y", "z", F.col("z").alias("h"), (F.col("x") - F.col("cx")).alias("u"), (F.col("y") - F.col("cy")).alias("v"), F.col("r0").alias("rt"),
+                        F.floor(F.col("z") / 0.5).alias("bin")))
 
 
 WOOD = """(SELECT inst, inst AS stem, pid, x, y, z, z AS h, x - cx AS u, y - cy AS v, r0 AS rt, CAST(floor(z / CAST(0.5 AS DOUBLE)) AS BIGINT) AS bin FROM fx_tree_pts JOIN fx_stems ON stem = inst WHERE semantic = 1)"""
@@ -74,7 +75,7 @@ def _(fx):
 
 @query("d30_slice_measurement", "inst:i bin:i fit:s d_cm:d residual_cm:d n_points:i coverage:d chi2_p:d chi2_pass:b")
 def _(fx):
-    return S.measure_slices(cut(wood(fx)), KEY, "pid")
+    return S.measure_slices(wood(fx), KEY, "pid")
 
 
 @query("d31_circle_residual", "inst:i bin:i rmse:d chi2:d dof:i", f"""

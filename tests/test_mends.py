@@ -76,3 +76,9 @@ def test_distances_and_their_limit_come_from_one_pass(spark):
     got = radial_filter(spark.createDataFrame(rows, "inst int, pid int, x double, y double"), ["inst"])
     assert "avg(x" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert {r["inst"]: r["count"] for r in got.groupBy("inst").count().collect()} == {0: 81, 1: 81}
+
+
+def test_stem_points_are_computed_once(spark):
+    """Filters on distances of stem points read them from a table, not from the views' hashes again for every mention."""
+    plan = QUERIES["d34_radial_mode"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "2147483647" not in plan
