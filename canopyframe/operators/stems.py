@@ -513,6 +513,7 @@ def envelope_radius(points: DataFrame, axes: DataFrame, key: str = "stem", least
     p = points.join(axes, key).withColumn("band", F.floor("h"))
     mid = F.col("band") + 0.5
     d = hyp(F.col("u") - F.col("a0x") - F.col("a1x") * mid, F.col("v") - F.col("a0y") - F.col("a1y") * mid)
-    p = p.withColumn("d", d).where(F.col("d") <= limit)
+    # written once: axes of another pass may differ in their last digits, and rows at the limit with them
+    p = cut(p.select(key, "band", d.alias("d"))).where(F.col("d") <= limit)
     n = p.groupBy(key, "band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     return exact_quantiles(p, [key, "band"], "d", {"r90": 0.9}).join(n, [key, "band"])

@@ -82,3 +82,12 @@ def test_stem_points_are_computed_once(spark):
     """Filters on distances of stem points read them from a table, not from the views' hashes again for every mention."""
     plan = QUERIES["d34_radial_mode"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "2147483647" not in plan
+
+
+def test_axis_distances_come_from_one_pass(spark):
+    from canopyframe.operators.stems import envelope_radius
+    points = spark.createDataFrame([(1, float(i % 20 + 1) / 10, 0.0, i % 2 + 0.25) for i in range(80)], "stem int, u double, v double, h double")
+    axes = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 0.0)], "stem int, a0x double, a1x double, a0y double, a1y double")
+    got = envelope_radius(points, axes)
+    assert "a0x" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.band, r.n) for r in got.collect()) == [(0, 40), (1, 40)]
