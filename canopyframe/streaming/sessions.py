@@ -1,7 +1,7 @@
 """Adaptive merging of tiles: per stand in batch, and causally as tiles arrive.
 
 A session is a stand.  The batch form is joins and aggregates; the streaming form keeps one state per
-stand (its nearest-neighbour distances and the kept detections by grid cell) because each tile's
+stand (its nearest-neighbour distances and the kept detections) because each tile's
 decisions depend on those of the tiles before it.
 """
 from __future__ import annotations
@@ -72,47 +72,44 @@ class TileMerger(StatefulProcessor):
         self.fraction, self.lo, self.hi, self.q, self.default = fraction, lo, hi, q, default
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.pool = handle.getMapState("pool", "d double", "c long")
-        self.kept = handle.getMapState("kept", "gx long, gy long", "xs array<double>, ys array<double>")
+        # every tile needs all distances and any kept detection may be near: one read and one write a stand and batch
+        self.pool = handle.getValueState("pool", "d array<double>, c array<long>")
+        self.kept = handle.getValueState("kept", "xs array<double>, ys array<double>")
 
-    def _spacing(self) -> float | None:
-        items = sorted((k[0], v[0]) for k, v in self.pool.iterator())
-        if not items:
+    def _spacing(self, d: np.ndarray, c: np.ndarray) -> float | None:
+        if not len(d):
             return None
-        d, c = np.array([i[0] for i in items]), np.cumsum([i[1] for i in items])
+        c = np.cumsum(c)
         pos = self.q / 100 * (c[-1] - 1)
         a, b = (d[np.searchsorted(c, np.floor(pos), side="right")], d[np.searchsorted(c, np.ceil(pos), side="right")])
         return float(a + (b - a) * (pos - np.floor(pos)))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         data = pd.concat(list(rows), ignore_index=True)
+        dist, count = (np.array(v) for v in (self.pool.get() if self.pool.exists() else ([], [])))
+        xs, ys = (list(v) for v in (self.kept.get() if self.kept.exists() else ([], [])))
+        cells: dict[tuple[int, int], list[int]] = {}
+        for n, (x, y) in enumerate(zip(xs, ys)):
+            cells.setdefault((int(x // CELL), int(y // CELL)), []).append(n)
         out = []
         for tile, g in data.groupby("tile_seq", sort=True):
             xy = g[["x", "y"]].to_numpy(float)
-            for d, n in zip(*np.unique(_tile_nn(xy), return_counts=True)):
-                k = (float(d),)
-                old = self.pool.getValue(k)[0] if self.pool.containsKey(k) else 0
-                self.pool.updateValue(k, (int(n) + old,))
-            s = self._spacing()
+            d, c = np.unique(_tile_nn(xy), return_counts=True)
+            dist, at = np.unique(np.concatenate([dist, d]), return_inverse=True)
+            count = np.bincount(at, weights=np.concatenate([count, c]), minlength=len(dist)).astype(np.int64)
+            s = self._spacing(dist, count)
             r = self.default if s is None else float(np.clip(self.fraction * s, self.lo, self.hi))
-            cells: dict[tuple[int, int], tuple[list, list]] = {}
-
-            def cell(i: int, j: int) -> tuple[list, list]:
-                if (i, j) not in cells:
-                    v = self.kept.getValue((i, j)) if self.kept.containsKey((i, j)) else ([], [])
-                    cells[i, j] = (list(v[0]), list(v[1]))
-                return cells[i, j]
-            touched = set()
-            for rec in g.sort_values(["size", "det_id"], ascending=[False, True]).itertuples():
-                i, j = int(rec.x // CELL), int(rec.y // CELL)
-                near = [np.hypot(np.array(c[0]) - rec.x, np.array(c[1]) - rec.y).min() for a in (-1, 0, 1) for b in (-1, 0, 1) if (c := cell(i + a, j + b))[0]]
-                if not near or min(near) > r:
-                    cell(i, j)[0].append(float(rec.x))
-                    cell(i, j)[1].append(float(rec.y))
-                    touched.add((i, j))
-                    out.append((int(rec.det_id), int(key[0]), int(tile), float(rec.x), float(rec.y), r))
-            for c in touched:
-                self.kept.updateValue(c, cells[c])
+            g = g.sort_values(["size", "det_id"], ascending=[False, True])
+            for det, x, y in zip(g["det_id"].tolist(), g["x"].tolist(), g["y"].tolist()):
+                i, j = int(x // CELL), int(y // CELL)
+                near = [n for a in (-1, 0, 1) for b in (-1, 0, 1) for n in cells.get((i + a, j + b), ())]
+                if not near or np.hypot(np.array([xs[n] for n in near]) - x, np.array([ys[n] for n in near]) - y).min() > r:
+                    cells.setdefault((i, j), []).append(len(xs))
+                    xs.append(x)
+                    ys.append(y)
+                    out.append((int(det), int(key[0]), int(tile), x, y, r))
+        self.pool.update((dist.tolist(), count.tolist()))
+        self.kept.update((xs, ys))
         yield pd.DataFrame(out, columns=["det_id", "stand", "tile_seq", "x", "y", "radius"])
 
     def close(self) -> None:
@@ -122,7 +119,7 @@ class TileMerger(StatefulProcessor):
 def merge_stream(tiles: DataFrame, **kw) -> DataFrame:
     """Streaming rows of kept detections; ``tiles``: ``det_id, stand, tile_seq, x, y, size`` in arrival order.
 
-    The radius may not exceed ``CELL`` metres, the side of the state's grid cells.
+    The radius may not exceed ``CELL`` metres, the side of the cells that kept detections are looked up in.
     """
     if kw.get("hi", 2.0) > CELL:
         raise ValueError(f"hi must be at most {CELL}")
