@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from canopyframe.operators.metrics import height_metrics
-from canopyframe.operators.polygons import hull_edges, hull_vertices
+from canopyframe.operators.polygons import by_shares, hull_edges, hull_vertices
 from canopyframe.operators.ranks import exact_quantiles, sorted_index
 from canopyframe.operators.spatial import grid_join, nn_distance, self_neighbours
 
@@ -92,45 +92,54 @@ def hull3(p: np.ndarray) -> tuple[np.ndarray, float]:
         return none
     mid = p[[i0, i1, i2, i3]].mean(axis=0)
 
-    def oriented(f):
-        n = np.cross(p[f[1]] - p[f[0]], p[f[2]] - p[f[0]])
-        return f if n @ (mid - p[f[0]]) < 0 else (f[0], f[2], f[1])
-    faces = [oriented(f) for f in combinations((i0, i1, i2, i3), 3)]
-    normals = np.array([np.cross(p[b] - p[a], p[c] - p[a]) for a, b, c in faces])
-    level = np.array([n @ p[f[0]] for n, f in zip(normals, faces)])
-    for i in range(len(p)):
-        seen = normals @ p[i] - level > eps * np.linalg.norm(normals, axis=1)
-        if not seen.any():
-            continue
-        edges = {(f[a], f[b]) for f, s in zip(faces, seen) if s for a, b in ((0, 1), (1, 2), (2, 0))}
-        rim = [(a, b) for a, b in edges if (b, a) not in edges]
-        new = [(a, b, i) for a, b in rim]
-        nn = np.array([np.cross(p[b] - p[a], p[c] - p[a]) for a, b, c in new])
-        faces = [f for f, s in zip(faces, seen) if not s] + new
-        normals = np.vstack([normals[~seen], nn])
-        level = np.concatenate([level[~seen], np.einsum("ij,ij->i", nn, p[[f[0] for f in new]])])
-    f = np.array(faces)
+    def plane(a, b, c):
+        """Normals of triangles, outwards as their corners turn."""
+        u, v = p[b] - p[a], p[c] - p[a]
+        return np.stack([u[:, 1] * v[:, 2] - u[:, 2] * v[:, 1], u[:, 2] * v[:, 0] - u[:, 0] * v[:, 2], u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]], axis=1)
+    faces = np.array(list(combinations((i0, i1, i2, i3), 3)))
+    normals = plane(*faces.T)
+    inward = np.einsum("ij,ij->i", normals, mid - p[faces[:, 0]]) > 0
+    faces[inward] = faces[inward][:, [0, 2, 1]]
+    normals[inward] *= -1
+    level = np.einsum("ij,ij->i", normals, p[faces[:, 0]])
+    slack = eps * np.linalg.norm(normals, axis=1)
+    rest = np.arange(len(p))
+    while len(rest):
+        # the point farthest beyond one face comes next, those inside all faces are done with
+        over = p[rest] @ normals.T - level
+        out = (over > slack).any(axis=1)
+        rest, over = rest[out], over[out]
+        if not len(rest):
+            break
+        far = int((over / np.maximum(slack, 1e-300)).max(axis=1).argmax())
+        i, seen = rest[far], over[far] > slack
+        gone = faces[seen]
+        edges = np.concatenate([gone[:, [0, 1]], gone[:, [1, 2]], gone[:, [2, 0]]])
+        code = edges[:, 0] * len(p) + edges[:, 1]
+        rim = edges[~np.isin(code, edges[:, 1] * len(p) + edges[:, 0])]
+        new = np.column_stack([rim, np.full(len(rim), i)])
+        nn = plane(*new.T)
+        faces, normals = np.concatenate([faces[~seen], new]), np.concatenate([normals[~seen], nn])
+        level = np.concatenate([level[~seen], np.einsum("ij,ij->i", nn, p[new[:, 0]])])
+        slack = np.concatenate([slack[~seen], eps * np.linalg.norm(nn, axis=1)])
+        rest = np.delete(rest, far)
+    f = faces
     a, b, c = p[f[:, 0]] - mid, p[f[:, 1]] - mid, p[f[:, 2]] - mid
     return np.unique(f), float(np.abs(np.einsum("ij,ij->i", a, np.cross(b, c))).sum() / 6)
 
 
 def hull_volumes(points: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """3-D hull volume per key: hull vertices of Arrow batches, then of the survivors."""
+    """3-D hull volume per key: of large keys from the hull vertices of their shares."""
     ks = list(keys)
-    src = points.select(*ks, *[F.col(c).cast("double") for c in "xyz"])
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema.fields)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.select(*ks).schema.fields)
 
-    def shrink(batches):
-        for b in batches:
-            keep = [g.index.to_numpy()[hull3(g[["x", "y", "z"]].to_numpy())[0]] for _, g in b.groupby(ks, sort=False)]
-            if keep:
-                yield b.loc[np.concatenate(keep)]
+    def shrink(g: pd.DataFrame) -> pd.DataFrame:
+        return g.iloc[hull3(g[["x", "y", "z"]].to_numpy())[0]]
 
     def volume(k, g: pd.DataFrame) -> pd.DataFrame:
-        v = hull3(g[["x", "y", "z"]].drop_duplicates().to_numpy())[1]
+        v = hull3(np.unique(g[["x", "y", "z"]].to_numpy(), axis=0))[1]
         return pd.DataFrame([(*k, None if np.isnan(v) else v)], columns=[*ks, "volume"])
-    part = src.mapInPandas(shrink, fields).repartition(*ks, F.pmod(F.xxhash64("x", "y", "z"), F.lit(64))).mapInPandas(shrink, fields)
-    return part.groupBy(*ks).applyInPandas(volume, ", ".join(fields.split(", ")[:len(ks)]) + ", volume double")
+    return by_shares(points, ks, ["x", "y", "z"], shrink, volume, kinds + ", volume double")
 
 
 def channels(points: DataFrame, keys: Sequence[str], least: int = 40) -> DataFrame:

@@ -1,12 +1,16 @@
 """Planar polygon tests against edge tables ``(stand, ring, seq, x1, y1, x2, y2)``."""
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from canopyframe.session import cut
+
+SHARE_ROWS = 20000
+
 
 def inside(points: DataFrame, edges: DataFrame, keys: Sequence[str] = ("stand",), band: float = 2.0) -> DataFrame:
     """``points`` + ``inside`` by the even-odd rule.
@@ -91,37 +95,45 @@ def _chain(xy: np.ndarray) -> np.ndarray:
     return np.array(half(pts) + half(pts[::-1]))
 
 
+def by_shares(points: DataFrame, keys: Sequence[str], coords: Sequence[str], shrink: Callable, final: Callable, shape: str) -> DataFrame:
+    """``final`` of each key's rows, which ``shrink`` has reduced share by share where a key has more than ``SHARE_ROWS`` of them.
+
+    A key of ordinary size goes to ``final`` as it is; batches hold rows of many keys, so there is nothing to reduce in them.
+    """
+    ks = list(keys)
+    src = points.select(*ks, *[F.col(c).cast("double") for c in coords])
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema.fields)
+    shares = src.groupBy(*ks).agg(F.ceil(F.count(F.lit(1)) / SHARE_ROWS).alias("__shares"))
+    large = cut(shares.where("__shares > 1"))
+    if large.isEmpty():
+        return src.groupBy(*ks).applyInPandas(final, shape)
+
+    def reduced(k, g: pd.DataFrame) -> pd.DataFrame:
+        return shrink(g)[[*ks, *coords]]
+    parts = src.join(large, ks).withColumn("__share", F.pmod(F.xxhash64(*coords), "__shares")).drop("__shares")
+    rest = parts.groupBy(*ks, "__share").applyInPandas(reduced, fields)
+    return src.join(large, ks, "left_anti").unionByName(rest).groupBy(*ks).applyInPandas(final, shape)
+
+
 def hull_vertices(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``keys, x, y, seq`` of each key's convex hull.
 
-    Hulls of Arrow batches shrink the data first (a hull of hulls is the hull), then of salted
-    groups, so only hull vertices of one key ever meet in one task.
+    Shares of a large key shrink to their hulls first (a hull of hulls is the hull), so only hull vertices of it ever meet in one task.
     """
     ks = list(keys)
-    src = points.select(*ks, F.col("x").cast("double"), F.col("y").cast("double"))
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema.fields)
+    kinds = {f.name: f.dataType.simpleString() for f in points.select(*ks).schema.fields}
 
-    def shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for k, g in b.groupby(ks, sort=False):
-                h = pd.DataFrame(_chain(g[["x", "y"]].to_numpy()), columns=["x", "y"])
-                for name, v in zip(ks, k):
-                    h[name] = v
-                out.append(h[b.columns])
-            if out:
-                yield pd.concat(out, ignore_index=True)
+    def hull(g: pd.DataFrame) -> pd.DataFrame:
+        h = pd.DataFrame(_chain(g[["x", "y"]].to_numpy()), columns=["x", "y"])
+        for name in ks:
+            h[name] = g[name].iloc[0]
+        return h
 
     def final(k, g: pd.DataFrame) -> pd.DataFrame:
-        h = pd.DataFrame(_chain(g[["x", "y"]].to_numpy()), columns=["x", "y"])
-        for name, v in zip(ks, k):
-            h[name] = v
+        h = hull(g)
         h["seq"] = np.arange(len(h))
         return h[[*ks, "x", "y", "seq"]]
-
-    part = src.mapInPandas(shrink, fields)
-    part = part.repartition(*ks, F.pmod(F.xxhash64("x", "y"), F.lit(64))).mapInPandas(shrink, fields)
-    return part.groupBy(*ks).applyInPandas(final, fields + ", seq int")
+    return by_shares(points, ks, ["x", "y"], hull, final, ", ".join(f"{k} {t}" for k, t in kinds.items()) + ", x double, y double, seq int")
 
 
 def hull_edges(vertices: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -67,3 +67,18 @@ def test_state_is_read_and_written_once_a_batch():
     two, _ = kept([t[t.tile_seq < 4], t[t.tile_seq >= 4]])
     pd.testing.assert_frame_equal(one, two)
     assert 0 < len(one) < 400 and calls <= 8
+
+
+def test_hulls_of_ordinary_keys_are_built_once(spark, monkeypatch):
+    from canopyframe.operators import crowns, polygons
+    rng = np.random.default_rng(2)
+    p = np.vstack([np.column_stack([np.full(50, k), rng.normal(size=(50, 3)).round(3)]) for k in range(3)])
+    d = spark.createDataFrame(pd.DataFrame(p, columns=["inst", "x", "y", "z"]).astype({"inst": "int64"})).repartition(4)
+    whole = {r.inst: r.volume for r in crowns.hull_volumes(d, ["inst"]).collect()}
+    assert all(whole[k] == pytest.approx(crowns.hull3(p[p[:, 0] == k][:, 1:])[1]) for k in range(3))
+    plan = crowns.hull_volumes(d, ["inst"])._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and plan.count("FlatMapGroupsInPandas") == 1
+    area = {r.inst: r.area for r in crowns.hull_area(d, ["inst"]).collect()}
+    monkeypatch.setattr(polygons, "SHARE_ROWS", 16)  # now every key goes by shares
+    assert {r.inst: r.volume for r in crowns.hull_volumes(d, ["inst"]).collect()} == pytest.approx(whole)
+    assert {r.inst: r.area for r in crowns.hull_area(d, ["inst"]).collect()} == pytest.approx(area)
