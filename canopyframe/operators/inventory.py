@@ -1,8 +1,11 @@
 """Section volumes, taper, stand and plot totals."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from canopyframe.functions.scalars import form_factor_volume, huber, smalian, stem_biomass
@@ -70,28 +73,47 @@ def dense_curve(curve: DataFrame, bins: int) -> DataFrame:
     return pts.select(F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda j: _curve_value(F.col("p"), (j + 0.5) / bins)).alias("knots"))
 
 
-def _lookup(knots: Column, x: Column, bins: int) -> Column:
-    j = F.floor(x * bins - 0.5).cast("int")
-    lo, hi = F.get(knots, j), F.get(knots, j + 1)
-    last = F.get(knots, F.lit(bins - 1)) * (1 - x) / (0.5 / bins)
-    return F.when(j < 0, F.get(knots, F.lit(0))).when(j >= bins - 1, F.greatest(last, F.lit(0.0))).otherwise(lo + (hi - lo) * (x * bins - 0.5 - j))
+def _lookup(knots: np.ndarray, x: np.ndarray) -> np.ndarray:
+    bins = len(knots)
+    at = x * bins - 0.5
+    j = np.clip(np.floor(at).astype(np.int64), -1, bins - 1)
+    lo, hi = knots[np.maximum(j, 0)], knots[np.minimum(j + 1, bins - 1)]
+    last = np.fmax(knots[bins - 1] * (1 - x) / (0.5 / bins), 0.0)
+    return np.where(j < 0, knots[0], np.where(j >= bins - 1, last, lo + (hi - lo) * (at - j)))
+
+
+def _above(c: np.ndarray, step: float):
+    """Volume of the form above the last section, stems of a batch step by step together."""
+
+    @F.pandas_udf("double")
+    def above(dn: pd.Series, hn: pd.Series, total: pd.Series) -> pd.Series:
+        dn, hn, total = (v.to_numpy(dtype=float) for v in (dn, hn, total))
+        q0, n = _lookup(c, hn / total), np.fmax(0, np.ceil((total - hn) / step) - 1)
+        out = np.zeros(len(dn))
+        on = np.flatnonzero((total > hn + step) & (n > 0) & (q0 > 0))
+
+        def area(rows: np.ndarray, i: int) -> np.ndarray:
+            r = dn[rows] / 200 * _lookup(c, (hn[rows] + i * step) / total[rows]) / q0[rows]
+            return np.pi * r * r
+        i, below = 0, area(on, 0)
+        while len(on):
+            above = area(on, i + 1)
+            out[on] += (below + above) / 2 * step
+            i += 1
+            more = n[on] > i
+            on, below = on[more], above[more]
+        return pd.Series(out)
+    return above
 
 
 def stem_volume(sections: DataFrame, heights: DataFrame, curve: DataFrame, keys: Sequence[str], step: float = 0.25, bins: int = 25) -> DataFrame:
     """Measured sections (Smalian) + stump cylinder + form above the last section up to ``total_h``."""
     m = section_volumes(sections, keys)
     ends = sections.groupBy(*keys).agg(F.min_by("d_cm", "h_m").alias("d0"), F.min("h_m").alias("h0"), F.max_by("d_cm", "h_m").alias("dn"), F.max("h_m").alias("hn"))
-    t = ends.join(heights, list(keys)).withColumn("__c", dense_curve(curve, bins).scalar())
-    t = t.withColumn("__q0", _lookup(F.col("__c"), F.col("hn") / F.col("total_h"), bins))
-    n = F.greatest(F.lit(0), F.ceil((F.col("total_h") - F.col("hn")) / step) - 1)
-    t = t.withColumn("i", F.explode(F.sequence(F.lit(0), n.cast("int"))))
-    h = F.col("hn") + F.col("i") * step
-    q0 = F.col("__q0")
-    def area(hh: Column) -> Column:
-        r = F.col("dn") / 200 * _lookup(F.col("__c"), hh / F.col("total_h"), bins) / q0
-        return F.pi() * r * r
-    piece = F.when((F.col("total_h") > F.col("hn") + step) & (F.col("i") < n) & (q0 > 0), (area(h) + area(h + step)) / 2 * step).otherwise(0.0)
-    top = t.groupBy(*keys).agg(F.sum(piece).alias("above_m3"), F.max(F.pi() * (F.col("d0") / 200) * (F.col("d0") / 200) * F.col("h0")).alias("stump_m3"))
+    knots = np.array(dense_curve(curve, bins).first().knots, dtype=float)  # one number a band
+    t = ends.join(heights, list(keys)).withColumn("above_m3", _above(knots, step)("dn", "hn", "total_h"))
+    stump = F.pi() * (F.col("d0") / 200) * (F.col("d0") / 200) * F.col("h0")
+    top = t.select(*keys, "above_m3", stump.alias("stump_m3"))
     return m.join(top, list(keys)).withColumn("total_m3", F.coalesce("smalian_m3", F.lit(0.0)) + F.col("stump_m3") + F.col("above_m3"))
 
 
@@ -111,36 +133,67 @@ def isotonic(sections: DataFrame, keys: Sequence[str], h: str = "h_m", r: str =
     return prof.select(*keys, F.get("__a", F.col("k"))[h].alias(h), F.array_min(inner).alias(f"{r}_iso"))
 
 
+TAPER_A, TAPER_B = (0.2, 0.5, 1.0, 1.5, 2.0, 3.0, 5.0), (0.2, 0.4, 0.6, 0.8, 1.0, 1.4, 2.0, 3.0)
+TAPER_FACTORS = (0.8, 0.9, 1.0, 1.1, 1.25)
+
+
+def _taper_search(keys: int, steps: int):
+    """Least squares of each stem (``keys, dbh, total_h, h, d``) over the grid, then around its best pair (of equal sums the smaller pair), and the volume of that form."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            h, d = t.column(keys + 2), t.column(keys + 3)
+            dbh, total = (t.column(keys + i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            starts = np.asarray(h.offsets)
+            stem = np.repeat(np.arange(len(dbh)), np.diff(starts))
+            z, p, size = h.flatten().to_numpy() / total[stem], 1.3 / total, d.flatten().to_numpy() / 100
+            starts = starts[:-1] - starts[0]
+            sse, best_a, best_b = np.full(len(dbh), np.inf), np.full(len(dbh), np.inf), np.full(len(dbh), np.inf)
+
+            def attempt(a: np.ndarray | float, bs: list) -> None:
+                """Pairs of one ``a`` (a number, or one a stem) with each of ``bs``."""
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    ratio = np.maximum((1 - z ** (a if np.isscalar(a) else a[stem])) / (1 - p ** a)[stem], 0.0)
+                    for b in bs:
+                        e = dbh[stem] * ratio ** (b if np.isscalar(b) else b[stem]) - size
+                        s = np.add.reduceat(e * e, starts) if len(starts) else np.zeros(0)
+                        s[np.isnan(s)] = np.inf
+                        less = (s < sse) | ((s == sse) & ((a < best_a) | ((a == best_a) & (b < best_b))))
+                        sse[less] = s[less]
+                        best_a[less] = a if np.isscalar(a) else a[less]
+                        best_b[less] = b if np.isscalar(b) else b[less]
+            for a in TAPER_A:
+                attempt(a, list(TAPER_B))
+            a0, b0 = best_a.copy(), best_b.copy()
+            sse[:], best_a[:], best_b[:] = np.inf, np.inf, np.inf
+            for f in TAPER_FACTORS:
+                attempt(np.clip(a0 * f, 0.01, 10.0), [np.clip(b0 * g, 0.01, 10.0) for g in TAPER_FACTORS])
+            def area(i: int) -> np.ndarray:
+                r = np.maximum((1 - (i / (steps - 1)) ** best_a) / (1 - p ** best_a), 0.0)
+                size = dbh * r ** best_b
+                return np.pi / 4 * size * size
+            volume, below = np.zeros(len(dbh)), area(0)
+            for i in range(1, steps):
+                above = area(i)
+                volume, below = volume + (below + above) / 2, above
+            volume = volume * total / (steps - 1)
+            yield pa.RecordBatch.from_arrays([*t.columns[:keys], pa.array(best_a), pa.array(best_b), pa.array(np.where(np.isinf(sse), np.nan, sse)), pa.array(volume)],
+                                             [*t.schema.names[:keys], "a", "b", "sse", "taper_m3"])
+    return run
+
+
 def taper_fit(sections: DataFrame, heights: DataFrame, keys: Sequence[str], steps: int = 100) -> DataFrame:
     """Two-parameter taper ``d13 * ((1 - z^a) / (1 - p^a))^b`` by grid search with one refinement, integrated."""
     ks = list(keys)
     # breast diameter = section nearest to 1.3 m
     near = sections.groupBy(*ks).agg(F.min(F.struct(F.abs(F.col("h_m") - 1.3), F.col("d_cm").alias("d"))).alias("m"), F.count(F.lit(1)).alias("n"))
     near = near.where("n >= 3").select(*ks, (F.col("m.d") / 100).alias("dbh"))
-    base = sections.join(near.where("dbh > 0"), ks).join(heights.where("total_h > 1.3"), ks)
-
-    def best(df: DataFrame) -> DataFrame:
-        z, p = F.col("h_m") / F.col("total_h"), 1.3 / F.col("total_h")
-        ratio = F.greatest((1 - F.pow(z, F.col("a"))) / (1 - F.pow(p, F.col("a"))), F.lit(0.0))
-        e = F.col("dbh") * F.pow(ratio, F.col("b")) - F.col("d_cm") / 100
-        g = df.groupBy(*ks, "a", "b").agg(F.sum(e * e).alias("sse"))
-        return g.groupBy(*ks).agg(F.min(F.struct("sse", "a", "b")).alias("m")).select(*ks, "m.*")
-
-    grid = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0.2, 0.5, 1.0, 1.5, 2.0, 3.0, 5.0) for b in (0.2, 0.4, 0.6, 0.8, 1.0, 1.4, 2.0, 3.0)])
-    first = best(base.withColumn("__g", F.explode(grid)).select(*base.columns, "__g.a", "__g.b"))
-    factors = F.array(*[F.struct(F.lit(a).alias("fa"), F.lit(b).alias("fb")) for a in (0.8, 0.9, 1.0, 1.1, 1.25) for b in (0.8, 0.9, 1.0, 1.1, 1.25)])
-    fine = base.join(first.select(*ks, F.col("a").alias("a0"), F.col("b").alias("b0")), ks).withColumn("__g", F.explode(factors))
-    clip = lambda c: F.least(F.greatest(c, F.lit(0.01)), F.lit(10.0))
-    fit = best(fine.select(*base.columns, clip(F.col("a0") * F.col("__g.fa")).alias("a"), clip(F.col("b0") * F.col("__g.fb")).alias("b")))
-    one = fit.join(near, ks).join(heights, ks)
-    def area(i: Column) -> Column:
-        z = i / F.lit(float(steps - 1))
-        r = F.greatest((1 - F.pow(z, F.col("a"))) / (1 - F.pow(1.3 / F.col("total_h"), F.col("a"))), F.lit(0.0))
-        d = F.col("dbh") * F.pow(r, F.col("b"))
-        return F.pi() / 4 * d * d
-    pieces = F.transform(F.sequence(F.lit(0), F.lit(steps - 2)), lambda i: (area(i) + area(i + 1)) / 2)
-    v = F.aggregate(pieces, F.lit(0.0), lambda a, x: a + x) * F.col("total_h") / (steps - 1)
-    return one.select(*ks, "a", "b", "sse", v.alias("taper_m3"))
+    base = sections.where("h_m is not null and d_cm is not null").join(near.where("dbh > 0"), ks).join(heights.where("total_h > 1.3"), ks)
+    # a stem's few sections stay together as arrays, so every pair of parameters is tried where they are
+    stems = base.groupBy(*ks).agg(F.first("dbh").alias("dbh"), F.first("total_h").alias("total_h"), F.sort_array(F.collect_list(F.struct("h_m", "d_cm"))).alias("s"))
+    stems = stems.select(*ks, "dbh", F.col("total_h").cast("double").alias("total_h"), F.col("s.h_m").cast("array<double>").alias("h"), F.col("s.d_cm").cast("array<double>").alias("d"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stems.select(*ks).schema.fields)
+    return stems.mapInArrow(_taper_search(len(ks), steps), kinds + ", a double, b double, sse double, taper_m3 double")
 
 
 def trunk_summary(diameters: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -82,3 +82,24 @@ def test_hulls_of_ordinary_keys_are_built_once(spark, monkeypatch):
     monkeypatch.setattr(polygons, "SHARE_ROWS", 16)  # now every key goes by shares
     assert {r.inst: r.volume for r in crowns.hull_volumes(d, ["inst"]).collect()} == pytest.approx(whole)
     assert {r.inst: r.area for r in crowns.hull_area(d, ["inst"]).collect()} == pytest.approx(area)
+
+
+def test_stem_forms_stay_where_the_stem_is(spark):
+    from canopyframe.operators import inventory
+    s = spark.createDataFrame([(k, 0.3 + 2.0 * i, 30.0 - 3 * i - k) for k in range(4) for i in range(3 + k)], "tree_id long, h_m double, d_cm double")
+    heights = s.select("tree_id").distinct().withColumn("total_h", 14.0 + F.col("tree_id"))
+    fit = inventory.taper_fit(s, heights, ["tree_id"])
+    got = {r.tree_id: r for r in fit.collect()}
+
+    def sse(k, a, b):
+        z = np.array([0.3 + 2.0 * i for i in range(3 + k)]) / (14 + k)
+        d = np.array([30.0 - 3 * i - k for i in range(3 + k)]) / 100
+        return float(((d[1] * ((1 - z ** a) / (1 - (1.3 / (14 + k)) ** a)) ** b - d) ** 2).sum())
+    grid = [(sse(0, a, b), a, b) for a in inventory.TAPER_A for b in inventory.TAPER_B]
+    _, a0, b0 = min(grid)
+    best = min((sse(0, a0 * f, b0 * g), a0 * f, b0 * g) for f in inventory.TAPER_FACTORS for g in inventory.TAPER_FACTORS)
+    assert (got[0].sse, got[0].a, got[0].b) == pytest.approx(best)
+    above = inventory.stem_volume(s, heights, inventory.taper_curve(inventory.relative_taper(s, heights, ["tree_id"])), ["tree_id"])
+    assert {r.tree_id for r in above.collect() if r.above_m3 > 0} == {0, 1, 2, 3}
+    for out in (fit, above):  # no copies of stems for pairs of parameters or steps of height
+        assert "Generate explode" not in out._jdf.queryExecution().executedPlan().toString()
