@@ -217,6 +217,15 @@ def bootstrap(df: DataFrame, order: str, reps: int, seed: int, values: Sequence[
     return slot.join(idx.select(*ks, "i", *values).hint("merge"), [*ks, "i"]).drop("i", "__all")
 
 
+def bootstrap_sums(df: DataFrame, order: str, reps: int, seed: int, values: Sequence[str]) -> DataFrame:
+    """``rep, w, values``: the rows of each resample of :func:`bootstrap` and the sums of ``values`` over them, added up where it is drawn."""
+    df, rows = resampling.small(df.select(*dict.fromkeys([order, *values])))
+    if rows is not None:
+        return resampling.bootstrap_sums(df, rows, order, reps, seed, values)
+    b = bootstrap(df, order, reps, seed, values)
+    return b.groupBy("rep").agg(F.sum("w").alias("w"), *[F.sum(F.col("w") * F.col(v)).alias(v) for v in values])
+
+
 def weighted_scores(df: DataFrame, keys: Sequence[str], y: str = "y", p: str = "pred") -> DataFrame:
     """Scores of rows repeated ``w`` times."""
     w, e = F.col("w"), F.col(p) - F.col(y)

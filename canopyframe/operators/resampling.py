@@ -80,6 +80,24 @@ def bootstrap(d: DataFrame, t: pa.Table, order: str, reps: int, seed: int, value
     return _deal(spark, reps).mapInArrow(run, shape)
 
 
+def bootstrap_sums(d: DataFrame, t: pa.Table, order: str, reps: int, seed: int, values: Sequence[str]) -> DataFrame:
+    """``rep, w, values``: of each resample of ``bootstrap`` its rows and the sums of ``values`` over them."""
+    spark = d.sparkSession
+    shared = spark.sparkContext.broadcast([_sorted(t, order)[v].combine_chunks().to_numpy(zero_copy_only=False) for v in values])
+
+    def run(batches):
+        for b in batches:
+            whole = b.column(0).to_pylist()
+            got = []
+            for rep in whole:
+                w = np.bincount(mix(rep, np.arange(n), seed) % n, minlength=n) if n else np.zeros(0, dtype=np.int64)
+                got.append([w @ v for v in shared.value])
+            yield pa.RecordBatch.from_arrays([pa.array(whole, pa.int32()), pa.array([n] * len(whole), pa.int64()), *(pa.array([g[i] for g in got], kinds[i]) for i in range(len(values)))], ["rep", "w", *values])
+    n, kinds = len(t), [pa.float64() if k in ("double", "float") else pa.int64() for v in values for k in [dict(d.dtypes)[v]]]
+    shape = ", ".join(["rep int, w long", *(f"`{v}` {'double' if k == pa.float64() else 'long'}" for v, k in zip(values, kinds))])
+    return _deal(spark, reps).mapInArrow(run, shape)
+
+
 def permuted(d: DataFrame, t: pa.Table, order: str, target: str, reps: int, seed: int, within: Sequence[str]) -> DataFrame:
     """Every row once per ``rep`` with ``target`` shuffled (inside ``within`` when given)."""
     spark = d.sparkSession

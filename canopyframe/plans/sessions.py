@@ -195,10 +195,11 @@ def _(fx):
     refs, dets, pairs = view_pairs(fx)
     pairs = cut(pairs)
     near = S.grid_join(fx.fx_points.where("z between 1 and 8").select("stand", "x", "y"), fx.fx_trees.select("stand", "tree_id", F.col("x").alias("cx"), F.col("y").alias("cy")), 2.0)
-    cover = near.groupBy("tree_id").agg(F.count(F.lit(1)).alias("c"))
+    cover = cut(near.groupBy("tree_id").agg(F.count(F.lit(1)).alias("c")))  # read for the limit and for both subsets
     cut10 = exact_quantiles(cover, [], "c", {"q": 0.10}).scalar()
     good = cover.where(F.col("c") >= cut10).select(F.col("tree_id").alias("rid"))
     off = pairs.join(refs.select("rid", "view_id", "rx", "ry"), ["rid", "view_id"]).join(dets.select("did", "x", "y"), "did").withColumns({"ox": F.col("x") - F.col("rx"), "oy": F.col("y") - F.col("ry")})
+    off = cut(off.select("rid", "ox", "oy"))
     n_pred = dets.agg(F.count(F.lit(1)).alias("n")).scalar()
     def row(name, r, o):
         a = o.agg(F.count(F.lit(1)).alias("tp")).withColumn("nr", r.agg(F.count(F.lit(1)).alias("n")).scalar()).withColumn("np", n_pred)
@@ -213,7 +214,7 @@ def _(fx):
     _, _, pairs = view_pairs(fx)
     hit = pairs.where("view_id in (0, 1)").groupBy("rid").agg(F.count_if(F.col("view_id") == 0).alias("a"), F.count_if(F.col("view_id") == 1).alias("b"))
     o = cut(fx.fx_trees.select(F.col("tree_id").alias("rid")).join(hit, "rid", "left").na.fill(0, ["a", "b"]))
-    b = P.bootstrap(o, "rid", 10_000, 4, ["a", "b"]).groupBy("rep").agg((F.sum(F.col("w") * (F.col("b") - F.col("a"))) / F.sum("w")).alias("d"))
+    b = cut(P.bootstrap_sums(o, "rid", 10_000, 4, ["a", "b"]).select(((F.col("b") - F.col("a")) / F.col("w")).alias("d")))  # drawn once for both limits
     q = exact_quantiles(b, [], "d", {"lo": 0.025, "hi": 0.975}).select(F.struct("lo", "hi").alias("q")).scalar()
     return o.agg(F.avg(F.col("b") - F.col("a")).alias("diff"), F.count(F.lit(1)).alias("n")).withColumn("q", q).select("diff", "q.lo", "q.hi", "n")
 

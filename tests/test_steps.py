@@ -103,3 +103,15 @@ def test_stem_forms_stay_where_the_stem_is(spark):
     assert {r.tree_id for r in above.collect() if r.above_m3 > 0} == {0, 1, 2, 3}
     for out in (fit, above):  # no copies of stems for pairs of parameters or steps of height
         assert "Generate explode" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_resamples_are_added_up_where_they_are_drawn(spark, monkeypatch):
+    from canopyframe.operators import panel, resampling
+    d = spark.range(1, 41).select("id", (F.col("id") % 3).alias("a"), (F.col("id") / 7).alias("v"))
+    rows = panel.bootstrap(d, "id", 25, 4, ["a", "v"]).groupBy("rep").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("a")).alias("a"), F.sum(F.col("w") * F.col("v")).alias("v"))
+    want = {r.rep: (r.w, r.a, pytest.approx(r.v)) for r in rows.collect()}
+    sums = panel.bootstrap_sums(d, "id", 25, 4, ["a", "v"])
+    assert {r.rep: (r.w, r.a, r.v) for r in sums.collect()} == want
+    assert "Aggregate" not in sums._jdf.queryExecution().executedPlan().toString()  # a task sends one row a replicate
+    monkeypatch.setattr(resampling, "LOCAL_BYTES", 0)
+    assert {r.rep: (r.w, r.a, r.v) for r in panel.bootstrap_sums(d, "id", 25, 4, ["a", "v"]).collect()} == want
