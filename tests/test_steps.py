@@ -115,3 +115,15 @@ def test_resamples_are_added_up_where_they_are_drawn(spark, monkeypatch):
     assert "Aggregate" not in sums._jdf.queryExecution().executedPlan().toString()  # a task sends one row a replicate
     monkeypatch.setattr(resampling, "LOCAL_BYTES", 0)
     assert {r.rep: (r.w, r.a, r.v) for r in panel.bootstrap_sums(d, "id", 25, 4, ["a", "v"]).collect()} == want
+
+
+def test_filters_deal_rows_of_cells_by_their_number(spark, monkeypatch):
+    from canopyframe.operators import raster
+    rng = np.random.default_rng(3)
+    p = spark.createDataFrame(pd.DataFrame({"stand": rng.integers(1, 4, 600), "x": rng.uniform(0, 20, 600), "y": rng.uniform(0, 20, 600), "z": rng.uniform(1, 30, 600)}))
+    cells = raster.rasterise(p, 1.0)
+    few = {(r.stand, r.ix, r.iy): r.v for r in raster.smooth(cells, 0.6).collect()}
+    monkeypatch.setattr(raster, "CELLS_PER_TASK", 50)
+    many = raster.smooth(cells, 0.6)
+    assert many.rdd.getNumPartitions() == cells.count() // 50 + 1
+    assert {(r.stand, r.ix, r.iy): r.v for r in many.collect()} == pytest.approx(few)
