@@ -126,12 +126,9 @@ def disc_sums(positions: DataFrame, cells: DataFrame, radius: float, res: float,
               pid: str = "pid", value: str = "v") -> DataFrame:
     """Sum of raster cells whose centre lies within ``radius`` of each position (zero when empty)."""
     ks = list(keys)
-    k = int(radius // res) + 1
-    near = spread(positions.select(*ks, pid, "x", "y"), cell("x", res), cell("y", res), k)
-    dx, dy = (F.col("gx") + 0.5) * res - F.col("x"), (F.col("gy") + 0.5) * res - F.col("y")
-    near = near.where(dx * dx + dy * dy <= radius * radius)
-    c = cells.select(*ks, F.col("ix").alias("gx"), F.col("iy").alias("gy"), F.col(value).alias("__v"))
-    s = near.join(c, [*ks, "gx", "gy"]).groupBy(*ks, pid).agg(F.sum("__v").alias("total"))
+    c = cells.select(*ks, ((F.col("ix") + 0.5) * res).alias("__x"), ((F.col("iy") + 0.5) * res).alias("__y"), F.col(value).alias("__v"))
+    near = grid_join(c, positions.select(*ks, pid, "x", "y"), radius, ks, ("__x", "__y"), ("x", "y"))
+    s = near.groupBy(*ks, pid).agg(F.sum("__v").alias("total"))
     return positions.select(*ks, pid).join(s, [*ks, pid], "left").na.fill(0, ["total"])
 
 

@@ -94,3 +94,21 @@ def test_cache_has_no_file_per_key(spark, tmp_path, monkeypatch):
     for f in back.inputFiles():
         plots = [r.plot for r in spark.read.parquet(f).collect()]
         assert plots == sorted(plots)
+
+
+def test_positions_of_disc_sums_are_not_broadcast(spark, tmp_path, monkeypatch):
+    from canopyframe.operators import assign as A
+    plans, join = [], A.grid_join
+
+    def seen(*args, **more):
+        plans.append(physical(out := join(*args, **more)))
+        return out
+
+    monkeypatch.setattr(A, "grid_join", seen)
+    spots = exploded(spark, f"{tmp_path}/spots", 5).selectExpr("k as stand", "cast(v * 5 + c as long) as pid", "v % 40 + c / 7 as x", "v % 31 as y")
+    cells = spark.range(4000).selectExpr("id % 7 as stand", "id % 160 as ix", "id % 124 as iy", "id % 5 + 1 as v").distinct()
+    got = A.disc_sums(spots, cells, 1.0, 0.25)
+    assert len(plans) == 1 and "Broadcast" not in plans[0]
+    near = cells.selectExpr("stand", "(ix + 0.5) * 0.25 as cx", "(iy + 0.5) * 0.25 as cy", "v").join(spots, "stand").where("(cx - x) * (cx - x) + (cy - y) * (cy - y) <= 1")
+    want = {r.pid: r.s for r in near.groupBy("pid").agg(F.sum("v").alias("s")).collect()}
+    assert want and {r.pid: r.total for r in got.collect()} == {p.pid: want.get(p.pid, 0) for p in spots.collect()}
