@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from canopyframe.functions.scalars import circle_overlap, hyp
 from canopyframe.operators.ranks import MAX_BUCKETS, _slices, exact_quantiles
 from canopyframe.operators.spatial import cell, grid_join, nearest_within, offsets, spread
+from canopyframe.session import cut
 
 
 def in_zones(points: DataFrame, zones: DataFrame, radius: float, keys: Sequence[str] = ("stand",)) -> DataFrame:
@@ -76,17 +77,40 @@ def hits(refs: DataFrame, dets: DataFrame, radius: float = 1.5, keys: Sequence[s
 
 def instance_vote(points: DataFrame, stems: DataFrame, radius: float = 1.2, z_lo: float = 2.0, z_hi: float = 12.0,
                   min_pts: int = 5, keys: Sequence[str] = ()) -> DataFrame:
-    """Most frequent instance around each stem's column, -1 when none; ties go to the smaller id."""
+    """Most frequent instance around each stem's column, -1 when none; ties go to the smaller id.
+
+    Stems that stand on the same spot have the same votes, so returns are counted once a spot and not once a stem.
+    """
     ks = list(keys)
     p, s = (points, stems) if ks else (points.withColumn("__k", F.lit(0)), stems.withColumn("__k", F.lit(0)))
-    near = grid_join(p.select(*(ks or ["__k"]), "inst", "x", "y", "z"), s.select(*(ks or ["__k"]), "stem", "cx", "cy"),
-                     radius, ks or ["__k"])
+    ks = ks or ["__k"]
+    # a stem that is listed more than once has the votes of all its spots
+    places = cut(s.groupBy("stem").agg(F.array_sort(F.collect_list(F.struct(*ks, "cx", "cy"))).alias("at")))
+    spots = places.select("at").distinct().select("at", F.explode("at").alias("__s")).select("at", "__s.*")
+    near = grid_join(cut(p.select(*ks, "inst", "x", "y", "z")), spots, radius, ks)
     band = F.col("z").between(z_lo, z_hi)
-    votes = near.groupBy("stem", "inst").agg(F.count(F.lit(1)).alias("all"), F.count_if(band).alias("band"))
-    tot = votes.groupBy("stem").agg(F.sum("band").alias("__b"))
-    v = votes.join(tot, "stem").withColumn("v", F.when(F.col("__b") >= min_pts, F.col("band")).otherwise(F.col("all")))
-    best = v.where("inst >= 0 and v > 0").groupBy("stem").agg(F.max(F.struct("v", (-F.col("inst")).alias("n"))).alias("m"))
-    return stems.select("stem").join(best, "stem", "left").select("stem", F.coalesce(-F.col("m.n"), F.lit(-1)).alias("inst"))
+    votes = cut(near.groupBy("at", "inst").agg(F.count(F.lit(1)).alias("all"), F.count_if(band).alias("band")))
+    tot = votes.groupBy("at").agg(F.sum("band").alias("__b"))
+    v = votes.join(tot, "at").withColumn("v", F.when(F.col("__b") >= min_pts, F.col("band")).otherwise(F.col("all")))
+    best = v.where("inst >= 0 and v > 0").groupBy("at").agg(F.max(F.struct("v", (-F.col("inst")).alias("n"))).alias("m"))
+    return (stems.select("stem").join(places.join(best, "at").select("stem", "m"), "stem", "left")
+            .select("stem", F.coalesce(-F.col("m.n"), F.lit(-1)).alias("inst")))
+
+
+def shortlist(points: DataFrame, stems: DataFrame, radius: float, keys: Sequence[str]) -> DataFrame:
+    """``stem, inst, votes, size, zmax, dist``: instances with returns around each stem, their size, height and distance from it.
+
+    Returns are counted once for all stems of a spot.
+    """
+    spot = [*keys, "cx", "cy"]
+    near = grid_join(points.select(*keys, "inst", "x", "y"), stems.select(*spot).distinct(), radius, keys)
+    v = near.groupBy(*spot, "inst").agg(F.count(F.lit(1)).alias("__v"))
+    i = points.groupBy("inst").agg(F.count(F.lit(1)).alias("size"), F.max("z").alias("zmax"), F.avg("x").alias("__mx"), F.avg("y").alias("__my"))
+    v = cut(v.join(i, "inst").withColumn("dist", hyp(F.col("__mx") - F.col("cx"), F.col("__my") - F.col("cy"))))
+    # stems are few beside what each is paired with: a fixed number of parts, which Spark doesn't put together again
+    parts = int(stems.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = stems.groupBy("stem", *spot).agg(F.count(F.lit(1)).alias("__times")).repartition(parts, "stem")
+    return s.join(v, spot).select("stem", "inst", (F.col("__v") * F.col("__times")).alias("votes"), "size", "zmax", "dist")
 
 
 def interpolate(rows: DataFrame, controls: DataFrame, key: str, at: str = "t", value: str = "v", least: int = 3) -> DataFrame:

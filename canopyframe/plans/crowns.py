@@ -286,11 +286,8 @@ WITH v AS (SELECT stem, inst, any_value(s.cx) AS cx, any_value(s.cy) AS cy, coun
 i AS (SELECT inst, count(*) AS size, max(z) AS zmax, avg(x) AS mx, avg(y) AS my FROM fx_tree_pts GROUP BY inst)
 SELECT stem, inst, votes, size, zmax, sqrt((mx-cx)*(mx-cx) + (my-cy)*(my-cy)) AS dist FROM v JOIN i USING (inst)""")
 def _(fx):
-    p = fx.fx_tree_pts.select(F.lit(0).alias("k0"), "inst", "x", "y")
-    s = fx.fx_stems.select(F.lit(0).alias("k0"), "stem", "cx", "cy")
-    v = grid_join(p, s, 2.5, ["k0"]).groupBy("stem", "inst", "cx", "cy").agg(F.count(F.lit(1)).alias("votes"))
-    i = fx.fx_tree_pts.groupBy("inst").agg(F.count(F.lit(1)).alias("size"), F.max("z").alias("zmax"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
-    return v.join(i, "inst").withColumn("dist", X.hyp(F.col("mx") - F.col("cx"), F.col("my") - F.col("cy")))
+    p = cut(fx.fx_tree_pts.select(F.lit(0).alias("k0"), "inst", "x", "y", "z"))
+    return A.shortlist(p, fx.fx_stems.select(F.lit(0).alias("k0"), "stem", "cx", "cy"), 2.5, ["k0"])
 
 
 @query("d87_detector_sweep", "detector:s radius:d n:i field:i rate:d")

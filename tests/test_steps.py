@@ -127,3 +127,32 @@ def test_filters_deal_rows_of_cells_by_their_number(spark, monkeypatch):
     many = raster.smooth(cells, 0.6)
     assert many.rdd.getNumPartitions() == cells.count() // 50 + 1
     assert {(r.stand, r.ix, r.iy): r.v for r in many.collect()} == pytest.approx(few)
+
+
+def test_stems_of_a_spot_share_their_votes(spark, monkeypatch):
+    from canopyframe.operators import assign as A
+    zones, join = [], A.grid_join
+
+    def seen(points, z, *args, **more):
+        zones.append(z.count())
+        return join(points, z, *args, **more)
+
+    monkeypatch.setattr(A, "grid_join", seen)
+    stems = spark.range(60).selectExpr("id as stem", "cast(id % 3 * 10 as double) as cx", "0D as cy")
+    twice = stems.unionByName(spark.sql("select 7L as stem, 20D as cx, 0D as cy"))  # stem 7 stands on two spots
+    points = spark.range(90).selectExpr("cast(id % 3 * 10 as double) + id % 5 / 10 as x", "id % 4 / 10 as y", "id % 14 as z", "id % 7 - 1 as inst")
+    near = twice.join(points, F.expr("(x - cx) * (x - cx) + (y - cy) * (y - cy) <= 1.44"))
+    votes = {}
+    for r in near.collect():
+        votes.setdefault(r.stem, []).append(r)
+    want = {}
+    for s, rows in votes.items():
+        band = [r for r in rows if 2 <= r.z <= 12]
+        use = [r.inst for r in (band if len(band) >= 5 else rows) if r.inst >= 0]
+        want[s] = min(set(use), key=lambda i: (-use.count(i), i))
+    assert {r.stem: r.inst for r in A.instance_vote(points, twice).collect()} == want and len(want) == 60
+    assert max(zones) <= 5
+    zones.clear()
+    listed = A.shortlist(points.withColumn("k", F.lit(0)), twice.withColumn("k", F.lit(0)), 1.2, ["k"])
+    assert {(r.stem, r.inst): r.votes for r in listed.where("stem <> 7").collect()} == {(s, i): sum(r.inst == i for r in rows) for s, rows in votes.items() if s != 7 for i in {r.inst for r in rows}}
+    assert zones == [3]
